@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgrid.llm import bpe_tree, packing
+from quillgrid.llm import bpe_tree, edit_counts, fingerprints, licenses, packing
 from quillgrid.llm.common import table
 
 
@@ -22,14 +22,40 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every document before and after three edits, and how much was encoded for each."""
+    made = edit_counts.edit_counts(table(spark, sf_dir, "documents"), edit_counts.sample_edits())
+    return made.withColumn("edited_sha256", F.sha2(F.col("edited_text").cast("binary"), 256)).drop("edited_text")
+
+
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences of every document."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    made = fingerprints.compare_with_next(table(spark, sf_dir, "documents"))
+    return made.select(
+        "doc_id",
+        F.char_length("text").cast("long").alias("n_chars"),
+        F.sha2(F.col("edited_text").cast("binary"), 256).alias("edited_sha256"),
+        "fingerprint",
+        "edited_fingerprint",
+        "near_edited",
+        "near_next",
+    )
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of at most 4096 tokens."""
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_bpe": op3_bpe, "op9_packing": op9_packing}
+    made = (op3_bpe, op5_token_counts, op8_licenses, op9_packing, op10_fingerprints)
+    return {f.__name__: f for f in made}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_licenses": licenses.scan_sql()}
