@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgrid.llm import bpe_tree, edit_counts, fingerprints, licenses, packing
+from quillgrid.llm import bpe_tree, edit_counts, fingerprints, licenses, packing, toxicity
 from quillgrid.llm.common import table
 
 
@@ -22,6 +22,13 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learnt from the training folds."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "spans")
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of every document before and after three edits, and how much was encoded for each."""
     made = edit_counts.edit_counts(table(spark, sf_dir, "documents"), edit_counts.sample_edits())
@@ -53,7 +60,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (op3_bpe, op5_token_counts, op8_licenses, op9_packing, op10_fingerprints)
+    made = (op3_bpe, op4_toxicity, op5_token_counts, op8_licenses, op9_packing, op10_fingerprints)
     return {f.__name__: f for f in made}
 
 
