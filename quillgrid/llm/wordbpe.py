@@ -88,7 +88,7 @@ def _memory(kind: type, path: str):
     return kind(path)
 
 
-def memory(kind: type, path: str, most: int = 400_000):
+def memory(kind: type, path: str, most: int = 1_500_000):
     """The worker's memory of runs, emptied once it holds `most` of them."""
     held = _memory(kind, path)
     if len(held) > most:
