@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgrid.llm import bpe_tree, edit_counts, fingerprints, licenses, packing, toxicity
+from quillgrid.llm import bpe_tree, edit_counts, fingerprints, licenses, packing, prob_minhash, toxicity
 from quillgrid.llm.common import table
 
 
@@ -35,6 +35,11 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.withColumn("edited_sha256", F.sha2(F.col("edited_text").cast("binary"), 256)).drop("edited_text")
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class of every document."""
+    return prob_minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licences of every document."""
     return licenses.scan(table(spark, sf_dir, "documents"))
@@ -60,7 +65,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (op3_bpe, op4_toxicity, op5_token_counts, op8_licenses, op9_packing, op10_fingerprints)
+    made = (op3_bpe, op4_toxicity, op5_token_counts, op6_minhash, op8_licenses, op9_packing, op10_fingerprints)
     return {f.__name__: f for f in made}
 
 
