@@ -27,6 +27,8 @@ from quillgrid.llm.wordbpe import default_path, encode_bytes, library
 
 PIECE_CHARS = 16_384
 WINDOW_CHARS = 48
+#: Characters at either end of a piece whose tokens keep their places; joins beyond need the whole piece.
+EDGE_CHARS = 400
 
 
 @dataclass
@@ -55,6 +57,44 @@ def encode_piece(text: str, at: int, path: str) -> Encoding:
     return Encoding(np.asarray(got.ids, dtype=np.uint32), places[:, 0], places[:, 1], opens)
 
 
+def edges(text: str, edge: int = EDGE_CHARS) -> tuple[int, int] | None:
+    """Blanks near both ends of a piece, if it has them."""
+    a, b = text.find(" ", edge), text.rfind(" ", 0, max(0, len(text) - edge))
+    return (a, b) if 0 <= a < b else None
+
+
+def with_edges(text: str, at: int, path: str, ids: np.ndarray | None = None) -> tuple[Encoding, bool]:
+    """The encoding of a piece, and whether all its tokens have places.
+
+    Between blanks near its ends, tokens have the place of the first blank and no length, which never
+    agrees with a window's. ids: those of the whole piece, if they are known.
+    """
+    cut = edges(text)
+    if cut is None:
+        return encode_piece(text, at, path), True
+    a, b = cut
+    head, tail = encode_piece(text[:a], at, path), encode_piece(text[b:], at + b, path)
+    inner = np.frombuffer(encode_bytes(text[a:b], path), "<u4") if ids is None else ids[len(head.ids) : len(ids) - len(tail.ids)]
+    place = np.full(len(inner), at + a, dtype=np.int64)
+    return concat([head, Encoding(inner.astype(np.uint32), place, place, np.zeros(len(inner), dtype=bool)), tail]), False
+
+
+def packed(e: Encoding, at: int) -> bytes:
+    """Places as gaps and lengths in the narrowest integers that hold them."""
+    gaps = e.starts - np.concatenate([[at], e.ends[:-1]]) if len(e.ids) else e.starts
+    both = np.concatenate([gaps, e.ends - e.starts])
+    kind = "i1" if len(both) and np.abs(both).max() < 128 else "<i4"
+    return kind[-1:].encode() + both.astype(kind).tobytes() + np.packbits(e.opens).tobytes()
+
+
+def unpacked(ids: np.ndarray, data: bytes, at: int) -> Encoding:
+    kind, n = ("i1", 1) if data[:1] == b"1" else ("<i4", 4), len(ids)
+    both = np.frombuffer(data, kind[0], 2 * n, 1).astype(np.int64)
+    ends = at + np.cumsum(both[:n] + both[n:])
+    opens = np.unpackbits(np.frombuffer(data, np.uint8, -1, 1 + 2 * n * kind[1]), count=n).astype(bool)
+    return Encoding(ids, ends - both[n:], ends, opens)
+
+
 def _agreement(side: Encoding, window: Encoding, low: int, high: int, last: bool) -> tuple[int, int] | None:
     """Indexes of the middle of three tokens that both encodings have, of those within [low, high).
 
@@ -106,7 +146,7 @@ def encode_long(text: str, path: str, piece_chars: int = PIECE_CHARS) -> np.ndar
     while len(text) > piece_chars << depth:
         depth += 1
     bounds = piece_bounds(len(text), depth)
-    return join_tree([encode_piece(text[a:b], a, path) for a, b in zip(bounds, bounds[1:], strict=False)], bounds, text, path).ids
+    return join_tree([with_edges(text[a:b], a, path)[0] for a, b in zip(bounds, bounds[1:], strict=False)], bounds, text, path).ids
 
 
 def encode(docs: DataFrame, path: str | None = None, piece_chars: int = PIECE_CHARS) -> DataFrame:
@@ -120,16 +160,21 @@ def encode(docs: DataFrame, path: str | None = None, piece_chars: int = PIECE_CH
 
     def pieces(batches):
         for batch in batches:
-            made = [encode_piece(t, a, path) for t, a in zip(texts(batch), column(batch, "begin").to_pylist(), strict=True)]
-            arrays = [pa.array([getattr(m, n).astype(kind).tobytes() for m in made], pa.binary()) for n, kind in (("ids", "<u4"), ("starts", "<i8"), ("ends", "<i8"), ("opens", "u1"))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], [*batch.schema.names, "ids", "starts", "ends", "opens"])
+            ids, places = [], []
+            for text, at in zip(texts(batch), column(batch, "begin").to_pylist(), strict=True):
+                made, whole = with_edges(text, at, path)
+                ids.append(made.ids.astype("<u4").tobytes())
+                places.append(packed(made, at) if whole else b"")
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary()), pa.array(places, pa.binary())], [*batch.schema.names, "ids", "places"])
 
     def joined(group: pa.Table) -> pa.Table:
         row = group.sort_by("begin").to_pylist()
-        parts = [Encoding(np.frombuffer(x["ids"], "<u4"), np.frombuffer(x["starts"], "<i8"), np.frombuffer(x["ends"], "<i8"), np.frombuffer(x["opens"], "u1").astype(bool)) for x in row]
-        bounds = [x["begin"] for x in row]
+        parts = []
+        for x in row:
+            ids = np.frombuffer(x["ids"], "<u4")
+            parts.append(unpacked(ids, x["places"], x["begin"]) if x["places"] else with_edges(x["text"], x["begin"], path, ids)[0])
         text = "".join(x["text"] for x in row)
-        ids = join_tree(parts, [*bounds, len(text)], text, path).ids
+        ids = join_tree(parts, [*(x["begin"] for x in row), len(text)], text, path).ids
         return pa.table({"doc_id": pa.array([row[0]["doc_id"]], pa.int64()), "ids": pa.array([ids.astype("<u4").tobytes()], pa.binary())})
 
     short = rows.filter(F.char_length("text") <= piece_chars).mapInArrow(whole, "doc_id long, ids binary")
@@ -145,7 +190,7 @@ def encode(docs: DataFrame, path: str | None = None, piece_chars: int = PIECE_CH
         .withColumn("end", F.expr("shiftright((k + 1) * n, depth)"))
         .select("row", "doc_id", "begin", F.expr("substring(text, cast(begin + 1 as int), cast(end - begin as int))").alias("text"))
     )
-    kinds = "row long, doc_id long, begin long, text string, ids binary, starts binary, ends binary, opens binary"
+    kinds = "row long, doc_id long, begin long, text string, ids binary, places binary"
     spread = cut.repartition(partitions(docs.sparkSession), "row", "begin").mapInArrow(pieces, kinds)
     return short.unionByName(spread.groupBy("row").applyInArrow(joined, "doc_id long, ids binary"))
 
