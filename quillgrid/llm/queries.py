@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgrid.llm import bpe_tree, edit_counts, fingerprints, licenses, packing, prob_minhash, toxicity
+from quillgrid.llm import bpe_tree, edit_counts, fingerprints, licenses, multi_index, packing, prob_minhash, toxicity
 from quillgrid.llm.common import table
 
 
+def op2_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every vector whose vec_id is divisible by 20."""
+    return multi_index.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids of every document and of the text that they decode to."""
     both = bpe_tree.decode(bpe_tree.encode(table(spark, sf_dir, "documents")))
@@ -65,7 +70,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (op3_bpe, op4_toxicity, op5_token_counts, op6_minhash, op8_licenses, op9_packing, op10_fingerprints)
+    made = (op2_multi_index, op3_bpe, op4_toxicity, op5_token_counts, op6_minhash, op8_licenses, op9_packing, op10_fingerprints)
     return {f.__name__: f for f in made}
 
 
