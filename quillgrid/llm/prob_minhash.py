@@ -22,12 +22,13 @@ import functools
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgrid.llm.common import key_and_text, texts
 from quillgrid.llm.components import components
 from quillgrid.llm.fingerprints import mix
+from quillgrid.llm.linking import crowded, links
 
 WORDS, BANDS, ROWS, LEAST = 5, 25, 5, 0.8
 
@@ -170,10 +171,6 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
 
-def _apart(a: Column, b: Column) -> list[Column]:
-    return [F.least(a, b).alias("u"), F.greatest(a, b).alias("v")]
-
-
 def near_duplicates(docs: DataFrame, words: int = WORDS, bands: int = BANDS, per_band: int = ROWS, least: float = LEAST) -> DataFrame:
     """doc_id, class_id (the least doc_id of its class) and n_links (verified links of its text to different ones)."""
     rows = key_and_text(docs)
@@ -182,27 +179,15 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, bands: int = BANDS, per
     # Equal texts first: one node for each, so that links are between different texts only.
     nodes = sketched.groupBy("same").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys")).checkpoint()
     member = sketched.select("doc_id", "same").join(nodes.select("same", "node"), "same").select("doc_id", "node").checkpoint()
-    buckets = nodes.select("node", F.explode("keys").alias("key"))
-    shared = buckets.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("node", "key"), "node")).getField("node").alias("centre")).filter("n > 1")
-    crowded = buckets.join(shared, "key").select("key", "node", "centre").checkpoint()
-    pairs = crowded.filter("node != centre").select(*_apart(F.col("node"), F.col("centre"))).distinct().checkpoint()
-    wanted = crowded.select("node").distinct()
+    members = crowded(nodes.select("node", F.explode("keys").alias("key"))).checkpoint()
+    wanted = members.select("node").distinct()
     sets = _shingle_sets(rows.join(wanted, rows.doc_id == wanted.node, "left_semi").dropDuplicates(["doc_id"]), words).checkpoint()
-    links = _verified(pairs, sets, least).checkpoint()
-    roots = components(links)
-    # Buckets with several components: all pairs between components that haven't been compared.
-    labelled = crowded.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    mixed = labelled.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("key")
-    few = labelled.join(mixed, "key")
-    other = few.select("key", F.col("node").alias("node2"), F.col("root").alias("root2"))
-    rest = few.join(other, "key").filter("root < root2").select(*_apart(F.col("node"), F.col("node2"))).distinct().join(pairs, ["u", "v"], "left_anti")
-    more = _verified(rest, sets, least).checkpoint()
-    links = links.unionByName(more)
+    found = links(members, lambda pairs: _verified(pairs, sets, least))
     # Rows of one doc_id with several texts are one document.
     several = member.filter("doc_id != node").groupBy("doc_id").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low != high")
     tied = member.join(several.select("doc_id"), "doc_id").select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
-    roots = components(links.unionByName(tied))
-    degree = links.select("u").unionByName(links.select(F.col("v").alias("u"))).groupBy("u").agg(F.count("*").alias("n_links"))
+    roots = components(found.unionByName(tied))
+    degree = found.select("u").unionByName(found.select(F.col("v").alias("u"))).groupBy("u").agg(F.count("*").alias("n_links"))
     labels = member.join(roots, "node", "left").join(degree.withColumnRenamed("u", "node"), "node", "left")
     out = labels.select("doc_id", F.coalesce("root", "node").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     none = rows.filter(F.col("doc_id").isNull()).select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"))

@@ -7,10 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgrid.llm import bpe_tree, edit_counts, fingerprints, licenses, multi_index, packing, prob_minhash, toxicity
+from quillgrid.llm import bpe_tree, edit_counts, fingerprints, licenses, lines, multi_index, packing, prob_minhash, toxicity
 from quillgrid.llm.common import table
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that go from every document, and the digest of what stays."""
+    made = lines.dedup(table(spark, sf_dir, "documents"))
+    return made.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.size("removed").cast("long").alias("n_removed"), "removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
 def op2_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest of every vector whose vec_id is divisible by 20."""
     return multi_index.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
@@ -70,7 +76,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (op2_multi_index, op3_bpe, op4_toxicity, op5_token_counts, op6_minhash, op8_licenses, op9_packing, op10_fingerprints)
+    made = (op1_line_dedup, op2_multi_index, op3_bpe, op4_toxicity, op5_token_counts, op6_minhash, op8_licenses, op9_packing, op10_fingerprints)
     return {f.__name__: f for f in made}
 
 

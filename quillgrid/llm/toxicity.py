@@ -13,10 +13,8 @@ toxic tokens. Rows with one doc_id are scored each. Without labels of both kinds
 
 from __future__ import annotations
 
-import functools
 import math
 import re
-from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -25,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgrid.llm.common import key_and_text, texts, whole_text
+from quillgrid.llm.fingerprints import mix
 from quillgrid.llm.wordbpe import runs
 
 #: The bound of the sample: documents of each label, and characters of each that are read for training.
@@ -42,11 +41,6 @@ def features(word: str) -> list[str]:
     return [f"w={word}", *(f"{n}={word[:n]}" for n in BEGINNINGS if len(word) > n)]
 
 
-@functools.lru_cache(maxsize=300_000)
-def _features(run: str) -> tuple[str, ...]:
-    return tuple(features(word_of(run)))
-
-
 def chains(ends: np.ndarray, most: int = CHAIN) -> np.ndarray:
     """First index of each chain; ends: whether a token closes a sentence or text."""
     if not len(ends):
@@ -92,53 +86,58 @@ class Model:
     document: tuple[float, float, float] = (-100.0, 0.0, 0.0)
 
 
-def contexts(split: list[list[str]]) -> Counter:
-    """In how many different surroundings each feature occurs; copies of a text add nothing."""
-    seen = {(before, run, after) for doc in split for before, run, after in zip(["", *doc], doc, [*doc[1:], ""], strict=False)}
-    return Counter(f for _, run, _ in seen for f in _features(run))
+def contexts(flat: np.ndarray, n: int) -> np.ndarray:
+    """In how many different surroundings each of n runs occurs; copies of a text add nothing. Run 0 parts texts."""
+    around = mix(mix(flat[:-2].astype(np.uint64), 1) ^ flat[1:-1].astype(np.uint64), 2) ^ mix(flat[2:].astype(np.uint64), 3)
+    _, first = np.unique(around, return_index=True)
+    return np.bincount(flat[1:-1][first], minlength=n)
 
 
-def weak_words(toxic: list[list[str]], clean: list[list[str]]) -> set[str]:
-    """Features in far more surroundings of toxic documents than of clean ones, by likelihood ratio."""
-    a, b = contexts(toxic), contexts(clean)
-    n, m = max(1, sum(map(len, toxic))), max(1, sum(map(len, clean)))
-    found = set()
-    for x, k in a.items():
-        j = b.get(x, 0)
-        if k / n <= 8 * j / m:
-            continue
-        p = (k + j) / (n + m)
-        if 2 * (k * math.log(k / n / p) + (j * math.log(j / m / p) if j else 0)) > LEAST_RATIO:
-            found.add(x)
-    return found
+def weak_features(a: np.ndarray, b: np.ndarray, n: int, m: int) -> np.ndarray:
+    """Features in far more surroundings of toxic documents (a, of n tokens) than of clean ones (b, of m), by likelihood ratio."""
+    p = (a + b) / (n + m)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        ratio = 2 * (a * np.log(a / n / p) + np.where(b > 0, b * np.log(b / m / p), 0))
+    return (a / n > 8 * b / m) & (ratio > LEAST_RATIO)
 
 
 def fit(toxic: list[str], clean: list[str], seed: int = 7) -> Model:
     toxic, clean = list(dict.fromkeys(toxic)), list(dict.fromkeys(clean))
     if not toxic or not clean:
         return Model()
-    split = [[r for r in runs(t) if r] for t in [*toxic, *clean]]
-    weak = weak_words(split[: len(toxic)], split[len(toxic) :])
+    # Runs as numbers; 0 stands between texts.
+    known: dict[str, int] = {"": 0}
+    parts = [np.asarray([0, *(known.setdefault(r, len(known)) for r in runs(t) if r)], np.int32) for t in [*toxic, *clean]]
+    sizes = np.asarray([len(x) for x in parts])
+    flat = np.append(np.concatenate(parts), np.int32(0))
+    del parts
+    edge = int(sizes[: len(toxic)].sum())
+    # Feature numbers of each run; 0 is none.
+    index, width = {"": 0}, 1 + len(BEGINNINGS)
+    of_run = np.zeros((len(known), width), np.int32)
+    closes = np.zeros(len(known), dtype=bool)
+    for r, k in known.items():
+        if k:
+            got = [index.setdefault(f, len(index)) for f in features(word_of(r))]
+            of_run[k, : len(got)] = got
+            closes[k] = r[-1] in ".!?"
+    seen = [np.bincount(of_run.ravel(), weights=np.repeat(contexts(x, len(known)), width), minlength=len(index)) for x in (flat[: edge + 1], flat[edge:])]
+    weak = weak_features(*seen, max(1, edge), max(1, len(flat) - edge))
+    weak[0] = False
     # Sentences: all with a labelled token, and others up to a bound.
-    rng, index, rows, labels, lengths = np.random.default_rng(seed), {"": 0}, [], [], []
-    share = min(1.0, SENTENCES / max(1, sum(map(len, split)) / 12))
-    for d, doc in enumerate(split):
-        sentence: list[str] = []
-        for k, r in enumerate(doc):
-            sentence.append(r)
-            if r[-1] in ".!?" or len(sentence) == CHAIN or k == len(doc) - 1:
-                mark = [d < len(toxic) and any(f in weak for f in _features(x)) for x in sentence]
-                if any(mark) or rng.random() < share:
-                    for x in sentence:
-                        rows.append([index.setdefault(f, len(index)) for f in _features(x)])
-                    labels += mark
-                    lengths.append(len(sentence))
-                sentence = []
+    token = np.flatnonzero(flat)
+    ends = closes[flat[token]] | (flat[token + 1] == 0)
+    mark = weak[of_run[flat[token]]].any(axis=1) & (token < edge)
+    starts = chains(ends)
+    lengths = np.diff(np.append(starts, len(token)))
+    some = np.add.reduceat(mark, starts) > 0 if len(starts) else np.zeros(0, dtype=bool)
+    use = some | (np.random.default_rng(seed).random(len(starts)) < min(1.0, SENTENCES / max(1, len(starts))))
+    picked = np.repeat(use, lengths)
+    feats = of_run[flat[token[picked]]].astype(np.int64)
+    labels, lengths = mark[picked], lengths[use]
+    if not len(labels):
+        return Model()
     y = np.asarray(labels, dtype=float)
-    width = 1 + len(BEGINNINGS)
-    feats = np.zeros((len(rows), width), np.int64)
-    for k, row in enumerate(rows):
-        feats[k, : len(row)] = row
     starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
     inner = np.ones(len(y), dtype=bool)
     inner[starts] = False
@@ -165,7 +164,8 @@ def fit(toxic: list[str], clean: list[str], seed: int = 7) -> Model:
     kept = {names[k]: float(w[k]) for k in np.flatnonzero(np.abs(w) > 0.02) if k}
     model = Model(kept, float(bias), trans, float(start))
     # Document scores: logistic regression on what the marginals of the sample's documents give.
-    x = np.asarray([summary(p) for p, _ in document_marginals([*toxic, *clean], Scores(model), model)])
+    memory, every = Scores(model), [*toxic, *clean]
+    x = np.asarray([summary(p) for lo in range(0, len(every), 128) for p, _ in document_marginals(every[lo : lo + 128], memory, model)])
     target = np.arange(len(x)) < len(toxic)
     coef = np.zeros(3)
     design = np.column_stack([np.ones(len(x)), x])
