@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgrid.llm import bpe_tree, edit_counts, fingerprints, licenses, lines, multi_index, packing, prob_minhash, toxicity
+from quillgrid.llm import bpe_tree, edit_counts, fingerprints, licenses, lines, multi_index, packing, prob_minhash, suffixes, toxicity
 from quillgrid.llm.common import table
 
 
@@ -51,6 +51,12 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prob_minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What repeats of 100 bytes leave of every document."""
+    made = suffixes.dedup(table(spark, sf_dir, "documents"))
+    return made.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licences of every document."""
     return licenses.scan(table(spark, sf_dir, "documents"))
@@ -76,7 +82,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (op1_line_dedup, op2_multi_index, op3_bpe, op4_toxicity, op5_token_counts, op6_minhash, op8_licenses, op9_packing, op10_fingerprints)
+    made = (op1_line_dedup, op2_multi_index, op3_bpe, op4_toxicity, op5_token_counts, op6_minhash, op7_suffixes, op8_licenses, op9_packing, op10_fingerprints)
     return {f.__name__: f for f in made}
 
 
