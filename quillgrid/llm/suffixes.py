@@ -405,7 +405,7 @@ def cut(raw: bytes, pieces: list[dict]) -> tuple[bytes, int]:
 
 
 def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """The columns of docs with text as what is left of it, and n_bytes, n_removed, n_spans and kept (the bytes).
+    """The columns of docs with text as what is left of it, and n_bytes, n_removed, n_spans and kept (the bytes), which replace columns of these names.
 
     Where a removal ends inside a character, its bytes in text give way to U+FFFD; kept has them. Text without a removal is the same, null included.
     """
@@ -414,8 +414,9 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     pieces = pieces.select(F.col("doc").alias("__doc"), F.col("tie").alias("__tie"), "__pieces")
     here = (doc == F.col("__doc")) & (tie == F.col("__tie"))
     joined = docs.join(pieces, here, "left").drop("__doc", "__tie")
-    names = docs.columns
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    fields = [f for f in docs.schema if f.name not in ("n_bytes", "n_removed", "n_spans", "kept")]
+    names = [f.name for f in fields]
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
 
     def run(batches):
         for batch in batches:

@@ -269,6 +269,24 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return key_and_text(docs).mapInArrow(run, KINDS)
 
 
+def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs, all columns, that score under 0.5."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+
+    def run(batches):
+        scores = _scores(shared)
+        a, b, c = shared.value.document
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 128):
+                part = batch.slice(lo, 128)
+                got = document_marginals([t or "" for t in texts(part)], scores, shared.value)
+                clean = [a + b * x + c * m < 0 for x, m in (summary(p) for p, _ in got)]
+                yield part.filter(pa.array(clean, pa.bool_()))
+
+    return docs.mapInArrow(run, kinds)
+
+
 _held: dict = {}
 
 
