@@ -1 +1,6 @@
+"""All registered queries, and SQL for their rows."""
 
+from quillgrid.plans import benchmark, preference  # noqa: F401
+from quillgrid.plans.registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
