@@ -180,8 +180,8 @@ def outcomes(spark, sf_dir):
 p AS (SELECT *, row_number() OVER (ORDER BY reserved DESC, score DESC, repo) AS place FROM k) SELECT repo, track, score FROM p WHERE place <= 20""")
 def quota(spark, sf_dir):
     rows = scored(spark, sf_dir).select("repo", "track", "skip_reason", "score")
-    # A repository counts once. The aggregate also keeps the optimizer from carrying the score's many cases along as constraints.
-    return discovery.quota(rows.filter("skip_reason IS NULL AND score >= 50").groupBy("repo", "track").agg(F.max("score").alias("score")), 20)
+    # A repository counts once. The filter stands after the aggregate, lest the optimizer carry the score's many cases along as constraints; skipped ones have score 0.
+    return discovery.quota(rows.groupBy("repo", "track").agg(F.max("score").alias("score")).filter("score >= 50"), 20)
 
 
 @query("q38_text_facts", r"""SELECT page_id, len(string_split(html, chr(10))) AS n_lines, CAST(len(regexp_extract_all(html, 'href="([^"]+)"', 1)) AS INTEGER) AS links, CAST(len(list_filter(regexp_extract_all(html, '\b[0-9]{2,}\b'), lambda x: x NOT IN ('100', '200', '201', '204', '301', '302', '400', '401', '403', '404', '500'))) AS INTEGER) AS numbers FROM pages""")
