@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of an Arrow batch between Spark and Python: bounds a worker's memory with long texts.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -29,6 +32,32 @@ def whole_text() -> Column:
     return F.coalesce(F.col("text"), F.lit("")).alias("text")
 
 
+def tidy(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; at their end, memory that the worker has freed goes back to the system, as workers live on between tasks."""
+    yield from rows
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """The batches in tables of about so many rows."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            yield pa.Table.from_batches(held)
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held)
+
+
+def in_batches(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """df.mapInArrow that leaves a tidy worker."""
+    return df.mapInArrow(lambda batches: tidy(work(batches)), schema)
+
+
 def key_and_text(docs: DataFrame) -> DataFrame:
     """doc_id and text alone, so that further columns of any name cannot clash."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text())
@@ -48,6 +77,11 @@ def column(batch, name: str):
     return found.combine_chunks() if isinstance(found, pa.ChunkedArray) else found
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets the driver notice which shuffles nothing refers to any more, so that executors delete their files now and not at some later collection."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def stored(df: DataFrame) -> DataFrame:
     """df, written as Parquet beside the session's checkpoints and read again: cuts its lineage, takes less room than rows."""
     import uuid

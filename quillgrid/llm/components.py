@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillgrid.llm.common import free_shuffles
+
 
 def _with_least(pairs: DataFrame) -> DataFrame:
     """u, v, and m: the least of u and all its v."""
@@ -39,3 +41,4 @@ def components(links: DataFrame) -> DataFrame:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
         before = mark
         now = _small_star(_large_star(now)).checkpoint()
+        free_shuffles(links.sparkSession)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillgrid.llm.common import column, partitions
+from quillgrid.llm.common import column, free_shuffles, in_batches, partitions
 from quillgrid.llm.components import components
 
 
@@ -41,7 +41,7 @@ def crowded(buckets: DataFrame) -> DataFrame:
                 yield batch.filter(pa.array(keep))
 
     spread = buckets.repartition(partitions(buckets.sparkSession), "key").sortWithinPartitions("key")
-    return spread.mapInArrow(run, buckets.schema)
+    return in_batches(spread, run, buckets.schema)
 
 
 def _ordered(a: str, b: str, more: list[str]) -> list[Column]:
@@ -67,4 +67,6 @@ def links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], also: li
     left = labelled.join(mixed, "key").select("key", F.col("root").alias("root_a"), F.col("node").alias("node_a"), *(F.col(m).alias(f"{m}_a") for m in also))
     right = left.select("key", *(F.col(c).alias(f"{c[:-1]}b") for c in left.columns if c != "key"))
     rest = left.join(right, "key").filter("root_a < root_b").select(*_ordered("node_a", "node_b", also)).filter(near).select("u", "v").distinct().join(tried, ["u", "v"], "left_anti")
-    return found.unionByName(verify(rest)).checkpoint()
+    every = found.unionByName(verify(rest)).checkpoint()
+    free_shuffles(members.sparkSession)
+    return every

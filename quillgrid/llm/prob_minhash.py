@@ -17,7 +17,8 @@ null doc_id takes no part in links and has a null class.
 
 from __future__ import annotations
 
-import functools
+from collections.abc import Iterable
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgrid.llm.common import key_and_text, texts
+from quillgrid.llm.common import in_batches, key_and_text, texts
 from quillgrid.llm.components import components
 from quillgrid.llm.fingerprints import mix
 from quillgrid.llm.linking import crowded, links
@@ -33,29 +34,16 @@ from quillgrid.llm.linking import crowded, links
 WORDS, BANDS, ROWS, LEAST = 5, 25, 5, 0.8
 
 
-class WordHashes(dict):
-    """Word -> its 64-bit digest as eight bytes."""
-
-    def __missing__(self, word: str) -> bytes:
-        made = xxhash.xxh3_64_intdigest(word).to_bytes(8, "little")
-        if len(self) > 1_000_000:
-            self.clear()
-        if len(word) <= 64:
-            self[word] = made
-        return made
-
-
-@functools.cache
-def word_hashes() -> WordHashes:
-    return WordHashes()
+def word_digests(lists: Iterable[Iterable[str]], n: int) -> np.ndarray:
+    """The 64-bit digests of the n words in lists."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, chain.from_iterable(lists)), np.uint64, n)
 
 
 def shingles(texts: list[str], words: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Owner, digest and count of the distinct shingles of each text, ordered by owner and digest."""
-    memory = word_hashes()
     split = [t.lower().split() for t in texts]
     n = np.fromiter(map(len, split), np.int64, len(split))
-    flat = np.frombuffer(b"".join(memory[w] for s in split for w in s), np.uint64)
+    flat = word_digests(split, int(n.sum()))
     owner = np.repeat(np.arange(len(split)), n)
     begin = np.repeat(np.cumsum(n) - n, n)
     place = np.arange(len(flat)) - begin
@@ -142,7 +130,7 @@ def _sketches(rows: DataFrame, words: int, bands: int, per_band: int) -> DataFra
             listed = [k.tolist() if s else [] for k, s in zip(keys, some, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.binary()), pa.array(listed, pa.list_(pa.int64()))], ["doc_id", "same", "keys"])
 
-    return rows.mapInArrow(run, "doc_id long, same binary, keys array<long>")
+    return in_batches(rows, run, "doc_id long, same binary, keys array<long>")
 
 
 def _shingle_sets(rows: DataFrame, words: int) -> DataFrame:
@@ -154,7 +142,7 @@ def _shingle_sets(rows: DataFrame, words: int) -> DataFrame:
             sets = [as_bytes(element[a:b], weight[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["node", "set"])
 
-    return rows.mapInArrow(run, "node long, set binary")
+    return in_batches(rows, run, "node long, set binary")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -168,7 +156,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
     left = sets.select(F.col("node").alias("u"), F.col("set").alias("a"))
     right = sets.select(F.col("node").alias("v"), F.col("set").alias("b"))
-    return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+    return in_batches(pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b"), run, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, bands: int = BANDS, per_band: int = ROWS, least: float = LEAST) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillgrid.llm.common import column, partitions, stored, texts, whole_text
+from quillgrid.llm.common import column, in_batches, partitions, stored, texts, whole_text
 
 LENGTH, GRAM = 100, 32
 #: Bytes that multikey quicksort looks at before the blind tries.
@@ -247,7 +247,7 @@ def _anchor_rows(keyed: DataFrame, length: int, gram: int) -> DataFrame:
             packed = _packed(tie[text], place, place - low, high - low)
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key.view(np.int64), whole.view(np.int64), doc[text], packed)], ["key", "whole", "doc", "packed"])
 
-    return keyed.mapInArrow(run, "key long, whole long, doc long, packed long")
+    return in_batches(keyed, run, "key long, whole long, doc long, packed long")
 
 
 def _first_and_copies(rows: DataFrame) -> DataFrame:
@@ -290,7 +290,7 @@ def _first_and_copies(rows: DataFrame) -> DataFrame:
                 first = (int(key[last]), int(whole[last]), int(doc[last]), int(packed[last]))
 
     spread = rows.repartition(partitions(rows.sparkSession), "key").sortWithinPartitions("key", "whole", "doc", "packed")
-    return spread.mapInArrow(run, kinds)
+    return in_batches(spread, run, kinds)
 
 
 def _segments(keyed: DataFrame, firsts: DataFrame, length: int) -> DataFrame:
@@ -313,7 +313,7 @@ def _segments(keyed: DataFrame, firsts: DataFrame, length: int) -> DataFrame:
                     out[3].append(raw[place - back : place - back + span + length])
             yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in out[:3]), pa.array(out[3], pa.binary())], ["key", "doc", "packed", "bytes"])
 
-    return near.join(by_doc, ["doc", "tie"]).select("doc", "text", "segments").mapInArrow(run, "key long, doc long, packed long, bytes binary")
+    return in_batches(near.join(by_doc, ["doc", "tie"]).select("doc", "text", "segments"), run, "key long, doc long, packed long, bytes binary")
 
 
 MARKS = "doc long, tie long, begin long, finish long"
@@ -357,7 +357,7 @@ def _sorted_marks(segments: DataFrame, length: int, gram: int) -> DataFrame:
             yield done(parts)
 
     spread = segments.repartition(partitions(segments.sparkSession), "key").sortWithinPartitions("key", "doc", "packed")
-    return spread.mapInArrow(run, MARKS)
+    return in_batches(spread, run, MARKS)
 
 
 def _hot_marks(segments: DataFrame, length: int) -> DataFrame:
@@ -371,7 +371,7 @@ def _hot_marks(segments: DataFrame, length: int) -> DataFrame:
                 n = span + 1
                 yield pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), pa.array([doc] * n), pa.array([tie] * n), pa.array([place - back + k for k in range(n)])], ["digest", "doc", "tie", "begin"])
 
-    rows = segments.mapInArrow(strings, "digest binary, doc long, tie long, begin long")
+    rows = in_batches(segments, strings, "digest binary, doc long, tie long, begin long")
     order = F.struct("doc", "tie", "begin")
     first = rows.groupBy("digest").agg(F.min(order).alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first")
     return rows.join(first, "digest").filter(order != F.col("first")).select("doc", "tie", "begin", (F.col("begin") + length).alias("finish"))
@@ -433,4 +433,4 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 own[at] = pa.array([None if t is None else len(t) for t in out[0]]).cast(own[at].type)
             yield pa.RecordBatch.from_arrays([*own, *(pa.array(x, pa.int64()) for x in out[1:4]), pa.array(out[4], pa.binary())], [*names, "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return joined.mapInArrow(run, f"{kinds}, n_bytes long, n_removed long, n_spans long, kept binary")
+    return in_batches(joined, run, f"{kinds}, n_bytes long, n_removed long, n_spans long, kept binary")
