@@ -218,6 +218,8 @@ def repeats(group: np.ndarray, data: np.ndarray, begin: np.ndarray, back: np.nda
 
 
 NEVER = (1 << 63) - 1
+#: Marks the packed place of a segment that is known as a copy.
+COPY = 1 << 62
 
 
 def _packed(tie, place, back, span):
@@ -245,7 +247,19 @@ def _anchor_rows(keyed: DataFrame, length: int, gram: int) -> DataFrame:
             text, place, low, high, key, whole = anchors(np.frombuffer(b"".join(raw), np.uint8), ends, length, gram)
             doc, tie = np.asarray(column(batch, "doc")), np.asarray(column(batch, "tie"))
             packed = _packed(tie[text], place, place - low, high - low)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key.view(np.int64), whole.view(np.int64), doc[text], packed)], ["key", "whole", "doc", "packed"])
+            key, whole, doc = key.view(np.int64), whole.view(np.int64), doc[text]
+            # Copies within the batch are no first occurrences wherever else the segment is: they go their own way, spread evenly.
+            order = np.lexsort((packed, doc, whole, key))
+            a, b = order[:-1], order[1:]
+            same = (key[a] == key[b]) & (whole[a] == whole[b])
+            first = np.maximum.accumulate(np.where(np.concatenate([[True], ~same]), np.arange(len(order)), 0)) if len(order) else order
+            copy = np.concatenate([[False], same]) & ((doc[order] != doc[order][first]) | (packed[order] != packed[order][first])) if len(order) else np.zeros(0, dtype=bool)
+            hit = order[copy]
+            key, whole, packed = key.copy(), whole.copy(), packed.copy()
+            key[hit] = mix((doc[hit] ^ packed[hit] << 20).astype(np.uint64)).view(np.int64)
+            whole[hit] = 0
+            packed[hit] |= COPY
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, whole, doc, packed)], ["key", "whole", "doc", "packed"])
 
     return in_batches(keyed, run, "key long, whole long, doc long, packed long")
 
@@ -262,6 +276,12 @@ def _first_and_copies(rows: DataFrame) -> DataFrame:
             if not batch.num_rows:
                 continue
             key, whole, doc, packed = (np.asarray(column(batch, n)) for n in ("key", "whole", "doc", "packed"))
+            told_copy = packed >= COPY
+            if told_copy.any():
+                yield pa.RecordBatch.from_arrays([pa.nulls(int(told_copy.sum()), pa.int64()), pa.array(doc[told_copy]), pa.array(packed[told_copy] ^ COPY)], names)
+                key, whole, doc, packed = (x[~told_copy] for x in (key, whole, doc, packed))
+                if not len(key):
+                    continue
             new = np.ones(len(key), dtype=bool)
             new[1:] = (key[1:] != key[:-1]) | (whole[1:] != whole[:-1])
             goes_on = first is not None and first[:2] == (int(key[0]), int(whole[0]))
