@@ -11,12 +11,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillgrid.session import ship
+
 #: Bytes of an Arrow batch between Spark and Python: bounds a worker's memory with long texts.
 BATCH_BYTES = 1 << 20
 
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Bounds Arrow batches, and names a checkpoint folder only where the session has none."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     if not spark.sparkContext.getConf().get("spark.checkpoint.dir") and not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quillgrid-"))
