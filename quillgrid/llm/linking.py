@@ -49,22 +49,47 @@ def _ordered(a: str, b: str, more: list[str]) -> list[Column]:
     return [F.least(a, b).alias("u"), F.greatest(a, b).alias("v"), *(F.when(swap, F.col(y)).otherwise(F.col(x)).alias(z) for m in more for x, y, z in ((f"{m}_a", f"{m}_b", f"{m}_u"), (f"{m}_b", f"{m}_a", f"{m}_v")))]
 
 
-def links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], also: list[str] | None = None, near: Column | None = None) -> DataFrame:
-    """Verified pairs u < v. members: key and node (crowded and checkpointed) and the columns `also`.
+def mixed_buckets(members: DataFrame, found: DataFrame) -> DataFrame:
+    """The members, with root, of buckets that hold several components of the links found."""
+    labelled = members.join(components(found), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = labelled.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("key")
+    return labelled.join(mixed, "key").checkpoint()
+
 
-    near: a condition on also_u and also_v of a pair that is cheaper than verify and never false for a link.
+def links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], also: list[str] | None = None, near: Column | None = None, finish: Callable[[DataFrame], DataFrame] | None = None, rounds: int = 2) -> DataFrame:
+    """Verified pairs u < v that connect all that is linked. members: key and node (checkpointed) and the columns `also`.
+
+    The first round's centre of a bucket goes by a hash of node and key, a later one's by most links so far, for one text
+    that many were made from is linked with all of them. near: a condition on also_u and also_v of a pair that is cheaper
+    than verify and never false for a link. finish: takes mixed buckets and gives the links between their components;
+    by default, all pairs between components are verified.
     """
     also = also or []
     near = F.lit(True) if near is None else near
-    centre = F.min(F.struct(F.xxhash64("node", "key").alias("order"), "node", *also)).alias("centre")
-    first = members.groupBy("key").agg(centre).select("key", F.col("centre.node").alias("node_b"), *(F.col(f"centre.{m}").alias(f"{m}_b") for m in also))
-    named = members.select("key", F.col("node").alias("node_a"), *(F.col(m).alias(f"{m}_a") for m in also))
-    tried = named.join(first, "key").filter("node_a != node_b").select(*_ordered("node_a", "node_b", also)).filter(near).select("u", "v").distinct().checkpoint()
-    found = verify(tried).checkpoint()
-    roots = components(found)
-    labelled = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = labelled.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("key")
-    left = labelled.join(mixed, "key").select("key", F.col("root").alias("root_a"), F.col("node").alias("node_a"), *(F.col(m).alias(f"{m}_a") for m in also))
+    few, found, tried = members, None, None
+    for number in range(rounds):
+        rated = few.withColumn("degree", F.lit(0))
+        if number:
+            both = found.select("u").unionByName(found.select(F.col("v").alias("u")))
+            degrees = both.groupBy(F.col("u").alias("node")).agg(F.count("*").cast("int").alias("degree"))
+            rated = few.join(degrees, "node", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+        centre = F.min(F.struct((-F.col("degree")).alias("few"), F.xxhash64("node", "key").alias("order"), "node", *also)).alias("centre")
+        first = rated.groupBy("key").agg(centre).select("key", F.col("centre.node").alias("node_b"), *(F.col(f"centre.{m}").alias(f"{m}_b") for m in also))
+        named = few.select("key", F.col("node").alias("node_a"), *(F.col(m).alias(f"{m}_a") for m in also))
+        fresh = named.join(first, "key").filter("node_a != node_b").select(*_ordered("node_a", "node_b", also)).filter(near).select("u", "v").distinct()
+        if tried is not None:
+            fresh = fresh.join(tried, ["u", "v"], "left_anti")
+        fresh = fresh.checkpoint()
+        more = verify(fresh)
+        found = (more if found is None else found.unionByName(more)).checkpoint()
+        tried = fresh if tried is None else tried.unionByName(fresh)
+        few = mixed_buckets(members, found)
+        free_shuffles(members.sparkSession)
+        if few.isEmpty():
+            return found
+    if finish is not None:
+        return found.unionByName(finish(few)).checkpoint()
+    left = few.select("key", F.col("root").alias("root_a"), F.col("node").alias("node_a"), *(F.col(m).alias(f"{m}_a") for m in also))
     right = left.select("key", *(F.col(c).alias(f"{c[:-1]}b") for c in left.columns if c != "key"))
     rest = left.join(right, "key").filter("root_a < root_b").select(*_ordered("node_a", "node_b", also)).filter(near).select("u", "v").distinct().join(tried, ["u", "v"], "left_anti")
     every = found.unionByName(verify(rest)).checkpoint()

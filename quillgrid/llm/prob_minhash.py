@@ -6,9 +6,9 @@ earliest arrival, and an element stops once its next arrival is later than all s
 documents agree in a slot with their probability Jaccard similarity (Ertl 2020). Bands of the signature
 name candidates; the similarity of candidates is computed exactly from their shingles.
 
-Candidates of a bucket are first its members with one of them, another one in each band. Buckets that
-then still hold several components are done in full between components. So no pair of
-different texts that shares a bucket is left out unless both are connected already.
+Candidates of a bucket are first its members with one of them, another one in each band, then with the one that has
+most links so far. Buckets that then still hold several components are compared in full between components, in blocks
+whose pairs never leave the task. So no pair of different texts that shares a bucket is left out unless both are connected already.
 
 Equal texts (in words and case folded) are one class. Null text counts as empty; texts without a word are one class.
 Texts of fewer than five words have one element: all their words. Rows with one doc_id share a class;
@@ -26,12 +26,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgrid.llm.common import in_batches, key_and_text, texts
+from quillgrid.llm.common import column, in_batches, key_and_text, partitions, texts
 from quillgrid.llm.components import components
 from quillgrid.llm.fingerprints import mix
 from quillgrid.llm.linking import crowded, links
 
 WORDS, BANDS, ROWS, LEAST = 5, 25, 5, 0.8
+#: Members of a bucket whose sets a task holds and compares at once.
+BLOCK = 1024
 
 
 def word_digests(lists: Iterable[Iterable[str]], n: int) -> np.ndarray:
@@ -159,8 +161,92 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return in_batches(pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b"), run, "u long, v long")
 
 
+def similar_pairs(sets: list[tuple[np.ndarray, np.ndarray]], root: np.ndarray, side: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Pairs at least that similar, enough to connect what they connect, of sets with different roots (and on different sides, if there are two).
+
+    Common elements of all pairs come from products of incidence matrices, a few thousand elements at a time; sets with
+    weights other than 1 are compared one by one.
+    """
+    n = len(sets)
+    element = np.concatenate([e for e, _ in sets])
+    owner = np.repeat(np.arange(n), [len(e) for e, _ in sets])
+    _, number, times = np.unique(element, return_inverse=True, return_counts=True)
+    rank = np.cumsum(times > 1) - 1
+    often = times[number] > 1
+    number, owner = rank[number[often]], owner[often]
+    common = np.zeros((n, n), np.float32)
+    order = np.argsort(number, kind="stable")
+    number, owner = number[order], owner[order]
+    width = 2048
+    cuts = np.searchsorted(number, np.arange(0, number[-1] + 1 + width, width)) if len(number) else [0]
+    for k in range(len(cuts) - 1):
+        part = np.zeros((n, width), np.float32)
+        part[owner[cuts[k] : cuts[k + 1]], number[cuts[k] : cuts[k + 1]] - k * width] = 1
+        common += part @ part.T
+    size = np.asarray([len(e) for e, _ in sets], np.float64)
+    union = size[:, None] + size[None, :] - common
+    apart = np.triu((root[:, None] != root[None, :]) & ((side[:, None] != side[None, :]) | (side.min() == side.max())), 1)
+    odd = np.asarray([(w != 1).any() for _, w in sets])
+    hit = apart & (common >= least * union - 1e-6) & ~odd[:, None] & ~odd[None, :]
+    close = list(zip(*np.nonzero(hit), strict=True))
+    close += [(i, j) for i, j in zip(*np.nonzero(apart & (odd[:, None] | odd[None, :]) & (common > 0)), strict=True) if similarity(*sets[i], *sets[j]) >= least]
+    group = {r: r for r in root.tolist()}
+
+    def top(r: int) -> int:
+        while group[r] != r:
+            group[r] = group[group[r]]
+            r = group[r]
+        return r
+
+    out = []
+    for i, j in close:
+        a, b = top(int(root[i])), top(int(root[j]))
+        if a != b:
+            group[a] = b
+            out.append((int(i), int(j)))
+    return out
+
+
+def _links_between(few: DataFrame, sets: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
+    """Links between components of mixed buckets: members and their sets meet in blocks of about `block`, a large bucket in pairs of blocks."""
+    parts = few.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+    mine = few.select("key", "node", "root").join(parts, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    met = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = met.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root").join(sets, "node")
+
+    def run(batches):
+        for group in _groups(batches, ["key", "i", "j"]):
+            node, root, own = (np.asarray(column(group, c)) for c in ("node", "root", "own"))
+            held = [from_bytes(x) for x in column(group, "set").to_pylist()]
+            pairs = similar_pairs(held, root, own, least) if len(held) > 1 else []
+            ends = [sorted((int(node[a]), int(node[b]))) for a, b in pairs]
+            yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in ends], pa.int64()) for k in (0, 1)], ["u", "v"])
+
+    spread = rows.repartition(partitions(few.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return in_batches(spread.select("key", "i", "j", "own", "node", "root", "set"), run, "u long, v long").distinct()
+
+
+def _groups(batches, keys: list[str]):
+    """Tables of equal keys from sorted batches."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        values = list(zip(*(column(batch, k).to_pylist() for k in keys), strict=True))
+        cuts = [0, *(k for k in range(1, len(values)) if values[k] != values[k - 1]), len(values)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if held and values[a] != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = values[a]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, bands: int = BANDS, per_band: int = ROWS, least: float = LEAST) -> DataFrame:
-    """doc_id, class_id (the least doc_id of its class) and n_links (verified links of its text to different ones)."""
+    """doc_id and class_id, the least doc_id of its class."""
     rows = key_and_text(docs)
     made = _sketches(rows, words, bands, per_band)
     sketched = made.filter(F.col("doc_id").isNotNull()).checkpoint()
@@ -170,15 +256,14 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, bands: int = BANDS, per
     members = crowded(nodes.select("node", F.explode("keys").alias("key"))).checkpoint()
     wanted = members.select("node").distinct()
     sets = _shingle_sets(rows.join(wanted, rows.doc_id == wanted.node, "left_semi").dropDuplicates(["doc_id"]), words).checkpoint()
-    found = links(members, lambda pairs: _verified(pairs, sets, least))
+    found = links(members, lambda pairs: _verified(pairs, sets, least), finish=lambda few: _links_between(few, sets, least))
     # Rows of one doc_id with several texts are one document.
     several = member.filter("doc_id != node").groupBy("doc_id").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low != high")
     tied = member.join(several.select("doc_id"), "doc_id").select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
     roots = components(found.unionByName(tied))
-    degree = found.select("u").unionByName(found.select(F.col("v").alias("u"))).groupBy("u").agg(F.count("*").alias("n_links"))
-    labels = member.join(roots, "node", "left").join(degree.withColumnRenamed("u", "node"), "node", "left")
-    out = labels.select("doc_id", F.coalesce("root", "node").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    none = rows.filter(F.col("doc_id").isNull()).select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    labels = member.join(roots, "node", "left")
+    out = labels.select("doc_id", F.coalesce("root", "node").alias("class_id"))
+    none = rows.filter(F.col("doc_id").isNull()).select("doc_id", F.lit(None).cast("long").alias("class_id"))
     return out.unionByName(none)
 
 
