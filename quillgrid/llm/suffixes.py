@@ -231,12 +231,12 @@ def _unpacked(packed: np.ndarray) -> tuple[np.ndarray, ...]:
     return packed >> 46, packed >> 14 & 0xFFFFFFFF, packed >> 7 & 127, packed & 127
 
 
-def _keys(docs: DataFrame) -> tuple[Column, Column]:
-    """doc (doc_id, null as the largest number) and tie (0 if doc_ids are unique, else by the text)."""
+def _keys(docs: DataFrame) -> tuple[Column, Column, bool]:
+    """doc (doc_id, null as the largest number), tie (0 if doc_ids are unique, else by the text), and whether a doc_id occurs again."""
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(NEVER))
     again = docs.select(doc.alias("doc")).groupBy("doc").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count()
     tie = F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit((1 << 16) - 1)) + 1 if again else F.lit(0)
-    return doc, tie.cast("long")
+    return doc, tie.cast("long"), bool(again)
 
 
 def _anchor_rows(keyed: DataFrame, length: int, gram: int) -> DataFrame:
@@ -397,16 +397,17 @@ def _hot_marks(segments: DataFrame, length: int) -> DataFrame:
     return rows.join(first, "digest").filter(order != F.col("first")).select("doc", "tie", "begin", (F.col("begin") + length).alias("finish"))
 
 
-def marks(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int = MOST_SEGMENTS) -> DataFrame:
-    """doc, tie, begin and finish: bytes of repeated strings, in overlapping pieces."""
+def marks(keyed: DataFrame, again: bool = True, length: int = LENGTH, gram: int = GRAM, most: int = MOST_SEGMENTS) -> DataFrame:
+    """doc, tie, begin and finish: bytes of repeated strings, in overlapping pieces. again: whether rows may share doc and tie."""
+    once = keyed.dropDuplicates(["doc", "tie"]) if again else keyed
     told = stored(_first_and_copies(_anchor_rows(keyed, length, gram)))
     begin = F.shiftright("packed", 14).bitwiseAND(0xFFFFFFFF) - F.shiftright("packed", 7).bitwiseAND(127)
     copies = told.filter("key IS NULL").select("doc", F.shiftright("packed", 46).alias("tie"), begin.alias("begin"), (begin + F.col("packed").bitwiseAND(127) + length).alias("finish"))
     firsts = told.filter("key IS NOT NULL")
     hot = firsts.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > most).select("key").checkpoint()
-    found = copies.unionByName(_sorted_marks(_segments(keyed, firsts.join(hot, "key", "left_anti"), length), length, gram))
+    found = copies.unionByName(_sorted_marks(_segments(once, firsts.join(hot, "key", "left_anti"), length), length, gram))
     if hot.count():
-        found = found.unionByName(_hot_marks(_segments(keyed, firsts.join(hot, "key", "left_semi"), length), length))
+        found = found.unionByName(_hot_marks(_segments(once, firsts.join(hot, "key", "left_semi"), length), length))
     return found
 
 
@@ -429,8 +430,8 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     Where a removal ends inside a character, its bytes in text give way to U+FFFD; kept has them. Text without a removal is the same, null included.
     """
-    doc, tie = _keys(docs)
-    pieces = marks(docs.select(doc.alias("doc"), tie.alias("tie"), whole_text()), length).groupBy("doc", "tie").agg(F.collect_list(F.struct("begin", "finish")).alias("__pieces"))
+    doc, tie, again = _keys(docs)
+    pieces = marks(docs.select(doc.alias("doc"), tie.alias("tie"), whole_text()), again, length).groupBy("doc", "tie").agg(F.collect_list(F.struct("begin", "finish")).alias("__pieces"))
     pieces = pieces.select(F.col("doc").alias("__doc"), F.col("tie").alias("__tie"), "__pieces")
     here = (doc == F.col("__doc")) & (tie == F.col("__tie"))
     joined = docs.join(pieces, here, "left").drop("__doc", "__tie")
