@@ -35,14 +35,32 @@ def whole_text() -> Column:
     return F.coalesce(F.col("text"), F.lit("")).alias("text")
 
 
-def tidy(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches; at their end, memory that the worker has freed goes back to the system, as workers live on between tasks."""
-    yield from rows
+_memories: list[dict] = []
+
+
+def keep_only(memory: dict | None) -> None:
+    """Of the memories of words and runs that a worker has, only this one stays: workers live on from one operator to the next."""
+    if memory is not None and not any(memory is m for m in _memories):
+        _memories.append(memory)
+    for m in _memories:
+        if m is not memory and m:
+            m.clear()
+
+
+def give_back() -> None:
+    """Returns freed memory to the system."""
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def tidy(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; at their end, memory that the worker has freed goes back to the system, as workers live on between tasks."""
+    keep_only(None)
+    yield from rows
+    give_back()
+
+
 def gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
     """The batches in tables of about so many rows."""
     held, n = [], 0

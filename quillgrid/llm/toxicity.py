@@ -22,13 +22,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillgrid.llm.common import key_and_text, texts, whole_text
+from quillgrid.llm.common import give_back, keep_only, key_and_text, texts, whole_text
 from quillgrid.llm.fingerprints import mix
 from quillgrid.llm.wordbpe import runs
 
 #: The bound of the sample: documents of each label, and characters of each that are read for training.
-TOXIC_DOCS, CLEAN_DOCS, TRAIN_CHARS = 1500, 3000, 20_000
-SENTENCES, STEPS, CHAIN, LEAST_RATIO = 60_000, 60, 128, 20.0
+TOXIC_DOCS, CLEAN_DOCS, TRAIN_CHARS = 1000, 2000, 12_000
+SENTENCES, STEPS, CHAIN, LEAST_RATIO = 40_000, 60, 128, 20.0
 EDGE = re.compile(r"^\W+|\W+$")
 BEGINNINGS = (4, 5, 6)
 
@@ -188,7 +188,7 @@ class Scores(dict):
         get = self.model.weights.get
         score = self.model.bias + sum(get(f, 0.0) for f in features(word_of(run)))
         made = np.asarray([score, float(run[-1:] in (".", "!", "?"))], dtype="<f4").tobytes()
-        if len(self) > 1_500_000:
+        if len(self) > 600_000:
             self.clear()
         if len(run) <= 64:
             self[run] = made
@@ -243,7 +243,9 @@ def sample(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list[str]]:
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
-    return fit(*sample(docs, labels))
+    model = fit(*sample(docs, labels))
+    give_back()
+    return model
 
 
 KINDS = "doc_id long, score double, predicted int, spans array<struct<begin: int, end: int, p: double>>"
@@ -294,4 +296,5 @@ def _scores(shared) -> Scores:
     """The worker's memory of runs, for one model at a time."""
     if _held.get("of") is not shared.value:
         _held.update(of=shared.value, scores=Scores(shared.value))
+    keep_only(_held["scores"])
     return _held["scores"]

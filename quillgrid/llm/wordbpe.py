@@ -12,6 +12,8 @@ import re
 
 import numpy as np
 
+from quillgrid.llm.common import keep_only
+
 #: Letters of Latin-1, which lower one by one and are whole pre-tokens, and a closing point or comma, which is another.
 PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
 
@@ -91,9 +93,9 @@ def _memory(kind: type, path: str):
 def memory(kind: type, path: str, most: int = 1_500_000):
     """The worker's memory of runs, emptied once it holds `most` of them."""
     held = _memory(kind, path)
+    keep_only(held)
     if len(held) > most:
         held.clear()
-        held[""] = b"" if kind is Runs else 0
     return held
 
 
