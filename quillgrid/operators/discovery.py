@@ -74,7 +74,7 @@ def quota(rows: DataFrame, most: int, by: str = "track", points: str = "score",
     each = max(2, 2 * most // 5)
     order = [F.desc(points), F.asc(name)]
     first = rows.withColumn("k", F.row_number().over(Window.partitionBy(by).orderBy(*order))).withColumn("reserved", F.col("k") <= each)
-    return first.withColumn("place", F.row_number().over(Window.orderBy(F.desc("reserved"), *order))).filter(F.col("place") <= most).drop("k", "place", "reserved").orderBy(*order)
+    return first.orderBy(F.desc("reserved"), *order).limit(most).drop("k", "reserved").orderBy(*order)
 
 
 def candidates(sources: list[DataFrame], block: list[DataFrame], key: str = "repo") -> DataFrame:

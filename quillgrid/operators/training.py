@@ -80,7 +80,7 @@ def dpo_pairs(rows: DataFrame, most: int = 10_000, retry_weight: float = 0.6) ->
     for number, part, weight in tries:
         one = pick_pairs(dropped, split.filter(F.col("part") == part), "category").select("*", F.lit(number).alias("try"), F.lit(weight).alias("weight"))
         pairs = one if pairs is None else pairs.unionByName(one)
-    capped = pairs.withColumn("n", F.row_number().over(Window.orderBy("try", "category", "dropped_id"))).filter(F.col("n") <= most)
+    capped = pairs.orderBy("try", "category", "dropped_id").limit(most)  # a top-k: each task keeps its own before any meet
     lose = split.select(F.col("id").alias("dropped_id"), F.concat(F.lit(DPO_HEAD), facts_prompt(), F.lit(DPO_TAIL)).alias("prompt"), finding_json().alias("rejected"), F.coalesce("verification_notes", F.lit("")).alias("rejected_notes"))
     win = split.select(F.col("id").alias("chosen_id"), finding_json().alias("chosen"))
     out = capped.join(lose, "dropped_id").join(win, "chosen_id")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillgrid.operators import evaluation, facts, verify
+from quillgrid.operators import batches, evaluation, facts, verify
 from quillgrid.plans.benchmark import quoted
 from quillgrid.plans.registry import query
 from quillgrid.sources import readers, schemas
@@ -119,3 +119,18 @@ VERSIONS = [("deep", "1.9.0", 8, 10), ("deep", "1.10.0", 6, 10), ("deep", "2.0.0
 def versions(spark, sf_dir):
     rows = spark.createDataFrame([(t, v, None if k == 9 else k < c) for t, v, c, n in VERSIONS for k in range(n)], "tier string, version string, correct boolean")
     return evaluation.version_deltas(evaluation.evaluate(rows)).select("tier", "version", "accuracy", "status", "previous", "change", "regressed")
+
+
+REPLIES = [
+    ("own--lib_b0", '```json\n{"findings": [{"category": "dead_code", "file": "a.py", "confidence": 0.5}, {"category": "long_file", "file": "b.py"}]}\n```'),
+    ("own--lib_b7", '[{"category": "naming_convention", "file": "c.py", "line": 3}]'),
+    ("who--else_b1", '{"findings": [{"category": "god_class", "file": "d.py"}]}'),
+    ("own--lib_b9", "no json"),
+]
+
+
+@query("q45_batch_findings", "SELECT * FROM (VALUES ('own/lib', false, 'own--lib_b0', 0, 'dead_code', 'a.py', 0.5::DOUBLE), ('own/lib', false, 'own--lib_b0', 1, 'long_file', 'b.py', NULL), ('own/lib', false, 'own--lib_b7', 0, 'naming_convention', 'c.py', NULL), ('who/else', true, 'who--else_b1', 0, 'god_class', 'd.py', NULL)) AS t(repo, orphan, batch_id, pos, category, file, confidence)")
+def batch_findings(spark, sf_dir):
+    prompts_ = spark.createDataFrame([("own/lib", 0, "p")], "repo string, batch int, prompt string")
+    found = batches.findings(spark.createDataFrame(REPLIES, "custom_id string, text string"))
+    return batches.with_repo(found, batches.requests(prompts_)).select("repo", "orphan", F.col("_batch_id").alias("batch_id"), "pos", "category", "file", "confidence")
