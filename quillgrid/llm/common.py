@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -100,9 +101,17 @@ def column(batch, name: str):
 
 def free_shuffles(spark: SparkSession) -> None:
     """Lets the driver notice which shuffles nothing refers to any more, so that executors delete their files now and not at some later collection."""
+    gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """df, checkpointed: no lineage, and the files of the shuffles behind it may go."""
+    done = df.checkpoint()
+    free_shuffles(df.sparkSession)
+    return done
+
+
 def stored(df: DataFrame) -> DataFrame:
     """df, written as Parquet beside the session's checkpoints and read again: cuts its lineage, takes less room than rows."""
     import uuid
@@ -110,4 +119,5 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{prepare(spark).sparkContext.getCheckpointDir()}/stored-{uuid.uuid4()}"
     df.write.parquet(path)
+    free_shuffles(spark)
     return spark.read.schema(df.schema).parquet(path)

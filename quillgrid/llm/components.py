@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgrid.llm.common import free_shuffles
+from quillgrid.llm.common import settled
 
 
 def _with_least(pairs: DataFrame) -> DataFrame:
@@ -20,7 +20,7 @@ def _with_least(pairs: DataFrame) -> DataFrame:
 
 def _large_star(links: DataFrame) -> DataFrame:
     both = links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return _with_least(both).filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return _with_least(both).filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(links: DataFrame) -> DataFrame:
@@ -33,12 +33,11 @@ def _small_star(links: DataFrame) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """links: columns u and v of one type. Gives node and root, the least node it is connected with, for all nodes of links between two nodes."""
-    now = links.select("u", "v").filter(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().checkpoint()
+    now = settled(links.select("u", "v").filter(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = None
     while True:
         mark = now.agg(F.count("*").alias("n"), F.sum((F.xxhash64("u", "v") % (1 << 40)).cast("long")).alias("h")).first()
         if mark == before or not mark.n:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
         before = mark
-        now = _small_star(_large_star(now)).checkpoint()
-        free_shuffles(links.sparkSession)
+        now = settled(_small_star(_large_star(now)))

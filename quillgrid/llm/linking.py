@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillgrid.llm.common import column, free_shuffles, in_batches, partitions
+from quillgrid.llm.common import column, in_batches, partitions, settled
 from quillgrid.llm.components import components
 
 
@@ -53,7 +53,7 @@ def mixed_buckets(members: DataFrame, found: DataFrame) -> DataFrame:
     """The members, with root, of buckets that hold several components of the links found."""
     labelled = members.join(components(found), "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = labelled.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("key")
-    return labelled.join(mixed, "key").checkpoint()
+    return settled(labelled.join(mixed, "key"))
 
 
 def links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], also: list[str] | None = None, near: Column | None = None, finish: Callable[[DataFrame], DataFrame] | None = None, rounds: int = 2) -> DataFrame:
@@ -79,19 +79,16 @@ def links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], also: li
         fresh = named.join(first, "key").filter("node_a != node_b").select(*_ordered("node_a", "node_b", also)).filter(near).select("u", "v").distinct()
         if tried is not None:
             fresh = fresh.join(tried, ["u", "v"], "left_anti")
-        fresh = fresh.checkpoint()
+        fresh = settled(fresh)
         more = verify(fresh)
-        found = (more if found is None else found.unionByName(more)).checkpoint()
+        found = settled(more if found is None else found.unionByName(more))
         tried = fresh if tried is None else tried.unionByName(fresh)
         few = mixed_buckets(members, found)
-        free_shuffles(members.sparkSession)
         if few.isEmpty():
             return found
     if finish is not None:
-        return found.unionByName(finish(few)).checkpoint()
+        return settled(found.unionByName(finish(few)))
     left = few.select("key", F.col("root").alias("root_a"), F.col("node").alias("node_a"), *(F.col(m).alias(f"{m}_a") for m in also))
     right = left.select("key", *(F.col(c).alias(f"{c[:-1]}b") for c in left.columns if c != "key"))
     rest = left.join(right, "key").filter("root_a < root_b").select(*_ordered("node_a", "node_b", also)).filter(near).select("u", "v").distinct().join(tried, ["u", "v"], "left_anti")
-    every = found.unionByName(verify(rest)).checkpoint()
-    free_shuffles(members.sparkSession)
-    return every
+    return settled(found.unionByName(verify(rest)))

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgrid.llm.common import column, in_batches, key_and_text, partitions, texts
+from quillgrid.llm.common import column, in_batches, key_and_text, partitions, settled, texts
 from quillgrid.llm.components import components
 from quillgrid.llm.fingerprints import mix
 from quillgrid.llm.linking import crowded, links
@@ -249,13 +249,13 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, bands: int = BANDS, per
     """doc_id and class_id, the least doc_id of its class."""
     rows = key_and_text(docs)
     made = _sketches(rows, words, bands, per_band)
-    sketched = made.filter(F.col("doc_id").isNotNull()).checkpoint()
+    sketched = settled(made.filter(F.col("doc_id").isNotNull()))
     # Equal texts first: one node for each, so that links are between different texts only.
-    nodes = sketched.groupBy("same").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys")).checkpoint()
-    member = sketched.select("doc_id", "same").join(nodes.select("same", "node"), "same").select("doc_id", "node").checkpoint()
-    members = crowded(nodes.select("node", F.explode("keys").alias("key"))).checkpoint()
+    nodes = settled(sketched.groupBy("same").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys")))
+    member = settled(sketched.select("doc_id", "same").join(nodes.select("same", "node"), "same").select("doc_id", "node"))
+    members = settled(crowded(nodes.select("node", F.explode("keys").alias("key"))))
     wanted = members.select("node").distinct()
-    sets = _shingle_sets(rows.join(wanted, rows.doc_id == wanted.node, "left_semi").dropDuplicates(["doc_id"]), words).checkpoint()
+    sets = settled(_shingle_sets(rows.join(wanted, rows.doc_id == wanted.node, "left_semi").dropDuplicates(["doc_id"]), words))
     found = links(members, lambda pairs: _verified(pairs, sets, least), finish=lambda few: _links_between(few, sets, least))
     # Rows of one doc_id with several texts are one document.
     several = member.filter("doc_id != node").groupBy("doc_id").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low != high")
