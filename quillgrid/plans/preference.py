@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgrid.functions import text as t
-from quillgrid.operators import discovery, evaluation, facts, training, verify
+from quillgrid.operators import discovery, evaluation, training, verify
 from quillgrid.plans.benchmark import quoted
 from quillgrid.plans.registry import query, table
-from quillgrid.sources import readers, schemas, sinks
+from quillgrid.sources import sinks
 
 FINDINGS_SQL = "SELECT d.doc_id AS id, d.source AS category, d.lang AS teacher, l.quality AS verified, l.toxic, d.n_chars FROM labels l JOIN documents d USING (doc_id)"
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quillgrid.operators import batches, evaluation, facts, verify
 from quillgrid.plans.benchmark import quoted
 from quillgrid.plans.registry import query
-from quillgrid.sources import readers, schemas
+from quillgrid.sources import readers
 
 BODY = "\n".join(f"    step_{k} = {k}" for k in range(10))
 SOURCES = {
