@@ -17,6 +17,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -346,7 +347,7 @@ def _sorted_marks(segments: DataFrame, length: int, gram: int) -> DataFrame:
         t = pa.Table.from_batches(parts)
         key, doc, packed, held = column(t, "key"), np.asarray(column(t, "doc")), np.asarray(column(t, "packed")), column(t, "bytes")
         tie, place, back, span = _unpacked(packed)
-        sizes = np.asarray(pa.compute.binary_length(held)).astype(np.int64)
+        sizes = np.asarray(pc.binary_length(held)).astype(np.int64)
         data = np.frombuffer(b"".join(held.to_pylist()), np.uint8)
         k = np.asarray(key)
         group = np.cumsum(np.concatenate([[0], k[1:] != k[:-1]]))
@@ -356,8 +357,6 @@ def _sorted_marks(segments: DataFrame, length: int, gram: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(a.astype(np.int64)) for a in arrays], ["doc", "tie", "begin", "finish"])
 
     def run(batches):
-        import pyarrow.compute  # noqa: F401
-
         parts, rows = [], 0
         for batch in batches:
             if not batch.num_rows:
