@@ -130,3 +130,10 @@ def verify(findings: DataFrame, facts: DataFrame) -> DataFrame:
     )
     judged = rows.withColumn("judged", rule)
     return judged.select(*findings.columns, F.col("judged.verified").alias("verified"), F.col("judged.notes").alias("notes"))
+
+
+def with_prompts(findings: DataFrame, facts: DataFrame, parts: DataFrame) -> DataFrame:
+    """Findings with the prompt part (repo, ord, part) of the file that they resolve to, and a hash of its facts."""
+    found = resolve(findings.withColumn("file", F.coalesce("file", F.lit(""))), facts).withColumn("ord", F.col("f.ord"))
+    hashed = found.withColumn("facts_hash", F.when(F.col("f").isNotNull(), F.left(F.sha2(F.to_json("f").cast("binary"), 256), F.lit(16))))
+    return hashed.join(parts.select("repo", "ord", F.col("part").alias("facts_prompt")), ["repo", "ord"], "left").select(*findings.columns, "facts_prompt", "facts_hash")

@@ -62,3 +62,12 @@ def console_rows(rows: DataFrame, widths: dict[str, int]) -> DataFrame:
     """One text column: numbers to the right, other values to the left, cut to their widths."""
     number = {f.name for f in rows.schema if f.dataType.typeName() in ("integer", "long", "double", "float", "short", "byte")}
     return rows.select(F.concat_ws(" ", *((F.lpad if c in number else F.rpad)(F.coalesce(F.col(c).cast("string"), F.lit("")), w, " ") for c, w in widths.items())).alias("line"))
+
+
+def dataset_card(stats: DataFrame, most: int = 10) -> DataFrame:
+    """One row, report: sums of category statistics and the table of the largest categories."""
+    best = stats.orderBy(F.desc("total"), "category").limit(most).withColumn("place", F.row_number().over(Window.orderBy(F.desc("total"), "category")))
+    table = markdown_table(best, ["category", "verified", "dropped", "total", "verification_rate"], ["place"], "Largest categories")
+    sums = stats.agg(F.coalesce(F.sum("verified"), F.lit(0)).alias("verified"), F.coalesce(F.sum("dropped"), F.lit(0)).alias("dropped"), F.count("*").alias("n"))
+    head = F.concat(F.lit("# Dataset\n\nverified: "), F.col("verified").cast("string"), F.lit("\ndropped: "), F.col("dropped").cast("string"), F.lit("\ncategories: "), F.col("n").cast("string"), F.lit("\n\n"))
+    return sums.crossJoin(F.broadcast(table)).select(F.concat(head, "report").alias("report"))

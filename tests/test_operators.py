@@ -167,3 +167,18 @@ def test_streaming(spark, tmp_path):
     q.awaitTermination(60)
     got = spark.read.parquet(str(tmp_path / "state" / "state-0"))
     assert sorted((r.key, r.seq) for r in got.collect()) == [(0, 6), (1, 7), (2, 8)]
+
+
+def test_prompts_of_findings(spark):
+    from quillgrid.operators import verify
+
+    f = facts.extract(review.source_files(spark))
+    rows = verify.with_prompts(review.findings(spark), f, facts.prompt_lines(f)).orderBy("seq").collect()
+    assert rows[0].facts_prompt is None and rows[0].facts_hash is None
+    assert rows[1].facts_prompt.startswith("FILE: app/core.py") and rows[2].facts_prompt == rows[1].facts_prompt and len(rows[1].facts_hash) == 16
+
+
+def test_dataset_card(spark):
+    stats = training.category_stats(training.split_rows(training_rows(spark)))
+    report = sinks.dataset_card(stats, most=2).first().report
+    assert "verified: 2\ndropped: 4\ncategories: 4" in report and report.count("\n| c") == 3
