@@ -14,6 +14,7 @@ toxic tokens. Rows with one doc_id are scored each. Without labels of both kinds
 from __future__ import annotations
 
 import math
+import pickle
 import re
 from dataclasses import dataclass, field
 
@@ -231,21 +232,27 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 
 
-def sample(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list[str]]:
-    """At most TOXIC_DOCS toxic and CLEAN_DOCS clean texts of the training folds, by the order of a hash of doc_id."""
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """toxic, h and text of at most TOXIC_DOCS toxic and CLEAN_DOCS clean documents of the training folds, by the order of a hash of doc_id."""
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     picked = [known.filter(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for k, n in ((1, TOXIC_DOCS), (0, CLEAN_DOCS))]
     # The picked ids are a few thousand at any size, so they may be broadcast.
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text()).join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id")
-    got = rows.select("toxic", F.xxhash64("doc_id").alias("h"), F.substring("text", 1, TRAIN_CHARS).alias("text")).collect()
-    got.sort(key=lambda r: (r.h, r.text))
-    return [r.text for r in got if r.toxic == 1], [r.text for r in got if r.toxic == 0]
+    return rows.select("toxic", F.xxhash64("doc_id").alias("h"), F.substring("text", 1, TRAIN_CHARS).alias("text"))
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
-    model = fit(*sample(docs, labels))
-    give_back()
-    return model
+    """The model of the bounded sample, fitted in one task; the driver gets its weights only."""
+
+    def run(batches):
+        keep_only(None)
+        rows = sorted((r["h"], r["text"], r["toxic"]) for batch in batches for r in batch.to_pylist())
+        model = fit([t for _, t, k in rows if k == 1], [t for _, t, k in rows if k == 0])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+        give_back()
+
+    fitted = sample(docs, labels).repartition(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(fitted[0].model) if fitted else Model()
 
 
 KINDS = "doc_id long, score double, predicted int, spans array<struct<begin: int, end: int, p: double>>"
