@@ -13,7 +13,7 @@ from quillgrid.llm.common import table
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that go from every document, and the digest of what stays."""
-    made = lines.dedup(table(spark, sf_dir, "documents"))
+    made = lines.dedup(table(spark, sf_dir, "documents"), whole=True)
     return made.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.size("removed").cast("long").alias("n_removed"), "removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
