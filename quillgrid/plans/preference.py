@@ -123,7 +123,17 @@ _EDGES = "SELECT DISTINCT l_partkey AS part, l_suppkey AS supp FROM lineitem WHE
 
 @query("q33_shared_pairs", f"WITH e AS ({_EDGES}) SELECT a.supp AS a, b.supp AS b, count(*) AS shared FROM e a JOIN e b ON a.part = b.part AND a.supp < b.supp GROUP BY ALL")
 def shared(spark, sf_dir):
-    e = table(spark, sf_dir, "lineitem").filter("l_partkey % 40 = l_suppkey % 40").select(F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supp")).distinct()
+    return shared_pairs(table(spark, sf_dir, "lineitem").filter("l_partkey % 40 = l_suppkey % 40"))
+
+
+@query("q46_all_shared_pairs")
+def all_shared(spark, sf_dir):
+    return shared_pairs(table(spark, sf_dir, "lineitem"))
+
+
+def shared_pairs(items):
+    """Pairs of suppliers a < b with how many parts they share, over all rows of items."""
+    e = items.select(F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supp")).distinct()
     other = e.select("part", F.col("supp").alias("b"))
     return e.withColumnRenamed("supp", "a").join(other, "part").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
 
