@@ -1,18 +1,23 @@
 """Licence scans by sentence rules.
 
-A text is cut into sentences; each, in lower case with only letters and digits kept, is looked up among
-known licence sentences and becomes its identifier. The identifiers, in order, are matched against
-rules: a rule holds if its identifiers occur in its order. All of it is SQL expressions.
+Comment marks and bullets at the beginning of lines are stripped. Stops and blank lines end a sentence; ends of lines and
+semicolons may be within one. Runs between these places, in lower case with only letters and digits kept, are looked up among
+known licence sentences, the longest first, and become their identifiers. The identifiers, in order, are matched against
+rules: a rule holds if its identifiers occur in its order. Lookups are in Python, rules in SQL expressions. The DuckDB
+SQL cuts at every line's end and in 'v. 2.0': it has the same rows only where no licence sentence is wrapped or commented.
 
 Null and empty texts have no identifiers and no licence. Rows with one doc_id are scanned each.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgrid.llm.common import key_and_text
+from quillgrid.llm.common import in_batches, key_and_text, texts
 
 # Normalised sentences of public licence texts and notices, with identifiers.
 SENTENCES = {
@@ -54,27 +59,60 @@ RULES = [
     ("BSD-3-Clause", [40, 41, 42, 43]), ("BSD-2-Clause", [40, 41, 42]), ("MPL-2.0", [50]), ("Unlicense", [60]),
 ]
 
-#: A sentence ends at a stop before white space, or at a line's end; version numbers hold stops and stay whole.
-CUT = "[.!?]+[ \t\r]+|[\r\n]+"
+#: What every known sentence holds one of.
+HINT = re.compile("licen[sc]e|redistribution|copyright|unencumbered")
+#: Comment marks and bullets at the beginning of a line.
+MARKS = re.compile(r"(?:[^\w\s]+|(?:rem|dnl)\s|\(?[0-9a-z]{1,3}\)|\s+)*")
+LINE_END = re.compile("\r\n|\r|\n")
+#: The stop of 'v. 2.0' ends no sentence.
+VERSION = re.compile(r"\bv\.\s+(?=[0-9])")
+STOP = re.compile(r"[.!?]+[ \t\n]+|\n[ \t]*\n")
+MAYBE = re.compile("[;\n]")
 OTHER = "[^a-z0-9]+"
+WORDS = re.compile("[a-z0-9]+")
 
 
 def pattern(ids: list[int]) -> str:
     return "".join(f"% {i} " for i in ids) + "%"
 
 
-def identifiers(text: Column) -> Column:
+MOST_WORDS = max(len(s.split()) for s in SENTENCES)
+FIRST_WORDS = {s.split()[0] for s in SENTENCES}
+
+
+def identifiers(text: str) -> list[int]:
     """Identifiers of known sentences, in order."""
-    known = F.create_map(*(F.lit(x) for pair in SENTENCES.items() for x in pair))
-    longest = max(map(len, SENTENCES))
-    sentences = F.filter(F.split(F.lower(text), CUT), lambda s: F.char_length(s) <= 2 * longest)
-    cleaned = F.transform(sentences, lambda s: F.try_element_at(known, F.trim(F.regexp_replace(s, OTHER, " "))))
-    return F.filter(cleaned, lambda i: i.isNotNull())
+    text = text.lower()
+    if not HINT.search(text):
+        return []
+    found = []
+    bare = "\n".join(line[MARKS.match(line).end() :] for line in LINE_END.split(text))
+    for sentence in STOP.split(VERSION.sub("v ", bare)):
+        words, places = [], [0]
+        for part in MAYBE.split(sentence):
+            words += WORDS.findall(part)
+            if len(words) > places[-1]:
+                places.append(len(words))
+        done = 0
+        for k, begin in enumerate(places[:-1]):
+            if begin < done or words[begin] not in FIRST_WORDS:
+                continue
+            for end in reversed(places[k + 1 :]):
+                if end - begin <= MOST_WORDS and (known := SENTENCES.get(" ".join(words[begin:end]))):
+                    found.append(known)
+                    done = end
+                    break
+    return found
+
+
+def _identified(batches):
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([identifiers(x) for x in texts(batch)], pa.list_(pa.int32()))], ["doc_id", "ids"])
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, sentence_ids (found identifiers), n_sentences and licenses (sorted, comma between)."""
-    marked = key_and_text(docs).select("doc_id", identifiers(F.col("text")).alias("ids"))
+    marked = in_batches(key_and_text(docs), _identified, "doc_id long, ids array<int>")
     spaced = F.concat(F.lit(" "), F.array_join(F.col("ids").cast("array<string>"), "  "), F.lit(" "))
     found = [F.when(F.col("spaced").like(pattern(ids)), F.lit(name)) for name, ids in RULES]
     return marked.withColumn("spaced", spaced).select(
