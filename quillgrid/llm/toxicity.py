@@ -27,8 +27,8 @@ from quillgrid.llm.common import give_back, keep_only, key_and_text, texts, whol
 from quillgrid.llm.fingerprints import mix
 from quillgrid.llm.wordbpe import runs
 
-#: The bound of the sample: documents of each label, and characters of each that are read for training.
-TOXIC_DOCS, CLEAN_DOCS, TRAIN_CHARS = 1000, 2000, 12_000
+#: The bound of the sample: documents of each label. Their whole texts are read, so the fitting task's memory goes with their length.
+TOXIC_DOCS, CLEAN_DOCS = 1000, 2000
 SENTENCES, STEPS, CHAIN, LEAST_RATIO = 40_000, 60, 128, 20.0
 EDGE = re.compile(r"^\W+|\W+$")
 BEGINNINGS = (4, 5, 6)
@@ -233,12 +233,12 @@ def held_out(doc_id: Column) -> Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """toxic, h and text of at most TOXIC_DOCS toxic and CLEAN_DOCS clean documents of the training folds, by the order of a hash of doc_id."""
+    """toxic, h and whole text of at most TOXIC_DOCS toxic and CLEAN_DOCS clean documents of the training folds, by the order of a hash of doc_id."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     picked = [known.filter(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for k, n in ((1, TOXIC_DOCS), (0, CLEAN_DOCS))]
     # The picked ids are a few thousand at any size, so they may be broadcast.
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text()).join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id")
-    return rows.select("toxic", F.xxhash64("doc_id").alias("h"), F.substring("text", 1, TRAIN_CHARS).alias("text"))
+    return rows.select("toxic", F.xxhash64("doc_id").alias("h"), "text")
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
