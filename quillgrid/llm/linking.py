@@ -1,22 +1,64 @@
 """Links of a similarity join from buckets of candidates, without all pairs of a bucket.
 
-First every member of a bucket is compared with one of them, its centre, which differs from bucket to bucket;
-then buckets whose members still belong to several components are done in full between
-components. Two members of a bucket that `verify` would link are therefore linked or connected already.
+First the members of a bucket gather around leaders: of those that are left, the one nearest the bits that most of them
+have leads; all that look near to it are compared with it and leave. Then buckets whose members still belong to
+several components are looked at again, in blocks: members that look near to one of another
+component are compared in full, in tasks that hold a pair of blocks. Two members of a bucket that look near and that `pairs` would link are therefore
+linked or connected already. What looks near is decided on sketches, by a bound that links don't miss.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgrid.llm.common import column, in_batches, partitions, settled
 from quillgrid.llm.components import components
 
+#: Members of a bucket that meet at once; larger buckets are cut into parts by a hash of the node.
+PART = 4096
+#: Members whose contents a task holds and compares at once.
+BLOCK = 1024
+
+
+def groups(batches: Iterator[pa.RecordBatch], keys: list[str], at_least: int = 0) -> Iterator[pa.Table]:
+    """Tables of whole groups with equal keys (of the first column, if several tables come at once) from sorted batches, at_least so many rows at a time."""
+    held: list[pa.RecordBatch] = []
+    rows, last = 0, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        values = np.stack([np.asarray(column(batch, k)) for k in keys])
+        new = np.ones(batch.num_rows, dtype=bool)
+        new[1:] = (values[:, 1:] != values[:, :-1]).any(axis=0)
+        new[0] = last is None or tuple(values[:, 0].tolist()) != last
+        begin = 0
+        for cut in np.flatnonzero(new).tolist():
+            if rows + cut - begin >= max(1, at_least):
+                if cut > begin:
+                    held.append(batch.slice(begin, cut - begin))
+                yield pa.Table.from_batches(held)
+                held, rows, begin = [], 0, cut
+        held.append(batch.slice(begin))
+        rows += batch.num_rows - begin
+        last = tuple(values[:, -1].tolist())
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def runs(*values: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin, and the end."""
+    n = len(values[0])
+    new = np.ones(n, dtype=bool)
+    for v in values:
+        new[1:] &= v[1:] == v[:-1]
+    new[1:] = ~new[1:]
+    return np.append(np.flatnonzero(new), n)
+
 
 def crowded(buckets: DataFrame) -> DataFrame:
     """Rows whose key occurs more than once: one shuffle by key, then a look at neighbours as the sorted rows stream by."""
@@ -44,51 +86,122 @@ def crowded(buckets: DataFrame) -> DataFrame:
     return in_batches(spread, run, buckets.schema)
 
 
-def _ordered(a: str, b: str, more: list[str]) -> list[Column]:
-    swap = F.col(a) > F.col(b)
-    return [F.least(a, b).alias("u"), F.greatest(a, b).alias("v"), *(F.when(swap, F.col(y)).otherwise(F.col(x)).alias(z) for m in more for x, y, z in ((f"{m}_a", f"{m}_b", f"{m}_u"), (f"{m}_b", f"{m}_a", f"{m}_v")))]
+def parted(members: DataFrame, part: int) -> DataFrame:
+    """Adds part: 0, or a hash of the node in keys with over `part` members, so that no task has to hold a hot key. Only such keys' counts are broadcast, one for `part` rows at least."""
+    hot = members.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > part)
+    hot = settled(hot.select("key", F.ceil(F.col("n") / part).cast("int").alias("parts")))
+    n = hot.count()
+    if not n:
+        return members.withColumn("part", F.lit(0)).withColumn("parts", F.lit(1))
+    some = F.broadcast(hot) if n <= 100_000 else hot
+    own = F.coalesce(F.pmod(F.xxhash64("node", F.lit(7)), F.col("parts")).cast("int"), F.lit(0))
+    return members.join(some, "key", "left").withColumn("part", own).withColumn("parts", F.coalesce("parts", F.lit(1)))
+
+
+def leaders(node: np.ndarray, also: np.ndarray, near: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Pairs of places: every member with the leader that it looks near to. also: a row of 64-bit values a member."""
+    left, u, v = np.arange(len(node)), [], []
+    votes = np.unpackbits(also.view(np.uint8), axis=1)
+    first = True
+    while len(left) > 1:
+        most = votes[left].mean(axis=0) > 0.5 if first or len(left) <= 256 else None
+        c = left[0] if most is None else left[int((votes[left] != most).sum(axis=1).argmin())]
+        first = False
+        hit = near(also[left], also[c]) & (left != c)
+        u.append(np.full(int(hit.sum()), c))
+        v.append(left[hit])
+        left = left[~hit & (left != c)]
+    return u, v
+
+
+def _stars(members: DataFrame, also: list[str], near: Callable) -> DataFrame:
+    """u and v: members of a bucket (a part of it) that look near to its leaders."""
 
+    def run(batches):
+        for held in groups(batches, ["key", "part"], 4 * PART):
+            node = np.asarray(column(held, "node"))
+            values = np.stack([np.asarray(column(held, c)) for c in also], axis=1).astype(np.int64)
+            cuts = runs(np.asarray(column(held, "key")), np.asarray(column(held, "part")))
+            sizes = np.diff(cuts)
+            two = cuts[:-1][sizes == 2]
+            hit = two[near(values[two], values[two + 1])] if len(two) else two
+            u, v = [hit], [hit + 1]
+            for lo, n in zip(cuts[:-1][sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
+                a, b = leaders(node[lo : lo + n], values[lo : lo + n], near)
+                u += [x + lo for x in a]
+                v += [x + lo for x in b]
+            a, b = node[np.concatenate(u)], node[np.concatenate(v)]
+            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
+
+    spread = members.repartition(partitions(members.sparkSession), "key", "part").sortWithinPartitions("key", "part")
+    return in_batches(spread.select("key", "part", "node", *also), run, "u long, v long").distinct()
+
+
+def _still_apart(members: DataFrame, roots: DataFrame, also: list[str], near: Callable) -> DataFrame:
+    """key, node and root of members that look near to one of another component in their bucket of three or more. Parts of a larger bucket meet in pairs, with the columns `also` only."""
 
-def mixed_buckets(members: DataFrame, found: DataFrame) -> DataFrame:
-    """The members, with root, of buckets that hold several components of the links found."""
-    labelled = members.join(components(found), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = labelled.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("key")
-    return settled(labelled.join(mixed, "key"))
+    def run(batches):
+        for held in groups(batches, ["key", "i", "j"], 4 * PART):
+            cuts = runs(*(np.asarray(column(held, c)) for c in ("key", "i", "j")))
+            root, side, whole = (np.asarray(column(held, c)) for c in ("root", "part", "parts"))
+            values = np.stack([np.asarray(column(held, c)) for c in also], axis=1).astype(np.int64)
+            keep = np.zeros(len(root), dtype=bool)
+            several = np.minimum.reduceat(root, cuts[:-1]) != np.maximum.reduceat(root, cuts[:-1])
+            for a, b in zip(cuts[:-1][several].tolist(), cuts[1:][several].tolist(), strict=True):
+                if b - a > 2 or whole[a] > 1:  # two alone have been compared
+                    two = side[a] != side[b - 1] or (side[a:b] != side[a]).any()
+                    for k in range(a, b):
+                        keep[k] = (near(values[a:b], values[k]) & (root[a:b] != root[k]) & ((side[a:b] != side[k]) | (not two))).any()
+            yield pa.RecordBatch.from_arrays([pa.array(np.asarray(column(held, c))[keep]) for c in ("key", "node", "root")], ["key", "node", "root"])
+
+    labelled = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    met = labelled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")})
+    spread = met.repartition(partitions(members.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return in_batches(spread.select("key", "i", "j", "part", "parts", "node", "root", *also), run, "key long, node long, root long").distinct()
+
+
+def _between(few: DataFrame, contents: DataFrame, pairs: Callable, block: int = BLOCK) -> DataFrame:
+    """Links between components of mixed buckets: members and their contents meet in blocks of about `block`, a large bucket in pairs of blocks."""
+    parts = few.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").drop("low", "high")
+    mine = few.join(parts, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    met = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = met.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root").join(contents, "node")
+
+    def run(batches):
+        for group in groups(batches, ["key", "i", "j"]):
+            node, root, own = (np.asarray(column(group, c)) for c in ("node", "root", "own"))
+            ends = pairs(column(group, "content"), root, own) if len(node) > 1 else []
+            found = [sorted((int(node[a]), int(node[b]))) for a, b in ends]
+            yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in found], pa.int64()) for k in (0, 1)], ["u", "v"])
 
+    spread = rows.repartition(partitions(few.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return in_batches(spread.select("key", "i", "j", "own", "node", "root", "content"), run, "u long, v long")
 
-def links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], also: list[str] | None = None, near: Column | None = None, finish: Callable[[DataFrame], DataFrame] | None = None, rounds: int = 2) -> DataFrame:
-    """Verified pairs u < v that connect all that is linked. members: key and node (checkpointed) and the columns `also`.
 
-    The first round's centre of a bucket goes by a hash of node and key, a later one's by most links so far, for one text
-    that many were made from is linked with all of them. near: a condition on also_u and also_v of a pair that is cheaper
-    than verify and never false for a link. finish: takes mixed buckets and gives the links between their components;
-    by default, all pairs between components are verified.
+def links(members: DataFrame, also: list[str], near: Callable, contents: Callable[[DataFrame], DataFrame], verify: Callable, pairs: Callable, part: int = PART, block: int = BLOCK) -> DataFrame:
+    """Verified pairs u and v that connect all that is linked.
+
+    members: key, node and the long columns `also` (checkpointed). near(rows, rows) tells from these which pairs look near. contents
+    gives node and content of the nodes in a column node; verify(contents, contents) tells which pairs are links;
+    pairs(contents, roots, sides) gives links between different roots (and sides, where there are two) that connect what all of them connect.
     """
-    also = also or []
-    near = F.lit(True) if near is None else near
-    few, found, tried = members, None, None
-    for number in range(rounds):
-        rated = few.withColumn("degree", F.lit(0))
-        if number:
-            both = found.select("u").unionByName(found.select(F.col("v").alias("u")))
-            degrees = both.groupBy(F.col("u").alias("node")).agg(F.count("*").cast("int").alias("degree"))
-            rated = few.join(degrees, "node", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
-        centre = F.min(F.struct((-F.col("degree")).alias("few"), F.xxhash64("node", "key").alias("order"), "node", *also)).alias("centre")
-        first = rated.groupBy("key").agg(centre).select("key", F.col("centre.node").alias("node_b"), *(F.col(f"centre.{m}").alias(f"{m}_b") for m in also))
-        named = few.select("key", F.col("node").alias("node_a"), *(F.col(m).alias(f"{m}_a") for m in also))
-        fresh = named.join(first, "key").filter("node_a != node_b").select(*_ordered("node_a", "node_b", also)).filter(near).select("u", "v").distinct()
-        if tried is not None:
-            fresh = fresh.join(tried, ["u", "v"], "left_anti")
-        fresh = settled(fresh)
-        more = verify(fresh)
-        found = settled(more if found is None else found.unionByName(more))
-        tried = fresh if tried is None else tried.unionByName(fresh)
-        few = mixed_buckets(members, found)
-        if few.isEmpty():
-            return found
-    if finish is not None:
-        return settled(found.unionByName(finish(few)))
-    left = few.select("key", F.col("root").alias("root_a"), F.col("node").alias("node_a"), *(F.col(m).alias(f"{m}_a") for m in also))
-    right = left.select("key", *(F.col(c).alias(f"{c[:-1]}b") for c in left.columns if c != "key"))
-    rest = left.join(right, "key").filter("root_a < root_b").select(*_ordered("node_a", "node_b", also)).filter(near).select("u", "v").distinct().join(tried, ["u", "v"], "left_anti")
-    return settled(found.unionByName(verify(rest)))
+    divided = parted(members, part)
+    stars = settled(_stars(divided, also, near))
+
+    def run(batches):
+        for batch in batches:
+            yield batch.select([0, 1]).filter(pa.array(verify(batch.column(2), batch.column(3)), pa.bool_()))
+
+    def ends(df: DataFrame) -> DataFrame:
+        return df.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+
+    held = settled(contents(ends(stars)))
+    left = held.select(F.col("node").alias("u"), F.col("content").alias("a"))
+    right = held.select(F.col("node").alias("v"), F.col("content").alias("b"))
+    found = settled(in_batches(stars.join(left, "u").join(right, "v").select("u", "v", "a", "b"), run, "u long, v long"))
+    few = settled(_still_apart(divided, components(found), also, near))
+    if few.isEmpty():
+        return found
+    more = _between(few, settled(contents(few.select("node").distinct())), pairs, block)
+    return found.unionByName(settled(more))

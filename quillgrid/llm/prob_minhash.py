@@ -6,12 +6,13 @@ earliest arrival, and an element stops once its next arrival is later than all s
 documents agree in a slot with their probability Jaccard similarity (Ertl 2020). Bands of the signature
 name candidates; the similarity of candidates is computed exactly from their shingles.
 
-Candidates of a bucket are first its members with one of them, another one in each band, then with the one that has
-most links so far. Buckets that then still hold several components are compared in full between components, in blocks
-whose pairs never leave the task. So no pair of different texts that shares a bucket is left out unless both are connected already.
+Candidates of a bucket are first its members with the leaders that they look near to by a bit of each slot; buckets that then still
+hold several components are compared in full between components, as far as members look near, in blocks
+whose pairs never leave the task. So no pair of different texts that shares a bucket and looks near is left out unless both are connected already;
+a link looks near unless over 36 of its 125 bits differ, where 12.5 are expected at a similarity of 0.8 (a chance below one in 10^9).
 
 Equal texts (in words and case folded) are one class. Null text counts as empty; texts without a word are one class.
-Texts of fewer than five words have one element: all their words. Rows with one doc_id share a class;
+Texts of fewer than five words have one element: all their words. Rows with one doc_id share a class, whatever their texts;
 null doc_id takes no part in links and has a null class.
 """
 
@@ -26,14 +27,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgrid.llm.common import column, in_batches, key_and_text, partitions, settled, texts
+from quillgrid.llm.common import column, free_name, in_batches, key_and_text, settled, stored, texts
 from quillgrid.llm.components import components
 from quillgrid.llm.fingerprints import mix
 from quillgrid.llm.linking import crowded, links
 
-WORDS, BANDS, ROWS, LEAST = 5, 25, 5, 0.8
-#: Members of a bucket whose sets a task holds and compares at once.
-BLOCK = 1024
+#: APART: bits of a signature (one a slot) in which similar texts may differ.
+WORDS, BANDS, ROWS, LEAST, APART = 5, 25, 5, 0.8, 36
 
 
 def word_digests(lists: Iterable[Iterable[str]], n: int) -> np.ndarray:
@@ -119,46 +119,58 @@ def from_bytes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, "<u8", n, 4), tail.astype(np.int64) if len(tail) else np.ones(n, np.int64)
 
 
+def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether texts with rows a and b of signature bits look near."""
+    return np.bitwise_count((a ^ b).view(np.uint64)).sum(axis=-1) <= APART
+
+
 def _sketches(rows: DataFrame, words: int, bands: int, per_band: int) -> DataFrame:
-    """doc_id, a digest of the folded words, and the band keys of every row."""
+    """doc_id, a digest of the folded words, the band keys of every row, and a bit of each of the first 128 slots."""
 
     def run(batches):
         for batch in batches:
             held = texts(batch)
             owner, element, weight = shingles(held, words)
-            keys = band_keys(signatures(owner, element, weight, len(held), bands * per_band), bands)
+            signature = signatures(owner, element, weight, len(held), bands * per_band)
+            keys = band_keys(signature, bands)
+            bits = np.zeros((len(held), 128), np.uint8)
+            few = min(128, bands * per_band)
+            bits[:, :few] = signature[:, :few] & np.uint64(1)
+            bits = np.packbits(bits, axis=1).view(np.int64)
             same = [xxhash.xxh3_128_digest(" ".join(t.lower().split())) for t in held]
             some = np.isin(np.arange(len(held)), owner)
-            listed = [k.tolist() if s else [] for k, s in zip(keys, some, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.binary()), pa.array(listed, pa.list_(pa.int64()))], ["doc_id", "same", "keys"])
+            listed = [k.tobytes() if s else b"" for k, s in zip(keys, some, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.binary()), pa.array(listed, pa.binary()), pa.array(bits[:, 0]), pa.array(bits[:, 1])], ["doc_id", "same", "keys", "high", "low"])
 
-    return in_batches(rows, run, "doc_id long, same binary, keys array<long>")
+    return in_batches(rows, run, "doc_id long, same binary, keys binary, high long, low long")
 
 
-def _shingle_sets(rows: DataFrame, words: int) -> DataFrame:
+def _buckets(nodes: DataFrame) -> DataFrame:
+    """key, node, high and low: a row for each band."""
+
     def run(batches):
         for batch in batches:
-            held = texts(batch)
-            owner, element, weight = shingles(held, words)
-            ends = np.searchsorted(owner, np.arange(len(held) + 1))
-            sets = [as_bytes(element[a:b], weight[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["node", "set"])
+            held = column(batch, "keys").to_pylist()
+            times = np.fromiter((len(k) // 8 for k in held), np.int64, len(held))
+            rest = [np.repeat(np.asarray(column(batch, c)), times) for c in ("node", "high", "low")]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.frombuffer(b"".join(held), np.int64), *rest)], ["key", "node", "high", "low"])
 
-    return in_batches(rows, run, "node long, set binary")
+    return in_batches(nodes.select("node", "keys", "high", "low"), run, "key long, node long, high long, low long")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The pairs whose sets are at least that similar."""
+def _shingle_sets(rows: DataFrame, words: int) -> DataFrame:
+    """node, content (its shingles) and a digest of the folded words."""
 
     def run(batches):
         for batch in batches:
-            a, b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            keep = [similarity(*from_bytes(x), *from_bytes(y)) >= least for x, y in zip(a, b, strict=True)]
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+            held = texts(batch)
+            owner, element, weight = shingles(held, words)
+            ends = np.searchsorted(owner, np.arange(len(held) + 1))
+            sets = [as_bytes(element[a:b], weight[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
+            same = [xxhash.xxh3_128_digest(" ".join(t.lower().split())) for t in held]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary()), pa.array(same, pa.binary())], ["node", "content", "same"])
 
-    left = sets.select(F.col("node").alias("u"), F.col("set").alias("a"))
-    right = sets.select(F.col("node").alias("v"), F.col("set").alias("b"))
-    return in_batches(pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b"), run, "u long, v long")
+    return in_batches(rows, run, "node long, content binary, same binary")
 
 
 def similar_pairs(sets: list[tuple[np.ndarray, np.ndarray]], root: np.ndarray, side: np.ndarray, least: float) -> list[tuple[int, int]]:
@@ -207,67 +219,53 @@ def similar_pairs(sets: list[tuple[np.ndarray, np.ndarray]], root: np.ndarray, s
     return out
 
 
-def _links_between(few: DataFrame, sets: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
-    """Links between components of mixed buckets: members and their sets meet in blocks of about `block`, a large bucket in pairs of blocks."""
-    parts = few.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
-    mine = few.select("key", "node", "root").join(parts, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    met = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = met.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root").join(sets, "node")
-
-    def run(batches):
-        for group in _groups(batches, ["key", "i", "j"]):
-            node, root, own = (np.asarray(column(group, c)) for c in ("node", "root", "own"))
-            held = [from_bytes(x) for x in column(group, "set").to_pylist()]
-            pairs = similar_pairs(held, root, own, least) if len(held) > 1 else []
-            ends = [sorted((int(node[a]), int(node[b]))) for a, b in pairs]
-            yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in ends], pa.int64()) for k in (0, 1)], ["u", "v"])
-
-    spread = rows.repartition(partitions(few.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return in_batches(spread.select("key", "i", "j", "own", "node", "root", "set"), run, "u long, v long").distinct()
-
-
-def _groups(batches, keys: list[str]):
-    """Tables of equal keys from sorted batches."""
-    held: list[pa.RecordBatch] = []
-    last = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        values = list(zip(*(column(batch, k).to_pylist() for k in keys), strict=True))
-        cuts = [0, *(k for k in range(1, len(values)) if values[k] != values[k - 1]), len(values)]
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            if held and values[a] != last:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(batch.slice(a, b - a))
-            last = values[a]
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def near_duplicates(docs: DataFrame, words: int = WORDS, bands: int = BANDS, per_band: int = ROWS, least: float = LEAST) -> DataFrame:
     """doc_id and class_id, the least doc_id of its class."""
     rows = key_and_text(docs)
     made = _sketches(rows, words, bands, per_band)
-    sketched = settled(made.filter(F.col("doc_id").isNotNull()))
+    sketched = stored(made.filter(F.col("doc_id").isNotNull()))
+    again = repeated(sketched)
     # Equal texts first: one node for each, so that links are between different texts only.
-    nodes = settled(sketched.groupBy("same").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys")))
-    member = settled(sketched.select("doc_id", "same").join(nodes.select("same", "node"), "same").select("doc_id", "node"))
-    members = settled(crowded(nodes.select("node", F.explode("keys").alias("key"))))
-    wanted = members.select("node").distinct()
-    sets = settled(_shingle_sets(rows.join(wanted, rows.doc_id == wanted.node, "left_semi").dropDuplicates(["doc_id"]), words))
-    found = links(members, lambda pairs: _verified(pairs, sets, least), finish=lambda few: _links_between(few, sets, least))
-    # Rows of one doc_id with several texts are one document.
-    several = member.filter("doc_id != node").groupBy("doc_id").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low != high")
-    tied = member.join(several.select("doc_id"), "doc_id").select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
-    roots = components(found.unionByName(tied))
-    labels = member.join(roots, "node", "left")
-    out = labels.select("doc_id", F.coalesce("root", "node").alias("class_id"))
+    nodes = stored(sketched.groupBy("same").agg(F.min("doc_id").alias("node"), F.max("keys").alias("keys"), F.max("high").alias("high"), F.max("low").alias("low")))
+    member = sketched.select("doc_id", "same").join(nodes.select("same", "node"), "same").select("doc_id", "node")
+    members = settled(crowded(_buckets(nodes)))
+
+    def contents(wanted: DataFrame) -> DataFrame:
+        sets = _shingle_sets(rows.join(wanted, rows.doc_id == wanted.node, "left_semi"), words)
+        if again is not None:  # a doc_id may have several texts, and rows of one text
+            sets = sets.dropDuplicates(["node", "same"])
+        return sets.select("node", "content")
+
+    def verify(a: pa.Array, b: pa.Array) -> list[bool]:
+        return [similarity(*from_bytes(x), *from_bytes(y)) >= least for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)]
+
+    def pairs(held: pa.Array, root: np.ndarray, side: np.ndarray) -> list[tuple[int, int]]:
+        return similar_pairs([from_bytes(x) for x in held.to_pylist()], root, side, least)
+
+    found = links(members, ["high", "low"], near, contents, verify, pairs)
+    if again is not None:
+        # Rows of one doc_id are one document: its texts' nodes are tied to the doc_id.
+        member = settled(member)
+        found = found.unionByName(member.join(again, "doc_id").filter("doc_id != node").select(F.col("doc_id").alias("u"), F.col("node").alias("v")))
+    out = member.join(components(found), "node", "left").select("doc_id", F.coalesce("root", "node").alias("class_id"))
     none = rows.filter(F.col("doc_id").isNull()).select("doc_id", F.lit(None).cast("long").alias("class_id"))
     return out.unionByName(none)
 
 
+def repeated(rows: DataFrame) -> DataFrame | None:
+    """doc_ids that occur more than once, if there are any."""
+    found = rows.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
+    found = settled(found)
+    return None if found.isEmpty() else found
+
+
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs whose doc_id is the least of its class, one a class; rows with a null doc_id stay."""
+    """The rows of docs whose doc_id is the least of its class, one a class (of several rows with that doc_id, one of least text digest); rows with a null doc_id stay."""
+    again = repeated(docs.select(F.col("doc_id").cast("long").alias("doc_id")))
     classes = near_duplicates(docs, **options).filter("doc_id = class_id").select("doc_id").distinct()
-    return docs.join(classes, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.filter(F.col("doc_id").isNull()))
+    kept = docs.join(classes, "doc_id", "left_semi")
+    if again is not None:
+        row = free_name(docs, "row")
+        first = F.min_by(F.struct(*(F.col(f"`{c}`") for c in docs.columns)), F.struct(F.xxhash64("text"), F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)))).alias(row)
+        kept = kept.groupBy(F.col("doc_id").cast("long")).agg(first).select(f"{row}.*")
+    return kept.unionByName(docs.filter(F.col("doc_id").isNull()))

@@ -40,18 +40,41 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
-def test_links_connect_what_is_linked(spark):
+@pytest.mark.parametrize("one_task", [0, 10])
+def test_components_by_stars(spark, one_task):
+    random.seed(5)
+    pairs = [(random.randrange(80), random.randrange(80)) for _ in range(50)] + [(100 + k, 101 + k) for k in range(30)] + [(200, 300 + k) for k in range(40)]
+    want = union(400, pairs)
+    got = {r.node: r.root for r in components(spark.createDataFrame(pairs, "u long, v long").repartition(4), one_task=one_task).collect()}
+    assert all(got[a] == want[a] and got[b] == want[b] for a, b in pairs if a != b)
+
+
+def link_all(spark, rows, close, part=4096, block=1024):
+    """Links of rows (key, node), whose contents are the nodes as text and all of which look near."""
+    members = linking.crowded(spark.createDataFrame(rows, "key long, node long").distinct().withColumn("bits", F.lit(0).cast("long"))).checkpoint()
+    content = lambda wanted: wanted.withColumn("content", F.col("node").cast("string"))
+    near = lambda a, b: np.ones(len(a), dtype=bool)
+    verify = lambda a, b: [close(int(x), int(y)) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)]
+
+    def pairs(held, root, side):
+        n, two = [int(x) for x in held.to_pylist()], (side != side[0]).any()
+        return [(i, j) for i in range(len(n)) for j in range(i) if root[i] != root[j] and (side[i] != side[j] or not two) and close(n[i], n[j])]
+
+    return [(r.u, r.v) for r in linking.links(members, ["bits"], near, content, verify, pairs, part, block).collect()]
+
+
+@pytest.mark.parametrize("part,block", [(4096, 1024), (5, 3)])
+def test_links_connect_what_is_linked(spark, part, block):
     random.seed(6)
     rows = [(random.randrange(12), node) for node in range(80) for _ in range(2)]
-    close = lambda a, b: (a * 7 + b * 13 + a * b) % 5 == 0
-    members = linking.crowded(spark.createDataFrame(rows, "key long, node long").distinct()).checkpoint()
-    keep = F.expr("(u * 7 + v * 13 + u * v) % 5 = 0")
-    found = linking.links(members, lambda pairs: pairs.filter(keep))
+    close = lambda a, b: (min(a, b) * 7 + max(a, b) * 13 + a * b) % 5 == 0
+    found = link_all(spark, rows, close, part, block)
     buckets = collections.defaultdict(set)
     for k, n in rows:
         buckets[k].add(n)
     every = [(a, b) for b_ in buckets.values() for a in b_ for b in b_ if a < b and close(a, b)]
-    assert union(80, every) == union(80, [(r.u, r.v) for r in found.collect()])
+    assert union(80, every) == union(80, found) and all(close(u, v) for u, v in found)
+    assert link_all(spark, [(1, 1), (2, 2)], close) == []
 
 
 def levenshtein(a, b):
@@ -72,22 +95,43 @@ def test_edit_distance():
         assert lines.edit_distance(a, b) == levenshtein(a, b)
 
 
-def test_sim_hash_blocks():
-    masks = lines.block_masks()
-    assert len(masks) == 20
+def test_within_says_what_the_distance_says():
+    rng = random.Random(2)
+    vocabulary = ["".join(rng.choices("abcdeé", k=rng.randrange(1, 8))) for _ in range(30)]
+    for _ in range(500):
+        x = rng.choices(vocabulary, k=rng.randrange(12))
+        y = list(x)
+        for _ in range(rng.randrange(5)):
+            k = rng.randrange(len(y) + 1)
+            y[k : k + rng.randrange(3)] = rng.choices(vocabulary, k=rng.randrange(3))
+        a, b = " ".join(x), " ".join(y)
+        d = levenshtein(a, b)
+        assert all(lines.within(a, b, most) == (d <= most) for most in range(d - 2, d + 3) if most >= 0)
+        for least in (0.5, 0.8, 0.9):
+            assert lines.alike(a, b, least) == (lines.edit_similarity(a, b) >= least)
+
+
+def test_sim_hashes_and_keys():
+    assert lines.BLOCKS * 4 == 64
     rng = random.Random(3)
-    for _ in range(200):
-        flips = sum(1 << k for k in rng.sample(range(64), 3))
-        assert any(int(m) & flips == 0 for m in masks)
+    for _ in range(200):  # hashes that differ in 15 bits agree in one of 16 blocks
+        flips = sum(1 << k for k in rng.sample(range(64), 15))
+        assert any(flips >> 4 * b & 15 == 0 for b in range(lines.BLOCKS))
     long = {f"w{k}" for k in range(700)}
     digests = [prob_minhash.word_digests([[w]], 1)[0] for w in long]
-    want = sum(1 << b for b in range(64) if 2 * sum(int(d) >> b & 1 for d in digests) > len(long))
     bits = lambda v: np.unpackbits(np.asarray([v], np.uint64).view(np.uint8)).tolist()
     weights = np.unpackbits(np.asarray(digests, np.uint64).view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0)
-    assert bits(lines.sim_hashes([{"a"}, long])[1]) == (2 * weights > len(long)).astype(int).tolist() and want >= 0
+    assert bits(lines.sim_hashes([{"a"}, long, {"b", "c"}])[1]) == (2 * weights > len(long)).astype(int).tolist()
+    some = ["one two three", "x", "one two three", "words " * 3 + "end", "é" * 200, "a" * 199 + "b"]
+    sims, keys = lines.hashed_lines(some)
+    assert sims[0] == sims[2] and (keys[0] == keys[2]).all() and len({tuple(k) for k in keys}) == 5
+    alone = lines.hashed_lines([some[3]])
+    assert alone[0][0] == sims[3] and (alone[1][0] == keys[3]).all()  # whatever stands beside it
+    assert (lines.sketches(["x", "same one"])[1] == lines.sketches(["same one"])[0]).all()
 
 
 def brute_lines(docs):
+    """Lines that go, by edit similarity of all pairs of distinct lines."""
     first, order = {}, []
     for d, t in docs:
         for p, line in enumerate(t.split("\n")):
@@ -96,8 +140,7 @@ def brute_lines(docs):
                 order.append((d, p, n))
                 first.setdefault(n, (d, p))
     texts = list(first)
-    sims = [int(x) for x in lines.sim_hashes([set(x.split()) for x in texts])]
-    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if (sims[i] ^ sims[j]).bit_count() <= 3 and lines.edit_similarity(texts[i], texts[j]) >= 0.8]
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if lines.edit_similarity(texts[i], texts[j]) >= 0.8]
     root, best = union(len(texts), pairs), {}
     for k, x in enumerate(texts):
         best[root[k]] = min(best.get(root[k], first[x]), first[x])
@@ -109,9 +152,14 @@ def brute_lines(docs):
     return out, len(pairs)
 
 
+def spoken(rng, n):
+    """Words of random letters, as words of one pattern are alike by edit distance however they differ."""
+    return ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(3, 9))) for _ in range(n)]
+
+
 def test_line_dedup(spark):
     rng = random.Random(8)
-    vocabulary = [f"word{k}" for k in range(500)]
+    vocabulary = spoken(rng, 500)
     base = [" ".join(rng.choices(vocabulary, k=120)) for _ in range(12)]
 
     def near(s):
@@ -124,8 +172,10 @@ def test_line_dedup(spark):
         docs.append((k, "\n".join(rng.choice([rng.choice(base), near(rng.choice(base)), " ".join(rng.choices(vocabulary, k=9)), "", "  THE same   line "]) for _ in range(5))))
     want, n = brute_lines(docs)
     assert n > 5
-    table = spark.createDataFrame([*((d, t, len(t), 5) for d, t in docs), (900, None, 0, 1), (901, "", 0, 1)], "doc_id long, text string, n_chars long, removed int")
-    got = {r.doc_id: r for r in lines.dedup(table).collect()}
+    table = spark.createDataFrame([*((d, t, len(t), 5, "x") for d, t in docs), (900, None, 0, 1, "x"), (901, "", 0, 1, "x")], "doc_id long, text string, n_chars long, removed int, places string")
+    made = lines.dedup(table)
+    assert made.columns == ["doc_id", "text", "n_chars", "places", "n_lines", "removed"]
+    got = {r.doc_id: r for r in made.collect()}
     for d, t in docs:
         assert got[d].removed == sorted(want[d])
         kept = "\n".join(x for p, x in enumerate(t.split("\n")) if p not in want[d])
@@ -134,6 +184,17 @@ def test_line_dedup(spark):
     assert lines.dedup(table.limit(0)).count() == 0
 
 
+def test_line_dedup_of_odd_tables(spark):
+    """Rows of one doc_id and text are treated alike, null ids come last, long lines and lines without blanks are lines."""
+    rng = random.Random(4)
+    long = " ".join(spoken(rng, 9000))
+    glued = "".join(rng.choices("abcdefgh", k=400))
+    rows = [(5, "only here\n" + glued), (1, "twice the same row"), (1, "twice the same row"), (None, long + " end\nown line of a null id"), (2, long), (None, "twice the same row!"), (3, glued[:200] + "z" + glued[201:] + "\n\n \n"), (None, None)]
+    got = collections.Counter((r.doc_id, r.text) for r in lines.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    want = [(5, "only here"), (1, "twice the same row"), (1, "twice the same row"), (None, "own line of a null id"), (2, long), (None, ""), (3, glued[:200] + "z" + glued[201:] + "\n\n \n"), (None, None)]
+    assert got == collections.Counter(want)
+
+
 def exact_similarity(a, b):
     keys = set(a) | set(b)
     total = 0.0
