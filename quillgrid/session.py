@@ -6,11 +6,26 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
 
+def ensure_checkpoints(spark: SparkSession) -> None:
+    """Takes the session's own checkpoint folder (spark.checkpoint.dir); a local session without one gets one of its own, as driver and executors are one process there."""
+    context = spark.sparkContext
+    if context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir():
+        return
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="quillgrid-"))
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    ensure_checkpoints(df.sparkSession)
+    return df.checkpoint()
+
+
 def ship(spark: SparkSession) -> None:
     """Adds the package as a zip to the context, once; workers then import it without a path of their own."""
     context, root = spark.sparkContext, Path(__file__).resolve().parent
