@@ -5,25 +5,23 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgrid.session import ship
+from quillgrid.session import ensure_checkpoints, ship
 
 #: Bytes of an Arrow batch between Spark and Python: bounds a worker's memory with long texts.
 BATCH_BYTES = 1 << 20
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Bounds Arrow batches, and names a checkpoint folder only where the session has none."""
+    """Bounds Arrow batches, and sees to a checkpoint folder."""
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    if not spark.sparkContext.getConf().get("spark.checkpoint.dir") and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quillgrid-"))
+    ensure_checkpoints(spark)
     return spark
 
 
@@ -128,4 +126,13 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{prepare(spark).sparkContext.getCheckpointDir()}/stored-{uuid.uuid4()}"
     df.write.parquet(path)
     free_shuffles(spark)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made.stored_at = path
+    return made
+
+
+def discard(made: DataFrame) -> None:
+    """Deletes the files of what `stored` gave, once nothing will read them any more."""
+    spark = made.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(made.stored_at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

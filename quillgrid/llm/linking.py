@@ -1,7 +1,7 @@
 """Links of a similarity join from buckets of candidates, without all pairs of a bucket.
 
-First the members of a bucket gather around leaders: of those that are left, the one nearest the bits that most of them
-have leads; all that look near to it are compared with it and leave. Then buckets whose members still belong to
+First the members of a bucket gather around leaders: of those that are left, the one that looks near to most
+leads; all that look near to it are compared with it and leave. Then buckets whose members still belong to
 several components are looked at again, in blocks: members that look near to one of another
 component are compared in full, in tasks that hold a pair of blocks. Two members of a bucket that look near and that `pairs` would link are therefore
 linked or connected already. What looks near is decided on sketches, by a bound that links don't miss.
@@ -98,20 +98,35 @@ def parted(members: DataFrame, part: int) -> DataFrame:
     return members.join(some, "key", "left").withColumn("part", own).withColumn("parts", F.coalesce("parts", F.lit(1)))
 
 
-def leaders(node: np.ndarray, also: np.ndarray, near: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Pairs of places: every member with the leader that it looks near to. also: a row of 64-bit values a member."""
-    left, u, v = np.arange(len(node)), [], []
-    votes = np.unpackbits(also.view(np.uint8), axis=1)
-    first = True
-    while len(left) > 1:
-        most = votes[left].mean(axis=0) > 0.5 if first or len(left) <= 256 else None
-        c = left[0] if most is None else left[int((votes[left] != most).sum(axis=1).argmin())]
-        first = False
-        hit = near(also[left], also[c]) & (left != c)
-        u.append(np.full(int(hit.sum()), c))
-        v.append(left[hit])
-        left = left[~hit & (left != c)]
-    return u, v
+def alike_in_runs(cuts: np.ndarray, values: np.ndarray, near: Callable, at_least: int = 2) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For runs of rows of at_least so many: places of their members (runs x size) and which pairs look near (runs x size x size). Runs of one size go together."""
+    sizes = np.diff(cuts)
+    for size in np.unique(sizes[sizes >= at_least]).tolist():
+        begins = cuts[:-1][sizes == size]
+        step = max(1, (1 << 20) // size**2)
+        for lo in range(0, len(begins), step):
+            at = begins[lo : lo + step, None] + np.arange(size)
+            if size <= 2048:
+                close = near(values[at][:, :, None], values[at][:, None, :])
+            else:  # a row at a time
+                close = np.stack([near(values[at[0]], values[k]) for k in at[0].tolist()])[None]
+            close[:, np.arange(size), np.arange(size)] = False
+            yield at, close
+
+
+def leaders(close: np.ndarray) -> tuple[list[int], list[int]]:
+    """Pairs of places: of those that are left, the one that looks near to most leads, and all near to it leave."""
+    left, u, v = np.ones(len(close), dtype=bool), [], []
+    while True:
+        degree = (close & left[None, :]).sum(axis=1) * left
+        c = int(degree.argmax())
+        if not degree[c]:
+            return u, v
+        hit = np.flatnonzero(close[c] & left)
+        u += [c] * len(hit)
+        v += hit.tolist()
+        left[hit] = False
+        left[c] = False
 
 
 def _stars(members: DataFrame, also: list[str], near: Callable) -> DataFrame:
@@ -121,17 +136,19 @@ def _stars(members: DataFrame, also: list[str], near: Callable) -> DataFrame:
         for held in groups(batches, ["key", "part"], 4 * PART):
             node = np.asarray(column(held, "node"))
             values = np.stack([np.asarray(column(held, c)) for c in also], axis=1).astype(np.int64)
-            cuts = runs(np.asarray(column(held, "key")), np.asarray(column(held, "part")))
-            sizes = np.diff(cuts)
-            two = cuts[:-1][sizes == 2]
-            hit = two[near(values[two], values[two + 1])] if len(two) else two
-            u, v = [hit], [hit + 1]
-            for lo, n in zip(cuts[:-1][sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
-                a, b = leaders(node[lo : lo + n], values[lo : lo + n], near)
-                u += [x + lo for x in a]
-                v += [x + lo for x in b]
-            a, b = node[np.concatenate(u)], node[np.concatenate(v)]
-            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+            u, v = [], []
+            for at, close in alike_in_runs(runs(np.asarray(column(held, "key")), np.asarray(column(held, "part"))), values, near):
+                some = np.flatnonzero(close.any(axis=(1, 2)))
+                if at.shape[1] == 2:
+                    u += at[some, 0].tolist()
+                    v += at[some, 1].tolist()
+                    continue
+                for k in some.tolist():
+                    x, y = leaders(close[k])
+                    u += at[k, x].tolist()
+                    v += at[k, y].tolist()
+            a, b = node[u], node[v]
+            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1).astype(np.int64), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
 
     spread = members.repartition(partitions(members.sparkSession), "key", "part").sortWithinPartitions("key", "part")
@@ -148,11 +165,13 @@ def _still_apart(members: DataFrame, roots: DataFrame, also: list[str], near: Ca
             values = np.stack([np.asarray(column(held, c)) for c in also], axis=1).astype(np.int64)
             keep = np.zeros(len(root), dtype=bool)
             several = np.minimum.reduceat(root, cuts[:-1]) != np.maximum.reduceat(root, cuts[:-1])
-            for a, b in zip(cuts[:-1][several].tolist(), cuts[1:][several].tolist(), strict=True):
-                if b - a > 2 or whole[a] > 1:  # two alone have been compared
-                    two = side[a] != side[b - 1] or (side[a:b] != side[a]).any()
-                    for k in range(a, b):
-                        keep[k] = (near(values[a:b], values[k]) & (root[a:b] != root[k]) & ((side[a:b] != side[k]) | (not two))).any()
+            mixed = np.flatnonzero(several & ((np.diff(cuts) > 2) | (whole[cuts[:-1]] > 1)))  # two alone have been compared
+            rows = np.concatenate([np.arange(cuts[k], cuts[k + 1]) for k in mixed]) if len(mixed) else np.zeros(0, np.int64)
+            for at, close in alike_in_runs(np.append(0, np.cumsum(np.diff(cuts)[mixed])), values[rows], near):
+                at = rows[at]
+                two = (side[at] != side[at][:, :1]).any(axis=1)[:, None, None]
+                close &= (root[at][:, :, None] != root[at][:, None, :]) & ((side[at][:, :, None] != side[at][:, None, :]) | ~two)
+                keep[at[close.any(axis=2)]] = True
             yield pa.RecordBatch.from_arrays([pa.array(np.asarray(column(held, c))[keep]) for c in ("key", "node", "root")], ["key", "node", "root"])
 
     labelled = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
