@@ -7,8 +7,10 @@ with its first occurrence. Where different segments share an anchor, all their s
 sorted, deep-shallow: multikey quicksort on eight-byte words to a shallow depth, then blind tries for groups that are
 still equal. Neighbours in this order with `length` common bytes are one string; all but its first start are marked.
 
-Order of starts: doc_id (null last), then place; rows with one doc_id follow by a digest of their texts, and rows
-equal in doc_id and text are treated alike. Null text counts as empty; texts shorter than `length` stay whole.
+Segments are taken for equal if the 64-bit digests of both anchor and segment are.
+
+Order of starts: doc_id (null last), then place; rows with one doc_id follow by a 64-bit digest of their texts, and rows
+equal in doc_id and text are treated alike, as one. Null text counts as empty; texts shorter than `length` stay whole.
 """
 
 from __future__ import annotations
@@ -21,7 +23,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillgrid.llm.common import column, in_batches, partitions, stored, texts, whole_text
+from quillgrid.llm.common import column, discard, free_name, in_batches, partitions, settled, stored, texts, whole_text
+from quillgrid.llm.linking import groups
 
 LENGTH, GRAM = 100, 32
 #: Bytes that multikey quicksort looks at before the blind tries.
@@ -137,39 +140,45 @@ class BlindTrie:
 def deep_shallow(group: np.ndarray, rows: np.ndarray, sizes: np.ndarray, shallow: int = SHALLOW) -> np.ndarray:
     """Order of the rows (bytes, sizes[i] of them count) by group and content, shorter first.
 
-    Multikey quicksort on words of eight bytes up to `shallow` bytes, one word of all unfinished groups at a time;
-    groups that then still are equal are ordered by blind tries.
+    Multikey quicksort on words of eight bytes up to `shallow` bytes: each unfinished interval is split in three by the word of a
+    pivot at its depth, all intervals in one go; the middle part goes on one word deeper. Intervals that are
+    equal down to `shallow` are ordered by blind tries.
     """
     n, width = rows.shape
+    deepest = min(shallow, width) // 8
     words = np.zeros((n, -(-width // 8) * 8), np.uint8)
     words[:, :width] = rows
     words = words.view(">u8").astype(np.uint64)
     order = np.lexsort((sizes, group))  # what follows is stable, so shorter ones stay first
-    label = group[order]
-    todo = np.arange(n)  # places in the order that are in groups of several
-    for depth in range(-1, min(shallow, width) // 8):
-        if depth >= 0:
-            key = words[order[todo], depth]
-            way = np.lexsort((key, label[todo]))
-            order[todo], label[todo], key = order[todo][way], label[todo][way], key[way]
-            new = np.ones(len(todo), dtype=bool)
-            new[1:] = (label[todo][1:] != label[todo][:-1]) | (key[1:] != key[:-1])
-            label[todo] = todo[np.maximum.accumulate(np.where(new, np.arange(len(todo)), 0))] + n * (depth + 1)
-        same = np.zeros(len(todo), dtype=bool)
-        if len(todo):
-            equal = label[todo][1:] == label[todo][:-1]
-            same[1:] |= equal
-            same[:-1] |= equal
-        todo = todo[same]
-    if len(todo):
-        cuts = np.flatnonzero(np.concatenate([[True], label[todo][1:] != label[todo][:-1], [True]]))
-        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            names = order[todo[a:b]].tolist()
-            strings = [rows[k, min(shallow, width) // 8 * 8 : max(int(sizes[k]), min(shallow, width) // 8 * 8)].tobytes() for k in names]
-            trie = BlindTrie(strings[0], names[0])
-            for s, k in zip(strings[1:], names[1:], strict=True):
-                trie.insert(s, k)
-            order[todo[a:b]] = trie.order()
+    ends = np.append(np.flatnonzero(np.concatenate([[True], group[order][1:] != group[order][:-1]])), n) if n else np.zeros(1, np.int64)
+    low, high = ends[:-1], ends[1:]
+    depth, done = np.zeros(len(low), np.int64), []
+    while True:
+        several = high - low > 1
+        deep = several & (depth >= deepest)
+        done += list(zip(low[deep].tolist(), high[deep].tolist(), strict=True))
+        low, high, depth = (x[several & ~deep] for x in (low, high, depth))
+        if not len(low):
+            break
+        size = high - low
+        owner = np.repeat(np.arange(len(low)), size)
+        at = np.arange(len(owner)) + np.repeat(low - np.cumsum(size) + size, size)  # places in the order
+        pivot = words[order[(low + high) // 2], depth]
+        word = words[order[at], depth[owner]]
+        side = np.where(word < pivot[owner], 0, np.where(word == pivot[owner], 1, 2))
+        part = owner * 3 + side
+        order[at] = order[at][np.argsort(part, kind="stable")]
+        counts = np.bincount(part, minlength=3 * len(low)).reshape(-1, 3)
+        cuts = low[:, None] + np.concatenate([np.zeros((len(low), 1), np.int64), np.cumsum(counts, axis=1)], axis=1)
+        low, high = cuts[:, :3].ravel(), cuts[:, 1:].ravel()
+        depth = (depth[:, None] + np.array([0, 1, 0])).ravel()
+    for a, b in done:
+        names = order[a:b].tolist()
+        strings = [rows[k, deepest * 8 : max(int(sizes[k]), deepest * 8)].tobytes() for k in names]
+        trie = BlindTrie(strings[0], names[0])
+        for s, k in zip(strings[1:], names[1:], strict=True):
+            trie.insert(s, k)
+        order[a:b] = trie.order()
     return order
 
 
@@ -223,21 +232,23 @@ NEVER = (1 << 63) - 1
 COPY = 1 << 62
 
 
-def _packed(tie, place, back, span):
-    return tie << 46 | place << 14 | back << 7 | span
+def _packed(place, back, span):
+    return place << 14 | back << 7 | span
 
 
 def _unpacked(packed: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Tie, place of the anchor, bytes before it in its segment, and starts of strings less one."""
-    return packed >> 46, packed >> 14 & 0xFFFFFFFF, packed >> 7 & 127, packed & 127
+    """Place of the anchor, bytes before it in its segment, and starts of strings less one."""
+    return packed >> 14, packed >> 7 & 127, packed & 127
 
 
-def _keys(docs: DataFrame) -> tuple[Column, Column, bool]:
-    """doc (doc_id, null as the largest number), tie (0 if doc_ids are unique, else by the text), and whether a doc_id occurs again."""
+def _keys(docs: DataFrame) -> tuple[Column, Column]:
+    """doc (doc_id, null as the largest number) and tie (0 if doc_ids are unique, else a digest of the text)."""
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(NEVER))
     again = docs.select(doc.alias("doc")).groupBy("doc").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count()
-    tie = F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit((1 << 16) - 1)) + 1 if again else F.lit(0)
-    return doc, tie.cast("long"), bool(again)
+    return doc, (F.xxhash64(F.coalesce("text", F.lit(""))) if again else F.lit(0)).cast("long")
+
+
+KINDS = ["key", "doc", "tie", "packed"]
 
 
 def _anchor_rows(keyed: DataFrame, length: int, gram: int) -> DataFrame:
@@ -246,41 +257,40 @@ def _anchor_rows(keyed: DataFrame, length: int, gram: int) -> DataFrame:
             raw = [t.encode() for t in texts(batch)]
             ends = np.cumsum([len(r) for r in raw])
             text, place, low, high, key, whole = anchors(np.frombuffer(b"".join(raw), np.uint8), ends, length, gram)
-            doc, tie = np.asarray(column(batch, "doc")), np.asarray(column(batch, "tie"))
-            packed = _packed(tie[text], place, place - low, high - low)
-            key, whole, doc = key.view(np.int64), whole.view(np.int64), doc[text]
+            packed = _packed(place, place - low, high - low)
+            key, whole = key.view(np.int64), whole.view(np.int64)
+            doc, tie = (np.asarray(column(batch, c))[text] for c in ("doc", "tie"))
             # Copies within the batch are no first occurrences wherever else the segment is: they go their own way, spread evenly.
-            order = np.lexsort((packed, doc, whole, key))
+            order = np.lexsort((packed, tie, doc, whole, key))
             a, b = order[:-1], order[1:]
             same = (key[a] == key[b]) & (whole[a] == whole[b])
             first = np.maximum.accumulate(np.where(np.concatenate([[True], ~same]), np.arange(len(order)), 0)) if len(order) else order
-            copy = np.concatenate([[False], same]) & ((doc[order] != doc[order][first]) | (packed[order] != packed[order][first])) if len(order) else np.zeros(0, dtype=bool)
+            apart = [x[order] != x[order][first] for x in (doc, tie, packed)]
+            copy = np.concatenate([[False], same]) & (apart[0] | apart[1] | apart[2]) if len(order) else np.zeros(0, dtype=bool)
             hit = order[copy]
             key, whole, packed = key.copy(), whole.copy(), packed.copy()
-            key[hit] = mix((doc[hit] ^ packed[hit] << 20).astype(np.uint64)).view(np.int64)
+            key[hit] = mix((doc[hit] ^ tie[hit] ^ packed[hit] << 20).astype(np.uint64)).view(np.int64)
             whole[hit] = 0
             packed[hit] |= COPY
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, whole, doc, packed)], ["key", "whole", "doc", "packed"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, whole, doc, tie, packed)], ["key", "whole", "doc", "tie", "packed"])
 
-    return in_batches(keyed, run, "key long, whole long, doc long, packed long")
+    return in_batches(keyed, run, "key long, whole long, doc long, tie long, packed long")
 
 
 def _first_and_copies(rows: DataFrame) -> DataFrame:
     """One shuffle by anchor: copies of a segment (key null), and the first of each if its anchor has several."""
-    kinds = "key long, doc long, packed long"
-    names = ["key", "doc", "packed"]
 
     def run(batches):
-        first = None  # key, whole, doc and packed of the first row of the segment at hand
+        first = None  # key, whole, doc, tie and packed of the first row of the segment at hand
         held, told = None, True  # the last first row, and whether it was given
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key, whole, doc, packed = (np.asarray(column(batch, n)) for n in ("key", "whole", "doc", "packed"))
+            key, whole, doc, tie, packed = (np.asarray(column(batch, n)) for n in ("key", "whole", "doc", "tie", "packed"))
             told_copy = packed >= COPY
             if told_copy.any():
-                yield pa.RecordBatch.from_arrays([pa.nulls(int(told_copy.sum()), pa.int64()), pa.array(doc[told_copy]), pa.array(packed[told_copy] ^ COPY)], names)
-                key, whole, doc, packed = (x[~told_copy] for x in (key, whole, doc, packed))
+                yield pa.RecordBatch.from_arrays([pa.nulls(int(told_copy.sum()), pa.int64()), *(pa.array(x[told_copy]) for x in (doc, tie, packed ^ COPY))], KINDS)
+                key, whole, doc, tie, packed = (x[~told_copy] for x in (key, whole, doc, tie, packed))
                 if not len(key):
                     continue
             new = np.ones(len(key), dtype=bool)
@@ -288,53 +298,50 @@ def _first_and_copies(rows: DataFrame) -> DataFrame:
             goes_on = first is not None and first[:2] == (int(key[0]), int(whole[0]))
             new[0] = not goes_on
             at = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
-            base_doc = np.where(at >= 0, doc[at], first[2] if goes_on else 0)
-            base_packed = np.where(at >= 0, packed[at], first[3] if goes_on else 0)
-            copy = ~new & ((doc != base_doc) | (packed != base_packed))
+            apart = [x != np.where(at >= 0, x[at], f) for x, f in zip((doc, tie, packed), first[2:] if goes_on else (0, 0, 0), strict=True)]
+            copy = ~new & (apart[0] | apart[1] | apart[2])
             if copy.any():
-                yield pa.RecordBatch.from_arrays([pa.nulls(int(copy.sum()), pa.int64()), pa.array(doc[copy]), pa.array(packed[copy])], names)
+                yield pa.RecordBatch.from_arrays([pa.nulls(int(copy.sum()), pa.int64()), *(pa.array(x[copy]) for x in (doc, tie, packed))], KINDS)
             heads = np.flatnonzero(new)
             if len(heads):
                 k = key[heads]
                 before = held is not None and held[0] == int(k[0])
                 if before and not told:
-                    yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in held], names)
+                    yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in held], KINDS)
                 keep = np.zeros(len(k), dtype=bool)
                 keep[0] = before
                 keep[1:] |= k[1:] == k[:-1]
                 keep[:-1] |= k[1:] == k[:-1]
                 if keep.any():
                     h = heads[keep]
-                    yield pa.RecordBatch.from_arrays([pa.array(x[h]) for x in (key, doc, packed)], names)
+                    yield pa.RecordBatch.from_arrays([pa.array(x[h]) for x in (key, doc, tie, packed)], KINDS)
                 last = heads[-1]
-                held, told = (int(key[last]), int(doc[last]), int(packed[last])), bool(keep[-1])
-                first = (int(key[last]), int(whole[last]), int(doc[last]), int(packed[last]))
+                held, told = (int(key[last]), int(doc[last]), int(tie[last]), int(packed[last])), bool(keep[-1])
+                first = (int(key[last]), int(whole[last]), int(doc[last]), int(tie[last]), int(packed[last]))
 
-    spread = rows.repartition(partitions(rows.sparkSession), "key").sortWithinPartitions("key", "whole", "doc", "packed")
-    return in_batches(spread, run, kinds)
+    spread = rows.repartition(partitions(rows.sparkSession), "key").sortWithinPartitions("key", "whole", "doc", "tie", "packed")
+    return in_batches(spread, run, "key long, doc long, tie long, packed long")
 
 
 def _segments(keyed: DataFrame, firsts: DataFrame, length: int) -> DataFrame:
-    """Adds the bytes of the segments."""
-    tied = firsts.select("doc", F.shiftright("packed", 46).alias("tie"), "key", "packed")
-    by_doc = tied.groupBy("doc", "tie").agg(F.collect_list(F.struct("key", "packed")).alias("segments"))
-    wanted = tied.select("doc").distinct()
+    """Adds the bytes of the segments. Repeated rows give theirs more than once."""
+    by_doc = firsts.groupBy("doc", "tie").agg(F.collect_list(F.struct("key", "packed")).alias("segments"))
+    wanted = settled(by_doc.select("doc").distinct())
+    # Eight bytes each, at most BROADCAST_DOCS of them.
     near = keyed.join(F.broadcast(wanted), "doc", "left_semi") if wanted.count() <= BROADCAST_DOCS else keyed
 
     def run(batches):
         for batch in batches:
-            out = [[], [], [], []]
-            for doc, text, found in zip(column(batch, "doc").to_pylist(), texts(batch), column(batch, "segments").to_pylist(), strict=True):
+            out: list[list] = [[], [], [], [], []]
+            for doc, tie, text, found in zip(*(column(batch, c).to_pylist() for c in ("doc", "tie", "text", "segments")), strict=True):
                 raw = text.encode()
                 for s in found:
-                    _, place, back, span = _unpacked(s["packed"])
-                    out[0].append(s["key"])
-                    out[1].append(doc)
-                    out[2].append(s["packed"])
-                    out[3].append(raw[place - back : place - back + span + length])
-            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in out[:3]), pa.array(out[3], pa.binary())], ["key", "doc", "packed", "bytes"])
+                    place, back, span = _unpacked(s["packed"])
+                    for x, v in zip(out, (s["key"], doc, tie, s["packed"], raw[place - back : place - back + span + length]), strict=True):
+                        x.append(v)
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in out[:4]), pa.array(out[4], pa.binary())], [*KINDS, "bytes"])
 
-    return in_batches(near.join(by_doc, ["doc", "tie"]).select("doc", "text", "segments"), run, "key long, doc long, packed long, bytes binary")
+    return in_batches(near.join(by_doc, ["doc", "tie"]).select("doc", "tie", "text", "segments"), run, "key long, doc long, tie long, packed long, bytes binary")
 
 
 MARKS = "doc long, tie long, begin long, finish long"
@@ -343,39 +350,25 @@ MARKS = "doc long, tie long, begin long, finish long"
 def _sorted_marks(segments: DataFrame, length: int, gram: int) -> DataFrame:
     """Sorts the segments of each anchor and marks what occurs in an earlier one."""
 
-    def done(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-        t = pa.Table.from_batches(parts)
-        key, doc, packed, held = column(t, "key"), np.asarray(column(t, "doc")), np.asarray(column(t, "packed")), column(t, "bytes")
-        tie, place, back, span = _unpacked(packed)
+    def done(t: pa.Table) -> pa.RecordBatch:
+        key, doc, tie, packed = (np.asarray(column(t, c)) for c in KINDS)
+        once = np.ones(len(key), dtype=bool)  # repeated rows have given the same segment again
+        once[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]) | (tie[1:] != tie[:-1]) | (packed[1:] != packed[:-1])
+        key, doc, tie, packed = (x[once] for x in (key, doc, tie, packed))
+        held = column(t, "bytes").filter(pa.array(once))
+        place, back, span = _unpacked(packed)
         sizes = np.asarray(pc.binary_length(held)).astype(np.int64)
         data = np.frombuffer(b"".join(held.to_pylist()), np.uint8)
-        k = np.asarray(key)
-        group = np.cumsum(np.concatenate([[0], k[1:] != k[:-1]]))
+        group = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]))
         most, least = repeats(group, data, np.cumsum(sizes) - sizes, back, sizes - back - gram, length, gram)
         hit = most >= 0
         arrays = (doc[hit], tie[hit], (place - most)[hit], (place - least)[hit] + length)
         return pa.RecordBatch.from_arrays([pa.array(a.astype(np.int64)) for a in arrays], ["doc", "tie", "begin", "finish"])
 
     def run(batches):
-        parts, rows = [], 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            key = np.asarray(column(batch, "key"))
-            cut = 0
-            if rows + len(key) >= 20_000:  # whole groups only
-                changes = np.flatnonzero(key[1:] != key[:-1]) + 1
-                same = parts and column(parts[-1], "key")[-1].as_py() == int(key[0])
-                cut = int(changes[-1]) if len(changes) else 0
-                if cut or (parts and not same):
-                    yield done([*parts, *([batch.slice(0, cut)] if cut else [])])
-                    parts, rows = [], 0
-            parts.append(batch.slice(cut))
-            rows += len(key) - cut
-        if parts:
-            yield done(parts)
-
-    spread = segments.repartition(partitions(segments.sparkSession), "key").sortWithinPartitions("key", "doc", "packed")
+        yield from map(done, groups(batches, ["key"], 20_000))
+
+    spread = segments.repartition(partitions(segments.sparkSession), "key").sortWithinPartitions(*KINDS)
     return in_batches(spread, run, MARKS)
 
 
@@ -384,8 +377,8 @@ def _hot_marks(segments: DataFrame, length: int) -> DataFrame:
 
     def strings(batches):
         for batch in batches:
-            for doc, packed, raw in zip(column(batch, "doc").to_pylist(), column(batch, "packed").to_pylist(), column(batch, "bytes").to_pylist(), strict=True):
-                tie, place, back, span = _unpacked(packed)
+            for doc, tie, packed, raw in zip(*(column(batch, c).to_pylist() for c in ("doc", "tie", "packed", "bytes")), strict=True):
+                place, back, span = _unpacked(packed)
                 digest = [hashlib.blake2b(raw[k : k + length], digest_size=16).digest() for k in range(span + 1)]
                 n = span + 1
                 yield pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), pa.array([doc] * n), pa.array([tie] * n), pa.array([place - back + k for k in range(n)])], ["digest", "doc", "tie", "begin"])
@@ -396,18 +389,24 @@ def _hot_marks(segments: DataFrame, length: int) -> DataFrame:
     return rows.join(first, "digest").filter(order != F.col("first")).select("doc", "tie", "begin", (F.col("begin") + length).alias("finish"))
 
 
-def marks(keyed: DataFrame, again: bool = True, length: int = LENGTH, gram: int = GRAM, most: int = MOST_SEGMENTS) -> DataFrame:
-    """doc, tie, begin and finish: bytes of repeated strings, in overlapping pieces. again: whether rows may share doc and tie."""
-    once = keyed.dropDuplicates(["doc", "tie"]) if again else keyed
+def marks(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int = MOST_SEGMENTS) -> DataFrame:
+    """doc, tie, begin and finish: bytes of repeated strings, in overlapping pieces (stored). keyed: doc, tie and text."""
     told = stored(_first_and_copies(_anchor_rows(keyed, length, gram)))
-    begin = F.shiftright("packed", 14).bitwiseAND(0xFFFFFFFF) - F.shiftright("packed", 7).bitwiseAND(127)
-    copies = told.filter("key IS NULL").select("doc", F.shiftright("packed", 46).alias("tie"), begin.alias("begin"), (begin + F.col("packed").bitwiseAND(127) + length).alias("finish"))
+    place, back, span = _unpacked_columns(F.col("packed"))
+    copies = told.filter("key IS NULL").select("doc", "tie", (place - back).alias("begin"), (place - back + span + length).alias("finish"))
     firsts = told.filter("key IS NOT NULL")
-    hot = firsts.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > most).select("key").checkpoint()
-    found = copies.unionByName(_sorted_marks(_segments(once, firsts.join(hot, "key", "left_anti"), length), length, gram))
-    if hot.count():
-        found = found.unionByName(_hot_marks(_segments(once, firsts.join(hot, "key", "left_semi"), length), length))
-    return found
+    hot = settled(firsts.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > most).select("key"))
+    few = hot.isEmpty()
+    found = copies.unionByName(_sorted_marks(_segments(keyed, firsts if few else firsts.join(hot, "key", "left_anti"), length), length, gram))
+    if not few:
+        found = found.unionByName(_hot_marks(_segments(keyed, firsts.join(hot, "key", "left_semi"), length), length))
+    made = stored(found)
+    discard(told)
+    return made
+
+
+def _unpacked_columns(packed: Column) -> tuple[Column, ...]:
+    return F.shiftright(packed, 14), F.shiftright(packed, 7).bitwiseAND(127), packed.bitwiseAND(127)
 
 
 def cut(raw: bytes, pieces: list[dict]) -> tuple[bytes, int]:
@@ -429,18 +428,19 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     Where a removal ends inside a character, its bytes in text give way to U+FFFD; kept has them. Text without a removal is the same, null included.
     """
-    doc, tie, again = _keys(docs)
-    pieces = marks(docs.select(doc.alias("doc"), tie.alias("tie"), whole_text()), again, length).groupBy("doc", "tie").agg(F.collect_list(F.struct("begin", "finish")).alias("__pieces"))
-    pieces = pieces.select(F.col("doc").alias("__doc"), F.col("tie").alias("__tie"), "__pieces")
-    here = (doc == F.col("__doc")) & (tie == F.col("__tie"))
-    joined = docs.join(pieces, here, "left").drop("__doc", "__tie")
+    doc, tie = _keys(docs)
+    own_doc, own_tie, own_pieces = (free_name(docs, c) for c in ("doc", "tie", "pieces"))
+    pieces = marks(docs.select(doc.alias("doc"), tie.alias("tie"), whole_text()), length)
+    pieces = pieces.groupBy(F.col("doc").alias(own_doc), F.col("tie").alias(own_tie)).agg(F.collect_list(F.struct("begin", "finish")).alias(own_pieces))
+    here = (doc == F.col(own_doc)) & (tie == F.col(own_tie))
+    joined = docs.join(pieces, here, "left").drop(own_doc, own_tie)
     fields = [f for f in docs.schema if f.name not in ("n_bytes", "n_removed", "n_spans", "kept")]
     names = [f.name for f in fields]
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
 
     def run(batches):
         for batch in batches:
-            text, found = column(batch, "text").to_pylist(), column(batch, "__pieces").to_pylist()
+            text, found = column(batch, "text").to_pylist(), column(batch, own_pieces).to_pylist()
             out: list[list] = [[], [], [], [], []]
             for t, p in zip(text, found, strict=True):
                 raw = (t or "").encode()

@@ -53,7 +53,7 @@ def link_all(spark, rows, close, part=4096, block=1024):
     """Links of rows (key, node), whose contents are the nodes as text and all of which look near."""
     members = linking.crowded(spark.createDataFrame(rows, "key long, node long").distinct().withColumn("bits", F.lit(0).cast("long"))).checkpoint()
     content = lambda wanted: wanted.withColumn("content", F.col("node").cast("string"))
-    near = lambda a, b: np.ones(len(a), dtype=bool)
+    near = lambda a, b: np.ones(np.broadcast_shapes(a.shape, b.shape)[:-1], dtype=bool)
     verify = lambda a, b: [close(int(x), int(y)) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)]
 
     def pairs(held, root, side):
@@ -290,7 +290,7 @@ def test_suffix_dedup(spark, most, monkeypatch):
     texts += [texts[9], texts[10] + "tail"]
     docs = list(enumerate(texts))
     monkeypatch.setattr(suffixes, "MOST_SEGMENTS", most)
-    monkeypatch.setattr(suffixes.marks, "__defaults__", (True, suffixes.LENGTH, suffixes.GRAM, most))
+    monkeypatch.setattr(suffixes.marks, "__defaults__", (suffixes.LENGTH, suffixes.GRAM, most))
     table = spark.createDataFrame([(d, t, 1, "k") for d, t in docs], "doc_id long, text string, n_chars int, kept string").repartition(3)
     got = {r.doc_id: r for r in suffixes.dedup(table).collect()}
     want = brute_suffixes(docs, 100)
@@ -300,12 +300,29 @@ def test_suffix_dedup(spark, most, monkeypatch):
         assert r.text == (t if not r.n_removed else want[d][3].decode(errors="replace"))
 
 
+def ordered_rows(spark, rows):
+    """Rows in the order of starts: doc_id, null last, then the digest of the text; of equal rows one."""
+    table = spark.createDataFrame(list(dict.fromkeys(rows)), "doc_id long, text string").withColumn("tie", F.xxhash64(F.coalesce("text", F.lit(""))))
+    return [(r.doc_id, r.text) for r in sorted(table.collect(), key=lambda r: (r.doc_id is None, r.doc_id or 0, r.tie))]
+
+
 def test_suffix_dedup_of_odd_tables(spark):
-    long = "".join(random.Random(3).choices("abcdef ", k=300))
-    table = spark.createDataFrame([(1, long), (1, long), (1, "x" + long), (None, long)], "doc_id long, text string")
-    got = sorted((r.doc_id is None, r.n_bytes, r.n_removed) for r in suffixes.dedup(table).collect())
-    assert [g[2] for g in got if g[1] == 300 and not g[0]] in ([0, 0], [300, 300]) and got[-1] == (True, 300, 300)
-    assert sum(g[2] for g in got) == 600 or sum(g[2] for g in got) == 900
+    """Null and repeated ids with many texts, repeated rows, ties, very long texts and clashing names, exactly."""
+    rng = random.Random(3)
+    long = "".join(rng.choices("abcdef ", k=300))
+    passages = ["".join(rng.choices("abcdefgh", k=150)) for _ in range(40)]
+    rows = [(1, long), (1, long), (1, "x" + long), (None, long), (7, "".join(rng.choices("pqrs", k=30_000))), (None, ""), (8, None)]
+    rows += [(None, rng.choice(passages) + str(k) + rng.choice(passages)) for k in range(1000)]
+    rows += [(7, rows[4][1][5000:9000] + long[:120]), (2, passages[0])]
+    table = spark.createDataFrame([(*r, 5, "own") for r in rows], "doc_id long, text string, pieces int, doc string").repartition(4)
+    order = ordered_rows(spark, rows)
+    want = {order[k]: v for k, v in brute_suffixes([(k, t) for k, (_, t) in enumerate(order)], 100).items()}
+    made = suffixes.dedup(table)
+    assert made.columns == ["doc_id", "text", "pieces", "doc", "n_bytes", "n_removed", "n_spans", "kept"]
+    got = made.collect()
+    assert len(got) == len(rows) and all(r.pieces == 5 and r.doc == "own" for r in got)
+    left = collections.Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got)
+    assert left == collections.Counter((d, *want[d, t]) for d, t in rows)
     assert suffixes.dedup(table.limit(0)).count() == 0
 
 
