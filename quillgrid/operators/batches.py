@@ -16,8 +16,33 @@ def requests(prompts: DataFrame) -> DataFrame:
     return prompts.select(batch_custom_id(F.col("repo"), F.col("batch")).alias("custom_id"), "repo", user.alias("user"))
 
 
-def detection_prompt(intent: Column, repository: Column, patch: Column) -> Column:
-    return F.concat(F.lit("**Repository:** "), repository, F.lit("\n**Intent:** "), intent, F.lit("\n\n**Patch:**\n```diff\n"), patch, F.lit("\n```\n\nDoes this patch introduce code drift? Respond with JSON only."))
+def detection_prompt(intent: Column, patch: Column) -> Column:
+    """The leaderboard's question on a patch."""
+    # The prompt's text.
+    return F.concat(F.lit("## Code Review Task\n\n**Intent:**\n"), intent, F.lit("\n\n**Patch:**\n```diff\n"), patch, F.lit("\n```\n\nDoes this patch introduce code drift? Respond with JSON only."))
+
+
+def evaluation_prompt(scenarios: DataFrame) -> Column:
+    """The question on a scenario's first candidate; empty where it has none. Missing fields count as empty."""
+    given = lambda c: F.coalesce(c, F.lit(""))
+    first = F.get("drift_candidates", F.lit(0))
+    # The prompt's text.
+    text = F.concat(
+        F.lit("You are a code drift detector. Analyze the following code change for potential drift issues.\n\nRepository: "), given(scenarios["repository"]),
+        F.lit("\nIntent: "), given(scenarios["intent"]), F.lit("\nCategory being tested: "), given(scenarios["category"]), F.lit("\nChange name: "), given(scenarios["name"]),
+        F.lit("\n\nA drift candidate has been identified with type: "), given(first["drift_type"]),
+        F.lit('\n\nBased on the intent and the drift type, should this code change be flagged as drift?\nRespond with a JSON object: {"is_drift": true/false, "confidence": 0.0-1.0, "category": "..."}'),
+    )
+    return F.when(F.size(F.coalesce("drift_candidates", F.array())) == 0, "").otherwise(text)
+
+
+def retry_prompt(finding: Column, reason: Column, facts: Column) -> Column:
+    """The second try's text. finding: the rejected finding as JSON text."""
+    # The prompt's text.
+    return F.concat(
+        F.lit("Your previous finding was REJECTED by structural verification.\n\nREJECTION REASON: "), reason, F.lit("\n\nYOUR REJECTED FINDING:\n"), finding, F.lit("\n\nORIGINAL AST FACTS:\n"), facts,
+        F.lit("\n\nPlease produce a CORRECTED finding that addresses the rejection reason, or return empty findings if no valid issue exists."),
+    )
 
 
 def findings(responses: DataFrame) -> DataFrame:

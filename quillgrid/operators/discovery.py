@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillgrid.operators.ranges import numbered
+
 # Licences and languages that are taken.
 LICENSES = ["mit", "apache-2.0", "bsd-2-clause", "bsd-3-clause", "isc", "mpl-2.0", "unlicense", "0bsd"]
 LANGUAGES = ["typescript", "python", "javascript", "go", "rust", "java"]
@@ -69,10 +71,17 @@ def outcome_counts(scored: DataFrame, least: int) -> DataFrame:
     return outcomes(scored, least).groupBy("track").agg(*(F.count_if(F.col("outcome") == o).alias(o) for o in ("qualified", "skipped", "below_threshold")))
 
 
-def quota(rows: DataFrame, most: int, by: str = "track", points: str = "score", name: str = "repo") -> DataFrame:
-    """At most `most` rows: first the best max(2, 2 * most / 5) of each group, then the best of the rest; ordered by points."""
+def since(now: Column, days: int = 90) -> Column:
+    """The date so many days before, as search queries have it."""
+    return F.date_format(F.date_sub(now.cast("date"), days), "yyyy-MM-dd")
+
+
+def quota(rows: DataFrame, most: int, by: str = "track", points: str = "score", name: str = "repo", track: str = "both") -> DataFrame:
+    """At most `most` rows: first the best max(2, 2 * most / 5) of each group, then the best of the rest; ordered by points. Of one track, or of four rows or fewer, the best by points alone."""
     each = max(2, 2 * most // 5)
     order = [F.desc(points), F.asc(name)]
+    if track != "both" or len(rows.select(name).limit(5).collect()) < 5:
+        return rows.orderBy(*order).limit(most)
     first = rows.withColumn("k", F.row_number().over(Window.partitionBy(by).orderBy(*order))).withColumn("reserved", F.col("k") <= each)
     return first.orderBy(F.desc("reserved"), *order).limit(most).drop("k", "reserved").orderBy(*order)
 
@@ -100,5 +109,5 @@ def add_new(listed: DataFrame, found: DataFrame, key: str = "repo", order: str =
     """The list, then what it doesn't have yet, in order."""
     fresh = found.join(listed.select(key), key, "left_anti")
     last = listed.agg(F.coalesce(F.max(order), F.lit(-1)).alias("last"))
-    n = F.row_number().over(Window.orderBy(order, key))
-    return listed.select(key, order).unionByName(fresh.crossJoin(F.broadcast(last)).select(key, (F.col("last") + n).alias(order)))
+    n = numbered(fresh.select(key, order), [order, key], "n")
+    return listed.select(key, order).unionByName(n.crossJoin(F.broadcast(last)).select(key, (F.col("last") + F.col("n")).cast("int").alias(order)))

@@ -28,18 +28,48 @@ def calibration_error(rows: DataFrame, by: list[str], midpoint: bool = False) ->
 
 
 def leaderboard(rows: DataFrame) -> DataFrame:
-    """A row for each model: accuracy, extreme confidences, calibration both ways, and rank."""
-    sure, unsure = F.col("confidence") >= 0.8, F.col("confidence") < 0.5
-    base = rows.groupBy("model").agg(
-        F.count("*").alias("total"),
-        F.count_if("correct").alias("correct"),
-        F.count_if(sure & ~F.col("correct")).alias("overconfident_errors"),
-        F.count_if(unsure & F.col("correct")).alias("underconfident_correct"),
-        F.round(F.avg("confidence"), 3).alias("avg_confidence"),
+    """A row for each model: accuracy, extreme confidences, calibration both ways, and rank. One pass over the rows, by model and bin; the rest is of eleven rows a model."""
+    confidence = F.col("confidence")
+    bins = rows.groupBy("model", F.when(confidence.isNotNull(), F.least(F.floor(confidence * 10), F.lit(9))).alias("bin")).agg(
+        F.count("*").alias("n"),
+        F.count_if("correct").alias("right"),
+        F.count_if((confidence >= 0.8) & ~F.col("correct")).alias("over"),
+        F.count_if((confidence < 0.5) & F.col("correct")).alias("under"),
+        F.sum("confidence").alias("sure"),
+        F.count("confidence").alias("told"),
+    )
+    has = F.col("bin").isNotNull()
+    share = F.col("right") / F.col("n")
+
+    def error(against: Column) -> Column:
+        return F.round(F.sum(F.when(has, F.col("n") * F.abs(share - against))) / F.sum(F.when(has, F.col("n"))), 4)
+
+    board = bins.groupBy("model").agg(
+        F.sum("n").alias("total"),
+        F.sum("right").alias("correct"),
+        F.sum("over").alias("overconfident_errors"),
+        F.sum("under").alias("underconfident_correct"),
+        F.round(F.sum("sure") / F.sum("told"), 3).alias("avg_confidence"),
+        error(F.col("sure") / F.col("n")).alias("ece_mean"),
+        error((F.col("bin") + 0.5) / 10).alias("ece_midpoint"),
     )
-    scored = base.withColumn("overall_accuracy", ratio(F.col("correct"), F.col("total"), 4))
-    both = scored.join(calibration_error(rows, ["model"]).withColumnRenamed("ece", "ece_mean"), "model", "left").join(calibration_error(rows, ["model"], midpoint=True).withColumnRenamed("ece", "ece_midpoint"), "model", "left")
-    return ranked(both, [F.desc("overall_accuracy"), F.asc("model")])
+    scored = board.withColumn("overall_accuracy", ratio(F.col("correct"), F.col("total"), 4))
+    return ranked(scored, [F.desc("overall_accuracy"), F.asc("model")])
+
+
+def by_accuracy(rows: DataFrame) -> DataFrame:
+    """Rank by accuracy, then by completed tasks, both descending; equals by model."""
+    return ranked(rows, [F.desc("accuracy"), F.desc("tasks_completed"), F.asc("model")])
+
+
+def run_status(completed: Column) -> Column:
+    return F.when(completed >= 20, "verified").otherwise("partial")
+
+
+def tasks_by_repository(tasks: DataFrame) -> DataFrame:
+    """Tasks of each repository, with the number of repositories and of all tasks beside."""
+    each = tasks.groupBy("repository").agg(F.count("*").alias("tasks"))
+    return each.crossJoin(each.agg(F.count("*").alias("repositories"), F.sum("tasks").alias("total_tasks")))
 
 
 def ranked(rows: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
@@ -113,17 +143,50 @@ def detection_report(candidates: DataFrame) -> DataFrame:
 
 
 def with_task_metadata(results: DataFrame, tasks: DataFrame) -> DataFrame:
-    """The category of a result, else of its task, else unknown; the language by repository."""
+    """The category of a result, else of its task, else unknown."""
     meta = tasks.select(F.col("id").alias("task_id"), F.col("category").alias("task_category")).dropDuplicates(["task_id"])
     return results.join(meta, "task_id", "left").withColumn("category", F.coalesce(F.nullif("category", F.lit("")), F.nullif("task_category", F.lit("")), F.lit("unknown"))).drop("task_category")
 
 
+def with_language(results: DataFrame, repositories: DataFrame) -> DataFrame:
+    """The language of a result's repository (short name) by the table of repositories (repo, language), else unknown."""
+    known = repositories.select(F.col("repo").alias("repository"), F.col("language").alias("repo_language")).dropDuplicates(["repository"])
+    return results.join(known, "repository", "left").withColumn("language", F.coalesce("repo_language", F.lit("unknown"))).drop("repo_language")
+
+
+def capital(c: Column) -> Column:
+    """The first character large, all others small."""
+    return F.concat(F.upper(F.left(c, F.lit(1))), F.lower(F.substr(c, F.lit(2))))
+
+
+COUNTS = "map<string, struct<passed: bigint, failed: bigint, total: bigint>>"
+
+
+def batch_entry(batch: DataFrame) -> DataFrame:
+    """Rows of a batch leaderboard as leaderboard rows: accuracy in percent, rates that a batch has not as 0, counts of categories with the failed ones."""
+    counts = F.transform_values("by_category", lambda _, v: F.struct(v["correct"].alias("passed"), (v["total"] - v["correct"]).alias("failed"), v["total"].alias("total")))
+    run = F.coalesce("scenarios_evaluated", F.lit(0))
+    zero = F.lit(0.0)
+    return batch.select(
+        "model", F.replace("model", F.lit("/"), F.lit("_")).alias("slug"), F.coalesce("display_name", "model").alias("display_name"), capital(F.coalesce("provider", F.lit("unknown"))).alias("provider"),
+        zero.alias("pass_rate"), zero.alias("drift_detection_rate"), zero.alias("error_rate"), F.round(F.coalesce("overall_accuracy", zero) * 100, 1).alias("accuracy"), run.alias("tasks_run"), run.alias("tasks_completed"),
+        F.coalesce("calibration_ece", zero).alias("calibration_ece"), F.coalesce("overconfident_errors", F.lit(0)).alias("overconfident_errors"), F.coalesce("underconfident_correct", F.lit(0)).alias("underconfident_correct"), "avg_confidence",
+        F.coalesce(counts.cast(COUNTS), F.create_map().cast(COUNTS)).alias("by_category"), run_status(run).alias("status"), F.lit("batch").alias("source"),
+    )
+
+
 def merge_leaderboards(local: DataFrame, batch: DataFrame) -> DataFrame:
-    """Full outer by model: batch values win where both have a model, rows of either side stay. Columns: model, accuracy, ece, overconfident_errors."""
-    a, b = local.alias("a"), batch.alias("b")
-    joined = a.join(b, F.col("a.model") == F.col("b.model"), "full")
-    source = F.when(F.col("a.model").isNull(), "batch").when(F.col("b.model").isNull(), "local").otherwise("both")
-    return joined.select(F.coalesce("a.model", "b.model").alias("model"), F.coalesce("a.accuracy", "b.accuracy").alias("accuracy"), F.coalesce("b.ece", "a.ece").alias("ece"), F.coalesce("b.overconfident_errors", "a.overconfident_errors").alias("overconfident_errors"), source.alias("origin"))
+    """Full outer by model, ranked. A model of both keeps its local row with the batch's calibration error and overconfident errors, where given, and its categories as by_category_batch; a model of the batch alone gets a row of its own.
+
+    local: columns of batch_entry. batch: model, display_name, provider, overall_accuracy, scenarios_evaluated, calibration_ece,
+    overconfident_errors, underconfident_correct, avg_confidence, by_category (map to correct and total).
+    """
+    a, b = local.alias("a"), batch_entry(batch).alias("b")
+    given = batch.select(F.col("model").alias("given_model"), F.col("calibration_ece").alias("given_ece"), F.col("overconfident_errors").alias("given_over"), F.col("by_category").alias("by_category_batch"))
+    joined = a.join(b, F.col("a.model") == F.col("b.model"), "full").join(given, F.col("given_model") == F.col("a.model"), "left")
+    richer = {"calibration_ece": "given_ece", "overconfident_errors": "given_over"}
+    columns = [F.coalesce(*([richer[c]] if c in richer else []), f"a.{c}", f"b.{c}").alias(c) for c in batch_entry(batch).columns]
+    return by_accuracy(joined.select(*columns, "by_category_batch"))
 
 
 def model_names(models: DataFrame, registry: DataFrame) -> DataFrame:
@@ -146,5 +209,24 @@ def route(model: Column) -> Column:
     return F.when(m.contains("claude") | m.startswith("anthropic/"), "anthropic").when(m.rlike("^(openai/)?(gpt|o[0-9])"), "openai").when(m.contains("gemini"), "google").when(m.contains("deepseek"), "deepseek").otherwise("litellm")
 
 
-def delay_seconds(rpm: Column) -> Column:
-    return F.lit(60.0) / rpm + 0.5
+#: Seconds between calls of providers whose rate isn't configured.
+DEFAULT_DELAYS = {"gemini": 6.5, "groq": 2.0, "deepseek": 1.0}
+
+
+def delay_seconds(rpm: Column, provider: Column | None = None) -> Column:
+    """Seconds between calls: by the configured rate, half a second on top, else what the provider is known for, else half a second."""
+    default = F.lit(0.5)
+    if provider is not None:
+        default = F.coalesce(*(F.when(provider == p, F.lit(s)) for p, s in DEFAULT_DELAYS.items()), default)
+    return F.when(F.coalesce(rpm, F.lit(0)) != 0, F.lit(60.0) / rpm + 0.5).otherwise(default)
+
+
+def warmup_steps(size: Column, batch_size: int, accumulation: int, epochs: int, share: float = 0.1) -> Column:
+    """Steps of a tenth of all, one at least, of a training over so many rows."""
+    a_epoch = F.greatest(F.lit(1), F.floor(size / (batch_size * accumulation)))
+    return F.greatest(F.lit(1), F.floor(a_epoch * epochs * share)).cast("int")
+
+
+def duration_ms(start: Column, end: Column) -> Column:
+    """Whole milliseconds between two timestamps."""
+    return F.floor((F.unix_micros(end) - F.unix_micros(start)) / 1000).cast("long")

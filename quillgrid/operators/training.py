@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgrid.functions.text import json_text
 from quillgrid.operators.metrics import ratio
+from quillgrid.operators.ranges import numbered
 
-# The prompt of preference pairs, its notes and the focus list of instruction pairs.
+# The prompt of preference pairs and its notes.
 DPO_HEAD = "Analyze this codebase for quality issues.\n\nAST-EXTRACTED FACTS:\n"
 DPO_TAIL = "\n\nReturn findings as JSON."
 CHOSEN_NOTES = "Passed structural verification"
@@ -27,7 +31,9 @@ def retryable(rows: DataFrame, most: int = 50, batch: bool = False) -> DataFrame
     fine = (F.col("verified") == 0) & (F.length("verification_notes") > 0) & ~notes.contains("confidence floor")
     if not batch:
         fine = fine & ~notes.contains("batch_mode")
-    n = F.row_number().over((Window.partitionBy(F.lit(0)) if batch else Window.partitionBy("repo")).orderBy("seq"))
+    if batch:
+        return rows.filter(fine).orderBy("seq").limit(most)
+    n = F.row_number().over(Window.partitionBy("repo").orderBy("seq"))
     return rows.filter(fine).withColumn("n", n).filter(F.col("n") <= most).drop("n")
 
 
@@ -61,11 +67,11 @@ def pick_pairs(dropped: DataFrame, chosen: DataFrame, by: str, seed: str = "") -
 
     dropped: id and by; chosen: id and by. Chosen rows are numbered within their group; a dropped row takes number digest mod group size.
     """
-    numbered = chosen.select(by, F.col("id").alias("chosen_id"), (F.row_number().over(Window.partitionBy(by).orderBy("id")) - 1).alias("k"))
+    places = numbered(chosen.select(by, F.col("id").alias("chosen_id")), ["chosen_id"], "k", [by]).withColumn("k", F.col("k") - 1)
     sizes = chosen.groupBy(by).agg(F.count("*").alias("n"))
     digest = F.conv(F.left(F.md5(F.concat(F.lit(seed), F.col("id").cast("string")).cast("binary")), F.lit(8)), 16, 10).cast("long")
-    wanted = dropped.select(by, F.col("id").alias("dropped_id"), digest.alias("digest")).join(F.broadcast(sizes), by).withColumn("k", F.col("digest") % F.col("n")).drop("digest", "n")
-    return wanted.join(numbered, [by, "k"]).select(by, "dropped_id", "chosen_id")
+    wanted = dropped.select(by, F.col("id").alias("dropped_id"), digest.alias("digest")).join(sizes, by).withColumn("k", F.col("digest") % F.col("n")).drop("digest", "n")
+    return wanted.join(places, [by, "k"]).select(by, "dropped_id", "chosen_id")
 
 
 def dpo_pairs(rows: DataFrame, most: int = 10_000, retry_weight: float = 0.6) -> DataFrame:
@@ -119,20 +125,25 @@ def run_entry(stats: DataFrame, run_number: Column, date: Column) -> DataFrame:
     return stats.agg(run_number.alias("run_number"), date.alias("date"), F.sum("verified").cast("long").alias("total_verified"), F.sum("dropped").cast("long").alias("total_dropped"), F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("categories"))
 
 
-def budget_prefix(rows: DataFrame, by: list[str], order: list[str], length: Column, most: int, keep_last: bool = True) -> DataFrame:
-    """Rows of each group until those before one are longer than `most` (keep_last) or reach it."""
-    before = F.coalesce(F.sum(length).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rows.withColumn("chars_before", before).filter(F.col("chars_before") <= most if keep_last else F.col("chars_before") < most)
+def budget_prefix(rows: DataFrame, by: list[str], order: list[str], length: Column, most: int, keep_last: bool = True, shares: int = 64) -> DataFrame:
+    """Rows of each group until those before one are longer than `most` (keep_last) or reach it.
+
+    A row that is out by the rows of its share of the group alone (dealt by a hash of its order) is out by all, so that few rows of a large group meet.
+    """
+    before = lambda *more: F.coalesce(F.sum(length).over(Window.partitionBy(*by, *more).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    fits = F.col("chars_before") <= most if keep_last else F.col("chars_before") < most
+    dealt = rows.withColumn("__share", F.pmod(F.xxhash64(*order), F.lit(shares))).withColumn("chars_before", before("__share")).filter(fits)
+    return dealt.drop("__share", "chars_before").withColumn("chars_before", before()).filter(fits)
 
 
 def micro_batches(rows: DataFrame, by: list[str], order: list[str], size: int = 15, keep_rest: bool = True) -> DataFrame:
     """Numbers batches of `size` in each group; keep_rest=False drops what is left over after at least one full batch."""
-    w = Window.partitionBy(*by)
-    numbered = rows.withColumn("batch", F.floor((F.row_number().over(w.orderBy(*order)) - 1) / size).cast("long"))
+    made = numbered(rows, order, "batch", by).withColumn("batch", F.floor((F.col("batch") - 1) / size).cast("long"))
     if keep_rest:
-        return numbered
-    full = F.greatest(F.lit(1), F.floor(F.count("*").over(w) / size))
-    return numbered.withColumn("full", full).filter(F.col("batch") < F.col("full")).drop("full")
+        return made
+    full = rows.groupBy(*(F.col(k).alias(f"__{k}") for k in by)).agg(F.greatest(F.lit(1), F.floor(F.count("*") / size)).alias("__full"))
+    same = reduce(and_, (F.col(k).eqNullSafe(F.col(f"__{k}")) for k in by))
+    return made.join(full, same).filter(F.col("batch") < F.col("__full")).select(made.columns)
 
 
 def content_hash(facts: Column) -> Column:

@@ -6,7 +6,7 @@ made only for findings of their categories, and are summed up per finding.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Categories by rule.
@@ -21,14 +21,14 @@ ACROSS = ["dead_code", "circular_dependency", "dry_violation", "copy_paste_code"
 
 
 def resolve(findings: DataFrame, facts: DataFrame) -> DataFrame:
-    """Findings with the facts (struct f, or null) of their file: the same path, else the first file where either path ends with the other."""
-    own = facts.select(F.col("repo").alias("f_repo"), F.struct(*[c for c in facts.columns if c != "repo"]).alias("f"))
-    same = F.col("f.path") == F.col("file")
-    fits = same | F.col("f.path").endswith(F.col("file")) | F.col("file").endswith(F.col("f.path"))
-    hits = findings.select("repo", "seq", "file").join(own, (F.col("repo") == F.col("f_repo")) & fits)
-    n = F.row_number().over(Window.partitionBy("repo", "seq").orderBy(F.desc(same), "f.ord"))
-    best = hits.withColumn("n", n).filter("n = 1").select("repo", "seq", "f")
-    return findings.join(best, ["repo", "seq"], "left")
+    """Findings with the facts (struct f, or null) of their file: the same path, else the first file where either path ends with the other. Paths alone are compared; the facts join once, by number."""
+    paths = facts.select("repo", F.col("ord").alias("f_ord"), F.col("path").alias("f_path"))
+    same = F.col("f_path") == F.col("file")
+    fits = same | F.col("f_path").endswith(F.col("file")) | F.col("file").endswith(F.col("f_path"))
+    hits = findings.select("repo", "seq", "file").join(paths, "repo").filter(fits)
+    best = hits.groupBy("repo", "seq").agg(F.min(F.struct((~same).alias("other"), "f_ord")).alias("best")).select("repo", "seq", F.col("best.f_ord").alias("f_ord"))
+    own = facts.select("repo", F.col("ord").alias("f_ord"), F.struct(*[c for c in facts.columns if c != "repo"]).alias("f"))
+    return findings.join(best, ["repo", "seq"], "left").join(own, ["repo", "f_ord"], "left").drop("f_ord")
 
 
 def longest_contained(names: Column, text: Column) -> Column:

@@ -96,20 +96,40 @@ def slugs(spark, sf_dir):
 
 def _half(spark, sf_dir, odd: int, models: tuple[int, int]):
     p = predictions(spark, sf_dir).filter((F.col("event_id") % 2 == odd) & F.substring("model", 2, 2).cast("int").between(*models))
-    acc = metrics.accuracy(p, ["model"]).select("model", "accuracy")
-    over = p.groupBy("model").agg(F.count_if((F.col("confidence") >= 0.8) & ~F.col("correct")).alias("overconfident_errors"))
-    return acc.join(metrics.calibration_error(p, ["model"], midpoint=odd == 0), "model").join(over, "model")
+    return metrics.leaderboard(p), metrics.accuracy(p, ["model", "category"])
 
 
 def _half_sql(odd: int, low: int, high: int) -> str:
     return f"""(WITH p AS (SELECT * FROM ({PREDICTIONS_SQL}) WHERE event_id % 2 = {odd} AND CAST(substr(model, 2) AS INTEGER) BETWEEN {low} AND {high})
-    SELECT model, round(count(*) FILTER (correct)::DOUBLE / count(*), 4) AS accuracy, any_value(e.ece) AS ece, count(*) FILTER (confidence >= 0.8 AND NOT correct) AS overconfident_errors FROM p JOIN ({_ece(odd == 0)}) e USING (model) GROUP BY model)"""
+    SELECT model, count(*) AS n, count(*) FILTER (correct) AS hits, any_value(e.ece) AS ece, count(*) FILTER (confidence >= 0.8 AND NOT correct) AS over, count(*) FILTER (confidence < 0.5 AND correct) AS under,
+    round(avg(confidence), 3) AS avg_confidence, count(DISTINCT category) AS n_categories FROM p JOIN ({_ece(odd == 0)}) e USING (model) GROUP BY model)"""
 
 
-@query("q09_merge_leaderboards", f"""SELECT coalesce(a.model, b.model) AS model, coalesce(a.accuracy, b.accuracy) AS accuracy, coalesce(b.ece, a.ece) AS ece, coalesce(b.overconfident_errors, a.overconfident_errors) AS overconfident_errors,
-CASE WHEN a.model IS NULL THEN 'batch' WHEN b.model IS NULL THEN 'local' ELSE 'both' END AS origin FROM {_half_sql(0, 0, 6)} a FULL JOIN {_half_sql(1, 4, 9)} b ON a.model = b.model""")
+_LOCAL = "concat('org/', model) AS model, concat('org_', model) AS slug, concat('Org ', upper(model)) AS display_name, 'Org' AS provider, 0.5::DOUBLE AS pass_rate, round(100.0::DOUBLE * hits / n, 1) AS accuracy, n AS tasks_completed, ece AS calibration_ece, over AS overconfident_errors, under AS underconfident_correct, avg_confidence, CASE WHEN n >= 20 THEN 'verified' ELSE 'partial' END AS status"
+_BATCHED = _LOCAL.replace("concat('Org ', upper(model))", "concat('org/', model)").replace("'Org' AS", "CASE WHEN model = 'm9' THEN 'Unknown' ELSE 'Acme' END AS").replace("0.5::DOUBLE", "0.0::DOUBLE").replace("round(100.0::DOUBLE * hits / n, 1)", "round(round(hits::DOUBLE / n, 4) * 100, 1)")
+
+
+@query("q09_merge_leaderboards", f"""WITH a AS (SELECT {_LOCAL} FROM {_half_sql(0, 0, 6)}), h AS (SELECT * FROM {_half_sql(1, 4, 9)}), b AS (SELECT {_BATCHED}, n_categories FROM h),
+m AS (SELECT coalesce(a.model, b.model) AS model, coalesce(a.slug, b.slug) AS slug, coalesce(a.display_name, b.display_name) AS display_name, coalesce(a.provider, b.provider) AS provider, coalesce(a.pass_rate, b.pass_rate) AS pass_rate, coalesce(a.accuracy, b.accuracy) AS accuracy,
+  coalesce(a.tasks_completed, b.tasks_completed) AS tasks_completed, coalesce(b.calibration_ece, a.calibration_ece) AS calibration_ece, coalesce(b.overconfident_errors, a.overconfident_errors) AS overconfident_errors, coalesce(a.underconfident_correct, b.underconfident_correct) AS underconfident_correct,
+  coalesce(a.avg_confidence, b.avg_confidence) AS avg_confidence, coalesce(a.status, b.status) AS status, CASE WHEN a.model IS NULL THEN 'batch' ELSE 'local' END AS source, CASE WHEN a.model IS NULL THEN NULL ELSE CAST(b.n_categories AS INTEGER) END AS batch_categories, CASE WHEN a.model IS NULL THEN CAST(b.n_categories AS INTEGER) ELSE 0 END AS own_categories FROM a FULL JOIN b ON a.model = b.model)
+SELECT *, CAST(row_number() OVER (ORDER BY accuracy DESC, tasks_completed DESC, model) AS INTEGER) AS rank FROM m""")
 def merge(spark, sf_dir):
-    return metrics.merge_leaderboards(_half(spark, sf_dir, 0, (0, 6)), _half(spark, sf_dir, 1, (4, 9)))
+    (mine, _), (other, by) = _half(spark, sf_dir, 0, (0, 6)), _half(spark, sf_dir, 1, (4, 9))
+    name, zero = F.concat(F.lit("org/"), "model"), F.lit(0.0)
+    none = F.create_map().cast(metrics.COUNTS)
+    local = mine.select(
+        name.alias("model"), F.concat(F.lit("org_"), "model").alias("slug"), F.concat(F.lit("Org "), F.upper("model")).alias("display_name"), F.lit("Org").alias("provider"), F.lit(0.5).alias("pass_rate"), zero.alias("drift_detection_rate"), zero.alias("error_rate"),
+        metrics.ratio(F.col("correct"), F.col("total"), 1, 100).alias("accuracy"), F.col("total").alias("tasks_run"), F.col("total").alias("tasks_completed"), F.col("ece_midpoint").alias("calibration_ece"), "overconfident_errors", "underconfident_correct", "avg_confidence",
+        none.alias("by_category"), metrics.run_status(F.col("total")).alias("status"), F.lit("local").alias("source"),
+    )
+    counts = by.groupBy("model").agg(F.map_from_entries(F.collect_list(F.struct("category", F.struct("correct", "total")))).alias("by_category"))
+    batch = other.join(counts, "model").select(
+        name.alias("model"), F.lit(None).cast("string").alias("display_name"), F.when(F.col("model") != "m9", "aCME").alias("provider"), "overall_accuracy", F.col("total").alias("scenarios_evaluated"), F.col("ece_mean").alias("calibration_ece"), "overconfident_errors", "underconfident_correct", "avg_confidence", "by_category",
+    )
+    made = metrics.merge_leaderboards(local, batch)
+    columns = ["model", "slug", "display_name", "provider", "pass_rate", "accuracy", "tasks_completed", "calibration_ece", "overconfident_errors", "underconfident_correct", "avg_confidence", "status", "source", "rank"]
+    return made.select(*columns, F.when(F.col("by_category_batch").isNotNull(), F.size("by_category_batch")).alias("batch_categories"), F.size("by_category").alias("own_categories"))
 
 
 def tasks(spark, sf_dir):
@@ -163,18 +183,25 @@ def quoted(v) -> str:
     return "NULL" if v is None else str(v).upper() if isinstance(v, bool) else f"{v}::DOUBLE" if isinstance(v, float) else f"{v}" if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
 
 
-@query("q13_parse_replies", "SELECT * FROM (VALUES " + ", ".join(f"({quoted(a)}, {quoted(b)}, {quoted(c)}, {quoted(d)}, {quoted(e)})" for a, _, b, c, d, e in REPLIES) + ") AS t(name, parsed, says_drift, confidence, drift_type)")
+_REPLY_ROWS = ", ".join(f"({k}, {quoted(a)}, {quoted(b)}, {quoted(c)}, {quoted(d)}, {quoted(e)})" for k, (a, _, b, c, d, e) in enumerate(REPLIES))
+
+
+@query("q13_parse_replies", f"SELECT event_id, name, parsed, says_drift, confidence, drift_type FROM events JOIN (VALUES {_REPLY_ROWS}) AS t(k, name, parsed, says_drift, confidence, drift_type) ON event_id % {len(REPLIES)} = k")
 def replies(spark, sf_dir):
-    rows = spark.createDataFrame([(n, t) for n, t, *_ in REPLIES], "name string, text string")
-    return rows.withColumn("r", scoring.parse_reply(F.col("text"))).select("name", "r.parsed", "r.says_drift", "r.confidence", "r.drift_type")
+    """Every event with a reply of one of the kinds."""
+    kinds = spark.createDataFrame([(k, n, t) for k, (n, t, *_) in enumerate(REPLIES)], "k long, name string, text string")
+    rows = table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % len(REPLIES)).alias("k")).join(kinds, "k")
+    return rows.withColumn("r", scoring.parse_reply(F.col("text"))).select("event_id", "name", "r.parsed", "r.says_drift", "r.confidence", "r.drift_type")
 
 
-@query("q14_json_defaults", "SELECT event_id, least(1.0::DOUBLE, greatest(0.0::DOUBLE, coalesce(CAST(json_extract_string(props, '$.k') AS DOUBLE), 0.5::DOUBLE) / 80)) AS confidence, false AS has_drift FROM events")
+@query("q14_json_defaults", f"SELECT event_id, least(1.0::DOUBLE, greatest(0.0::DOUBLE, CASE WHEN event_id % 3 = 0 THEN 0.5::DOUBLE ELSE {_K} / 80.0::DOUBLE END)) AS confidence, event_id % 2 = 0 AND event_id % 5 <> 0 AS has_drift FROM events")
 def json_defaults(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    k = F.coalesce(F.get_json_object("props", "$.k").cast("double"), F.lit(0.5))
-    has = F.coalesce(F.get_json_object("props", "$.has_drift").cast("boolean"), F.lit(False))
-    return e.select("event_id", F.least(F.lit(1.0), F.greatest(F.lit(0.0), k / 80)).alias("confidence"), has.alias("has_drift"))
+    """Replies made of the events' props: a confidence on two of three, which may be above 1, a decision on four of five."""
+    i = F.col("event_id")
+    k = F.get_json_object("props", "$.k").cast("double") / 80
+    fields = F.array_compact(F.array(F.when(i % 3 != 0, F.concat(F.lit('"confidence": '), k.cast("string"))), F.when(i % 5 != 0, F.concat(F.lit('"has_drift": '), F.when(i % 2 == 0, "true").otherwise("false")))))
+    reply = scoring.parse_reply(F.concat(F.lit("{"), F.array_join(fields, ", "), F.lit("}")))
+    return table(spark, sf_dir, "events").withColumn("r", reply).select("event_id", "r.confidence", F.col("r.says_drift").alias("has_drift"))
 
 
 @query("q15_candidate_rules", f"""WITH c AS (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'FAIL' ELSE 'PASS' END AS expected, correct AS detected, CASE WHEN event_id % 5 = 0 THEN NULL WHEN event_id % 3 = 0 THEN 'click' ELSE category END AS gate, category FROM ({PREDICTIONS_SQL}))
@@ -194,3 +221,21 @@ def task_results(spark, sf_dir):
     tasks_ = d.filter("doc_id % 2 = 0").select(F.col("doc_id").alias("id"), F.col("lang").alias("category"))
     results = table(spark, sf_dir, "labels").join(d, "doc_id").select(F.col("doc_id").alias("task_id"), F.when(F.col("quality") == 1, F.col("source")).alias("category"))
     return metrics.with_task_metadata(results, tasks_).groupBy("category").agg(F.count("*").alias("n"))
+
+
+@query("q17_languages", """SELECT coalesce(l.language, 'unknown') AS language, count(*) AS n FROM documents LEFT JOIN (SELECT source, min(lang) AS language FROM documents WHERE lang <> 'en' GROUP BY source HAVING min(lang) < 'es') l USING (source) GROUP BY ALL""")
+def languages(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    known = d.filter("lang <> 'en'").groupBy(F.col("source").alias("repo")).agg(F.min("lang").alias("language")).filter("language < 'es'")
+    return metrics.with_language(d.select(F.col("source").alias("repository")), known).groupBy("language").agg(F.count("*").alias("n"))
+
+
+@query("q18_tasks_by_repository", "SELECT concat('org/', source) AS repository, count(*) AS tasks, (SELECT count(DISTINCT source) FROM documents) AS repositories, (SELECT count(*) FROM documents) AS total_tasks FROM documents GROUP BY ALL")
+def tasks_by_repository(spark, sf_dir):
+    return metrics.tasks_by_repository(tasks(spark, sf_dir))
+
+
+@query("q19_run_preview", "SELECT r_name AS model, (SELECT list(n) FROM (SELECT n_name AS n FROM nation ORDER BY n_name LIMIT 5))::VARCHAR AS first_tasks, (SELECT count(*) - 5 FROM nation) AS more, (SELECT count(*) FROM nation) * (SELECT count(*) FROM region) AS total_runs FROM region")
+def run_preview(spark, sf_dir):
+    made = scenarios.preview(table(spark, sf_dir, "region").select(F.col("r_name").alias("model")), table(spark, sf_dir, "nation").select(F.col("n_name").alias("id")))
+    return made.withColumn("first_tasks", F.concat(F.lit("["), F.array_join("first_tasks", ", "), F.lit("]")))

@@ -66,11 +66,17 @@ def pairs(spark, sf_dir):
     return made.select("category", "dropped_id", "chosen_id", F.when(F.col("weight").isNull(), 1).otherwise(2).alias("try"), "weight")
 
 
-@query("q25_sft_groups", """SELECT conv_id, count(*) AS n, string_agg(role || ': ' || text, chr(10) ORDER BY turn, role, text) AS messages FROM conversations GROUP BY conv_id""")
-def conversations(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations")
-    said = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda x: F.concat(x["role"], F.lit(": "), x["text"]))
-    return rows.groupBy("conv_id").agg(F.count("*").alias("n"), F.array_join(said, "\n").alias("messages"))
+@query("q25_sft_groups", """WITH f AS (SELECT conv_id, role, turn, text, coalesce(nullif(CASE WHEN conv_id % 3 = 0 THEN concat('facts of ', conv_id) END, ''), CASE WHEN conv_id % 3 = 1 THEN concat('hash', conv_id) END, concat('file', conv_id)) AS batch,
+  coalesce(CASE WHEN conv_id % 3 = 0 THEN concat('facts of ', conv_id) END, concat('FILE: file', conv_id, ' (repo: ', role, ')')) AS prompt FROM conversations)
+SELECT batch, count(*) AS n_findings, (list(prompt ORDER BY role, turn))[1] AS prompt, concat('{"findings": [', string_agg(concat('{"category": "', role, '", "severity": "low", "file": "file', conv_id, '", "description": "t', turn, '", "suggestion": null, "confidence": 0.5}'), ', ' ORDER BY role, turn), ']}') AS reply FROM f GROUP BY batch""")
+def sft(spark, sf_dir):
+    """Turns as verified findings of their conversation: category by role, grouped by prompt, hash or file."""
+    c = F.col("conv_id")
+    rows = table(spark, sf_dir, "conversations").select(
+        F.col("turn").cast("long").alias("id"), F.col("role").alias("category"), F.col("role").alias("repo"), F.concat(F.lit("file"), c.cast("string")).alias("file_path"), F.when(c % 3 == 0, F.concat(F.lit("facts of "), c.cast("string"))).otherwise("").alias("facts_prompt"),
+        F.when(c % 3 == 1, F.concat(F.lit("hash"), c.cast("string"))).alias("facts_hash"), F.lit("low").alias("severity"), F.concat(F.lit("t"), F.col("turn").cast("string")).alias("description"), F.lit(None).cast("string").alias("suggestion"), F.lit(0.5).alias("confidence"),
+    )
+    return training.sft_groups(rows)
 
 
 @query("q26_budget_prefix", """SELECT source, doc_id, chars_before FROM (SELECT source, doc_id, CAST(coalesce(sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS chars_before FROM documents) WHERE chars_before <= 12000""")
@@ -109,25 +115,23 @@ def upsert_delete(spark, sf_dir):
     return sinks.delete(now, old.filter("k % 7 = 0"), ["k"])
 
 
-@query("q32_history", """WITH d AS (SELECT CAST(date_trunc('day', ts) AS DATE) AS day, count(*) AS n, count(*) FILTER (event_type = 'error') AS bad FROM events GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY day) AS run, round(bad::DOUBLE / n, 4) AS rate FROM d)
-SELECT strftime(day, '%Y-%m-%d') AS day, n, rate, lag(rate) OVER (ORDER BY day) AS previous, round(rate - lag(rate) OVER (ORDER BY day), 4) AS change, coalesce(round(rate - lag(rate) OVER (ORDER BY day), 4) < -0.005, false) AS regressed FROM (SELECT * FROM r ORDER BY day DESC LIMIT 52)""")
+@query("q32_history", """WITH d AS (SELECT date_trunc('hour', ts) AS hour, count(*) AS n, count(*) FILTER (event_type = 'error') AS bad FROM events GROUP BY 1), r AS (SELECT strftime(hour, '%Y-%m-%d %H') AS run, n, round(bad::DOUBLE / n, 4) AS rate FROM d)
+SELECT run, n, rate, lag(rate) OVER (ORDER BY run) AS previous, round(rate - lag(rate) OVER (ORDER BY run), 4) AS change, coalesce(round(rate - lag(rate) OVER (ORDER BY run), 4) < -0.005, false) AS regressed FROM (SELECT * FROM r ORDER BY run DESC LIMIT 52)""")
 def history(spark, sf_dir):
+    """Hours as runs: the newest is appended to the history of the others, of which the last 52 stay."""
     e = table(spark, sf_dir, "events")
-    days = e.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"), F.round(F.count_if(F.col("event_type") == "error") / F.count("*"), 4).alias("rate"))
-    kept = sinks.append_history(days.limit(0), days, "day")
-    return evaluation.against_previous(kept, [], [F.col("day")], "rate", 0.005)
+    hours = e.groupBy(F.date_format("ts", "yyyy-MM-dd HH").alias("run")).agg(F.count("*").alias("n"), F.round(F.count_if(F.col("event_type") == "error") / F.count("*"), 4).alias("rate"))
+    last = hours.agg(F.max("run").alias("last"))
+    known = hours.join(F.broadcast(last), F.col("run") < F.col("last")).drop("last")
+    new = hours.join(F.broadcast(last), F.col("run") == F.col("last")).drop("last")
+    return evaluation.against_previous(sinks.append_history(known, new, "run"), [], [F.col("run")], "rate", 0.005)
 
 
-_EDGES = "SELECT DISTINCT l_partkey AS part, l_suppkey AS supp FROM lineitem WHERE l_partkey % 40 = l_suppkey % 40"
+_EDGES = "SELECT DISTINCT l_partkey AS part, l_suppkey AS supp FROM lineitem"
 
 
 @query("q33_shared_pairs", f"WITH e AS ({_EDGES}) SELECT a.supp AS a, b.supp AS b, count(*) AS shared FROM e a JOIN e b ON a.part = b.part AND a.supp < b.supp GROUP BY ALL")
 def shared(spark, sf_dir):
-    return shared_pairs(table(spark, sf_dir, "lineitem").filter("l_partkey % 40 = l_suppkey % 40"))
-
-
-@query("q46_all_shared_pairs")
-def all_shared(spark, sf_dir):
     return shared_pairs(table(spark, sf_dir, "lineitem"))
 
 
@@ -138,6 +142,15 @@ def shared_pairs(items):
     return e.withColumnRenamed("supp", "a").join(other, "part").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
 
 
+@query("q46_shared_params", """WITH l AS (SELECT DISTINCT l_orderkey AS o, l_linenumber AS k, unnest([concat('t', CAST(round(l_tax * 100) AS INTEGER)), lower(l_returnflag), lower(l_linestatus)]) AS p FROM lineitem), m AS (SELECT a.o, a.k, b.k AS j, count(*) AS n FROM l a JOIN l b ON a.o = b.o AND a.k < b.k AND a.p = b.p GROUP BY ALL)
+SELECT o AS l_orderkey, coalesce(max(n), 0) AS shared FROM (SELECT DISTINCT l_orderkey AS o FROM lineitem) LEFT JOIN m USING (o) GROUP BY o""")
+def shared_params(spark, sf_dir):
+    """Orders as files, their lines as functions, whose parameters are the line's codes."""
+    f = F.struct(F.col("l_linenumber").alias("k"), F.array(F.concat(F.lit("T"), F.round(F.col("l_tax") * 100).cast("int").cast("string"), F.lit(": str")), F.col("l_returnflag"), F.upper("l_linestatus")).alias("params"))
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(f)).alias("functions"))
+    return rows.select("l_orderkey", verify.most_shared_params(F.col("functions")).cast("long").alias("shared"))
+
+
 @query("q34_set_operations", """WITH o AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderpriority = '1-URGENT'), s AS (SELECT c_custkey AS k FROM customer WHERE c_mktsegment = 'BUILDING'), b AS (SELECT c_custkey AS k FROM customer WHERE c_acctbal < 0)
 SELECT 'candidates' AS op, k FROM (SELECT k FROM o UNION SELECT k FROM s EXCEPT SELECT k FROM b) UNION ALL SELECT 'both', k FROM (SELECT k FROM o INTERSECT SELECT k FROM s)""")
 def sets(spark, sf_dir):
@@ -194,11 +207,16 @@ def quota(spark, sf_dir):
     return discovery.quota(rows.groupBy("repo", "track").agg(F.max("score").alias("score")).filter("score >= 50"), 20)
 
 
-@query("q38_text_facts", r"""SELECT page_id, len(string_split(html, chr(10))) AS n_lines, CAST(len(regexp_extract_all(html, 'href="([^"]+)"', 1)) AS INTEGER) AS links, CAST(len(list_filter(regexp_extract_all(html, '\b[0-9]{2,}\b'), lambda x: x NOT IN ('100', '200', '201', '204', '301', '302', '400', '401', '403', '404', '500'))) AS INTEGER) AS numbers FROM pages""")
+_PLAIN = ", ".join(f"'{x}'" for x in t.PLAIN_NUMBERS)
+#: Runs of word characters and dots; a number is one that has digits alone, as nothing of these stands beside it.
+_NUMBERS = rf"len(list_filter(regexp_extract_all({{0}}, '[\w.]+'), lambda x: regexp_full_match(x, '[0-9]{{{{2,}}}}') AND x NOT IN ({_PLAIN})))"
+
+
+@query("q38_text_facts", f"""SELECT page_id, len(string_split(html, chr(10))) AS n_lines, CAST(len(regexp_extract_all(html, 'href="([^"]+)"', 1)) AS INTEGER) AS links, CAST({_NUMBERS.format("regexp_replace(html, '[^ -~\n\t]', '_', 'g')")} AS INTEGER) AS numbers FROM pages""")
 def text_facts(spark, sf_dir):
     p = table(spark, sf_dir, "pages")
-    numbers = F.filter(F.regexp_extract_all("html", F.lit(r"\b[0-9]{2,}\b"), F.lit(0)), lambda x: ~x.isin(t.PLAIN_NUMBERS))
-    return p.select("page_id", F.size(F.split("html", "\n", -1)).cast("long").alias("n_lines"), t.count_matches(F.col("html"), 'href="([^"]+)"').alias("links"), F.size(numbers).alias("numbers"))
+    plain = F.regexp_replace("html", r"[^ -~\n\t]", "_")  # SQL's pattern knows no word characters beyond ASCII
+    return p.select("page_id", F.size(F.split("html", "\n", -1)).cast("long").alias("n_lines"), t.count_matches(F.col("html"), 'href="([^"]+)"').alias("links"), t.magic_numbers(plain).alias("numbers"))
 
 
 @query("q39_longest_entity", """WITH n AS (SELECT list(n_name ORDER BY length(n_name) DESC, n_nationkey) AS names FROM nation), s AS (SELECT s_suppkey, concat('supplier of ', n_name, ' near ', r_name) AS said FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)
@@ -211,51 +229,59 @@ def longest(spark, sf_dir):
 
 
 # Text functions on inputs of each kind, with results worked out by hand.
-PATCH = "--- src/a.py\n+++ src/a.py\n@@ -1 +1 @@\n-x\n+y"
+PATCH = "--- src/a§.py\n+++ src/a§.py\n@@ -1 +1 @@\n-x\n+y"
+
+
+KEY = "§"
 
 
-def text_cases():
-    """Name and column."""
-    patch = F.lit(PATCH)
+def text_cases(key):
+    """Name and column. KEY in a text stands for key."""
+    lit = lambda x: F.replace(F.lit(x), F.lit(KEY), key)
+    patch = lit(PATCH)
     return [
-        ("batch_custom_id", t.batch_custom_id(F.lit("owner/repo.js"), F.lit(3))),
-        ("repo_of_custom_id", t.repo_of_custom_id(F.lit("owner--my-repo_b12"))),
-        ("repo_of_old_id", t.repo_of_custom_id(F.lit("owner_my_repo_b1"))),
-        ("dashed_id", t.dashed_id(F.lit("a/b c.d"))),
-        ("bare_id", t.bare_id(F.lit("a/b c.d"))),
-        ("bare_id_empty", t.bare_id(F.lit("///"))),
-        ("strip_fences", t.strip_fences(F.lit('```json\n{"a": 1}\n```'))),
-        ("response_body", t.response_body(F.lit('  ```\njson {"a": 1}\n```  '))),
-        ("first_object", t.first_object(F.lit('so {"a": 1} and {"b": 2}'))),
-        ("diff_paths", F.array_join(t.diff_paths(F.lit("--- a/x.py\n+++ b/x.py\n--- /dev/null\n+++ b/y.py")), ",")),
+        ("batch_custom_id", t.batch_custom_id(lit("owner/repo§.js"), F.lit(3))),
+        ("repo_of_custom_id", t.repo_of_custom_id(lit("owner--my-repo§_b12"))),
+        ("repo_of_old_id", t.repo_of_custom_id(lit("owner_my_repo§_b1"))),
+        ("dashed_id", t.dashed_id(lit("a/b c.§d"))),
+        ("bare_id", t.bare_id(lit("a/b c.§d"))),
+        ("bare_id_empty", t.bare_id(lit("///"))),
+        ("strip_fences", t.strip_fences(lit('```json\n{"a": "§"}\n```'))),
+        ("response_body", t.response_body(lit('  ```\njson {"a": "§"}\n```  '))),
+        ("first_object", t.first_object(lit('so {"a": "§"} and {"b": 2}'))),
+        ("diff_paths", F.array_join(t.diff_paths(lit("--- a/x§.py\n+++ b/x§.py\n--- /dev/null\n+++ b/y.py")), ",")),
         ("prefixed_paths", t.prefixed_paths(patch)),
-        ("extract_fenced", t.extract_patch(F.lit(f"Here:\n```diff\n{PATCH}\n```\nbye"))),
-        ("extract_raw", t.extract_patch(F.lit("no patch"))),
-        ("added_lines", t.added_lines(F.lit("--- /dev/null\n+++ b/n\n@@ -0,0 +1,2 @@\n+one\n+two"))),
-        ("new_file_diff", t.new_file_diff(F.lit("n"), F.lit("one\ntwo"))),
-        ("model_of_slug", t.model_of_slug(F.lit("openai_gpt_4"))),
-        ("title_case", t.title_case(F.lit("claude-opus x2y"))),
-        ("repo_short_name", t.repo_short_name(F.lit("flat"), F.lit("Lodash-stale-1"), ["flask", "lodash"])),
-        ("bump_minor", t.bump(F.lit("v1.9.3"), F.lit("minor"))),
-        ("task_file_name", t.task_file_name(F.lit("flask-logic-002"))),
-        ("detect_language", t.detect_language(F.lit("src/App.TSX"))),
-        ("detect_unknown", t.detect_language(F.lit("dir/.py"))),
-        ("category_matches", t.category_matches(F.lit("staleness_drift"), F.lit("stale")).cast("string")),
-        ("category_empty", t.category_matches(F.lit("logic_drift"), F.lit(None).cast("string")).cast("string")),
-        ("code_issues", F.array_join(t.code_issues(F.lit("var x = 1; module.exports = x"), F.lit("ES6 and ESM")), ";")),
-        ("json_text", t.json_text(a=F.lit("x"), b=F.lit(None).cast("string"), c=F.lit(0.5))),
+        ("extract_fenced", t.extract_patch(lit(f"Here:\n```diff\n{PATCH}\n```\nbye"))),
+        ("extract_raw", t.extract_patch(lit("no patch §"))),
+        ("added_lines", t.added_lines(lit("--- /dev/null\n+++ b/n\n@@ -0,0 +1,2 @@\n+one§\n+two"))),
+        ("new_file_diff", t.new_file_diff(lit("n"), lit("one§\ntwo"))),
+        ("model_of_slug", t.model_of_slug(lit("openai_gpt_§"))),
+        ("title_case", t.title_case(lit("claude-opus x§y"))),
+        ("repo_short_name", t.repo_short_name(lit("flat"), lit("Lodash-stale-1"), ["flask", "lodash"])),
+        ("bump_minor", t.bump(lit("v1.9.3"), lit("minor"))),
+        ("task_file_name", t.task_file_name(lit("flask-logic-§"))),
+        ("detect_language", t.detect_language(lit("src/App§.TSX"))),
+        ("detect_unknown", t.detect_language(lit("dir/.py"))),
+        ("category_matches", t.category_matches(lit("staleness_drift"), lit("stale")).cast("string")),
+        ("category_empty", t.category_matches(lit("logic_drift"), F.lit(None).cast("string")).cast("string")),
+        ("code_issues", F.array_join(t.code_issues(lit("var x = §; module.exports = x"), lit("ES6 and ESM")), ";")),
+        ("object_from_brace", t.object_from_brace(lit('note\n{"a": {"b": "§"}}'))),
+        ("object_from_none", t.object_from_brace(lit("no § object"))),
+        ("json_text", t.json_text(a=lit("x§é😀"), b=F.lit(None).cast("string"), c=F.lit(0.5))),
     ]
 
 
 TEXT_RESULTS = [
-    ("batch_custom_id", "owner--repojs_b3"), ("repo_of_custom_id", "owner/my-repo"), ("repo_of_old_id", "owner/my_repo"), ("dashed_id", "a-b-c-d"), ("bare_id", "abcd"), ("bare_id_empty", "req"), ("strip_fences", '{"a": 1}'), ("response_body", '{"a": 1}'),
-    ("first_object", '{"a": 1}'), ("diff_paths", "x.py,y.py"), ("prefixed_paths", "--- a/src/a.py\n+++ b/src/a.py\n@@ -1 +1 @@\n-x\n+y"), ("extract_fenced", "--- a/src/a.py\n+++ b/src/a.py\n@@ -1 +1 @@\n-x\n+y"), ("extract_raw", "no patch"), ("added_lines", "one\ntwo"),
-    ("new_file_diff", "--- /dev/null\n+++ b/n\n@@ -0,0 +1,2 @@\n+one\n+two"), ("model_of_slug", "openai/gpt_4"), ("title_case", "Claude-Opus X2Y"), ("repo_short_name", "lodash"), ("bump_minor", "1.10.0"), ("task_file_name", "logic_002.json"), ("detect_language", "typescript"),
-    ("detect_unknown", "unknown"), ("category_matches", "true"), ("category_empty", "true"), ("code_issues", "Uses 'var' instead of const/let (staleness);Uses CommonJS instead of ES modules (staleness)"), ("json_text", '{"a": "x", "b": null, "c": 0.5}'),
+    ("batch_custom_id", "owner--repo§js_b3"), ("repo_of_custom_id", "owner/my-repo§"), ("repo_of_old_id", "owner/my_repo§"), ("dashed_id", "a-b-c-§d"), ("bare_id", "abc§d"), ("bare_id_empty", "req"), ("strip_fences", '{"a": "§"}'), ("response_body", '{"a": "§"}'),
+    ("first_object", '{"a": "§"}'), ("diff_paths", "x§.py,y.py"), ("prefixed_paths", "--- a/src/a§.py\n+++ b/src/a§.py\n@@ -1 +1 @@\n-x\n+y"), ("extract_fenced", "--- a/src/a§.py\n+++ b/src/a§.py\n@@ -1 +1 @@\n-x\n+y"), ("extract_raw", "no patch §"), ("added_lines", "one§\ntwo"),
+    ("new_file_diff", "--- /dev/null\n+++ b/n\n@@ -0,0 +1,2 @@\n+one§\n+two"), ("model_of_slug", "openai/gpt_§"), ("title_case", "Claude-Opus X§Y"), ("repo_short_name", "lodash"), ("bump_minor", "1.10.0"), ("task_file_name", "logic_§.json"), ("detect_language", "typescript"),
+    ("detect_unknown", "unknown"), ("category_matches", "true"), ("category_empty", "true"), ("code_issues", "Uses 'var' instead of const/let (staleness);Uses CommonJS instead of ES modules (staleness)"), ("object_from_brace", '{"a": {"b": "§"}}'), ("object_from_none", None), ("json_text", '{"a": "x§\\u00e9\\ud83d\\ude00", "b": null, "c": 0.5}'),
 ]
 
 
-@query("q40_text_functions", "SELECT * FROM (VALUES " + ", ".join(f"({quoted(a)}, {quoted(b)})" for a, b in TEXT_RESULTS) + ") AS t(name, value)")
+@query("q40_text_functions", "SELECT s_suppkey, name, replace(value, '§', s_suppkey::VARCHAR) AS value FROM supplier, (VALUES " + ", ".join(f"({quoted(a)}, {quoted(b)})" for a, b in TEXT_RESULTS) + ") AS t(name, value)")
 def text_functions(spark, sf_dir):
-    one = spark.range(1).select(F.explode(F.array(*(F.struct(F.lit(n).alias("name"), c.alias("value")) for n, c in text_cases()))).alias("x"))
-    return one.select("x.name", "x.value")
+    """All functions on texts with each supplier's number in them."""
+    key = F.col("s_suppkey").cast("string")
+    each = F.explode(F.array(*(F.struct(F.lit(n).alias("name"), c.alias("value")) for n, c in text_cases(key)))).alias("x")
+    return table(spark, sf_dir, "supplier").select("s_suppkey", each).select("s_suppkey", "x.name", "x.value")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+from operator import and_, or_
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -17,15 +20,19 @@ def write_lines(df: DataFrame, path: str, keep_nulls: bool = True) -> None:
 
 
 def write_results(results: DataFrame, path: str) -> None:
-    """Results by model; only the models at hand are written again."""
-    results.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("model_slug").parquet(path)
+    """Results by model and task; only the tasks at hand are written again."""
+    results.withColumn("task", F.col("task_id")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("model_slug", "task").parquet(path)
+
+
+def _some_null(keys: list[str]) -> Column:
+    return reduce(or_, (F.col(k).isNull() for k in keys))
 
 
 def first_wins(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Insert-or-ignore: the first row of each key; rows with a null in the key all stay."""
-    some_null = F.greatest(*(F.col(k).isNull() for k in keys)) if len(keys) > 1 else F.col(keys[0]).isNull()
+    """Insert-or-ignore: the first row of each key; rows with a null in the key all stay and meet in no task."""
     n = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
-    return rows.withColumn("__n", n).filter((F.col("__n") == 1) | some_null).drop("__n")
+    first = rows.filter(~_some_null(keys)).withColumn("__n", n).filter("__n = 1").drop("__n")
+    return first.unionByName(rows.filter(_some_null(keys)))
 
 
 def last_wins(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -34,9 +41,12 @@ def last_wins(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     return rows.withColumn("__n", n).filter("__n = 1").drop("__n")
 
 
-def upsert(state: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """The state with the new rows in place of those of equal keys; columns missing on either side become null."""
-    return state.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new, allowMissingColumns=True)
+def upsert(state: DataFrame, new: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+    """The state with the new rows in place of those of equal keys, nulls equal to nulls; of several new rows of a key the last by `order` (or any one). Columns missing on either side become null."""
+    once = last_wins(new, keys, order) if order else new.dropDuplicates(keys)
+    ids = once.select(*(F.col(k).alias(f"__{k}") for k in keys))
+    same = reduce(and_, (F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys))
+    return state.join(ids, same, "left_anti").unionByName(once, allowMissingColumns=True)
 
 
 def delete(state: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
@@ -45,8 +55,7 @@ def delete(state: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
 
 def append_history(history: DataFrame, run: DataFrame, order: str, most: int = 52) -> DataFrame:
     """The last `most` runs with the new one."""
-    n = F.row_number().over(Window.orderBy(F.desc(order)))
-    return history.unionByName(run, allowMissingColumns=True).withColumn("__n", n).filter(F.col("__n") <= most).drop("__n")
+    return history.unionByName(run, allowMissingColumns=True).orderBy(F.desc(order)).limit(most)
 
 
 def markdown_table(rows: DataFrame, columns: list[str], order: list[str], title: str) -> DataFrame:
@@ -58,6 +67,24 @@ def markdown_table(rows: DataFrame, columns: list[str], order: list[str], title:
     return rows.agg(F.concat(F.lit(head), body).alias("report"))
 
 
+def detection_document(candidates: DataFrame, title: str = "Detection report") -> DataFrame:
+    """One row, report: global metrics, a table by category and one by task. candidates: task_id, category, detected; of valid tasks, whose golden patches passed, so that the false-positive rate is 0."""
+    rate = lambda: F.coalesce(F.try_divide(100.0 * F.count_if("detected"), F.count("*").cast("double")), F.lit(0.0))
+    shown = lambda c: F.format_string("%.1f%%", c)
+    by = lambda key: candidates.groupBy(key).agg(F.count_if("detected").alias("detected"), F.count("*").alias("total"), shown(rate()).alias("DDR"))
+    line = lambda *c: F.concat(F.lit("| "), F.concat_ws(" | ", *c), F.lit(" |"))
+    table = lambda rows, said, name: rows.agg(F.array_join(F.array_sort(F.collect_list(said)), "\n").alias(name))
+    categories = table(by("category"), line("category", F.col("detected").cast("string"), F.col("total").cast("string"), "DDR"), "categories")
+    tasks = table(by("task_id"), line("task_id", F.concat_ws("/", "detected", "total"), "DDR"), "tasks")
+    sums = candidates.agg(F.countDistinct("task_id").alias("n_tasks"), F.count("*").alias("n"), shown(rate()).alias("rate"))
+    text = F.concat(
+        F.lit(f"# {title}\n\n## Global Metrics\n\n- **Total Tasks Evaluated**: "), F.col("n_tasks").cast("string"), F.lit("\n- **Total Candidates/Variations**: "), F.col("n").cast("string"),
+        F.lit("\n- **Global DDR (Drift Detection Rate)**: **"), "rate", F.lit("**\n- **FPR (False Positive Rate)**: **0.0%** (Enforced by Golden Patch validation)\n\n## Category Performance\n\n| Category | Detected | Total | DDR |\n| :--- | :--- | :--- | :--- |\n"),
+        "categories", F.lit("\n\n## Task Breakdown\n\n| Task ID | Detected/Total | DDR |\n| :--- | :--- | :--- |\n"), "tasks", F.lit("\n"),
+    )
+    return sums.crossJoin(categories).crossJoin(tasks).select(text.alias("report"))
+
+
 def console_rows(rows: DataFrame, widths: dict[str, int]) -> DataFrame:
     """One text column: numbers to the right, other values to the left, cut to their widths."""
     number = {f.name for f in rows.schema if f.dataType.typeName() in ("integer", "long", "double", "float", "short", "byte")}

@@ -10,12 +10,12 @@ from quillgrid.plans import review
 from quillgrid.sources import readers, schemas, sinks
 
 
-def test_facts(spark):
-    got = {r.path: r for r in review.extracted(spark, "").collect()}
-    for path, language, lines, classes, structs, functions, imports, tests, magic in review.FACTS:
-        r = got[path]
-        assert (r.language, r.line_count, r.classes, r.structs, r.functions, r.imports, r.has_tests, r.magic_numbers) == (language, lines, classes, structs, functions, imports, tests, magic)
-    assert "web/short.js" not in got and "node_modules/skip.js" not in got and "notes.txt" not in got
+SF = "/root/testdata/sf0.001"
+
+
+def test_skipped_files(spark):
+    got = {r.path for r in review.source_files(spark, SF).collect()}
+    assert "web/short.js" not in got and "node_modules/skip.js" not in got and "notes.txt" not in got and "app/core.py" in got
 
 
 def test_calibration(spark):
@@ -153,7 +153,7 @@ def test_reports_and_lines(spark, tmp_path):
 
 
 def test_prompt_budget(spark):
-    made = facts.prompts(facts.extract(review.source_files(spark)), most=100).first().prompt
+    made = facts.prompts(facts.extract(review.source_files(spark, SF)), most=100).first().prompt
     assert made.count("FILE:") == 1 or len(made.split("\n\n")[0]) <= 100
 
 
@@ -172,8 +172,8 @@ def test_streaming(spark, tmp_path):
 def test_prompts_of_findings(spark):
     from quillgrid.operators import verify
 
-    f = facts.extract(review.source_files(spark))
-    rows = verify.with_prompts(review.findings(spark), f, facts.prompt_lines(f)).orderBy("seq").collect()
+    f = facts.extract(review.source_files(spark, SF))
+    rows = verify.with_prompts(review.findings(spark, SF).filter("repo = 'r1'"), f, facts.prompt_lines(f)).orderBy("seq").collect()
     assert rows[0].facts_prompt is None and rows[0].facts_hash is None
     assert rows[1].facts_prompt.startswith("FILE: app/core.py") and rows[2].facts_prompt == rows[1].facts_prompt and len(rows[1].facts_hash) == 16
 
