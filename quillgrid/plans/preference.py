@@ -142,7 +142,7 @@ def shared_pairs(items):
     return e.withColumnRenamed("supp", "a").join(other, "part").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
 
 
-@query("q46_shared_params", """WITH l AS (SELECT DISTINCT l_orderkey AS o, l_linenumber AS k, unnest([concat('t', CAST(round(l_tax * 100) AS INTEGER)), lower(l_returnflag), lower(l_linestatus)]) AS p FROM lineitem), m AS (SELECT a.o, a.k, b.k AS j, count(*) AS n FROM l a JOIN l b ON a.o = b.o AND a.k < b.k AND a.p = b.p GROUP BY ALL)
+@query("q46_shared_params", """WITH r AS (SELECT *, row_number() OVER () AS k FROM lineitem), l AS (SELECT DISTINCT l_orderkey AS o, k, unnest([concat('t', CAST(round(l_tax * 100) AS INTEGER)), lower(l_returnflag), lower(l_linestatus)]) AS p FROM r), m AS (SELECT a.o, a.k, b.k AS j, count(*) AS n FROM l a JOIN l b ON a.o = b.o AND a.k < b.k AND a.p = b.p GROUP BY ALL)
 SELECT o AS l_orderkey, coalesce(max(n), 0) AS shared FROM (SELECT DISTINCT l_orderkey AS o FROM lineitem) LEFT JOIN m USING (o) GROUP BY o""")
 def shared_params(spark, sf_dir):
     """Orders as files, their lines as functions, whose parameters are the line's codes."""
