@@ -2,8 +2,9 @@
 
 First the members of a bucket gather around leaders: of those that are left, the one that looks near to most
 leads; all that look near to it are compared with it and leave. Then buckets whose members still belong to
-several components are looked at again, in blocks: members that look near to one of another
-component are compared in full, in tasks that hold a pair of blocks. Two members of a bucket that look near and that `pairs` would link are therefore
+several components are looked at again: members that look near to one of another component are compared with it; where
+these pairs are more than SPARSE a member, the members and their contents meet in tasks that hold a pair of blocks, so that the pairs never
+leave the task. Two members of a bucket that look near and that `pairs` would link are therefore
 linked or connected already. What looks near is decided on sketches, by a bound that links don't miss.
 """
 
@@ -21,6 +22,8 @@ from quillgrid.llm.components import components
 
 #: Members of a bucket that meet at once; larger buckets are cut into parts by a hash of the node.
 PART = 4096
+#: Pairs a member of a bucket that are told one by one; buckets with more meet in blocks.
+SPARSE = 4
 #: Members whose contents a task holds and compares at once.
 BLOCK = 1024
 
@@ -156,46 +159,60 @@ def _stars(members: DataFrame, also: list[str], near: Callable) -> DataFrame:
 
 
 def _still_apart(members: DataFrame, roots: DataFrame, also: list[str], near: Callable) -> DataFrame:
-    """key, node and root of members that look near to one of another component in their bucket of three or more. Parts of a larger bucket meet in pairs, with the columns `also` only."""
+    """What looks near in a bucket of three or more but isn't connected: u and v of pairs, or, where these are many, key, u (the member) and its root, with the columns `also`. Parts of a larger bucket meet in pairs, with the columns `also` only."""
+    names = ["key", "u", "v", "root", *also]
 
     def run(batches):
         for held in groups(batches, ["key", "i", "j"], 4 * PART):
             cuts = runs(*(np.asarray(column(held, c)) for c in ("key", "i", "j")))
-            root, side, whole = (np.asarray(column(held, c)) for c in ("root", "part", "parts"))
+            node, root, side, whole = (np.asarray(column(held, c)) for c in ("node", "root", "part", "parts"))
             values = np.stack([np.asarray(column(held, c)) for c in also], axis=1).astype(np.int64)
             keep = np.zeros(len(root), dtype=bool)
             several = np.minimum.reduceat(root, cuts[:-1]) != np.maximum.reduceat(root, cuts[:-1])
             mixed = np.flatnonzero(several & ((np.diff(cuts) > 2) | (whole[cuts[:-1]] > 1)))  # two alone have been compared
             rows = np.concatenate([np.arange(cuts[k], cuts[k + 1]) for k in mixed]) if len(mixed) else np.zeros(0, np.int64)
+            u, v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for at, close in alike_in_runs(np.append(0, np.cumsum(np.diff(cuts)[mixed])), values[rows], near):
                 at = rows[at]
                 two = (side[at] != side[at][:, :1]).any(axis=1)[:, None, None]
                 close &= (root[at][:, :, None] != root[at][:, None, :]) & ((side[at][:, :, None] != side[at][:, None, :]) | ~two)
-                keep[at[close.any(axis=2)]] = True
-            yield pa.RecordBatch.from_arrays([pa.array(np.asarray(column(held, c))[keep]) for c in ("key", "node", "root")], ["key", "node", "root"])
+                few = close.sum(axis=(1, 2)) <= 2 * SPARSE * at.shape[1]
+                keep[at[~few][close[~few].any(axis=2)]] = True
+                which, x, y = np.nonzero(close & few[:, None, None])
+                u.append(node[at[which, x]])
+                v.append(node[at[which, y]])
+            a, b = np.concatenate(u), np.concatenate(v)
+            pairs = np.unique(np.stack([a, b], axis=1)[a < b], axis=0)
+            n, m = len(pairs), int(keep.sum())
+            gone = lambda k: pa.nulls(k, pa.int64())
+            if n:
+                yield pa.RecordBatch.from_arrays([gone(n), pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), *(gone(n) for _ in names[3:])], names)
+            if m:
+                yield pa.RecordBatch.from_arrays([pa.array(np.asarray(column(held, "key"))[keep]), pa.array(node[keep]), gone(m), pa.array(root[keep]), *(pa.array(values[keep, k]) for k in range(len(also)))], names)
 
     labelled = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     met = labelled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")})
     spread = met.repartition(partitions(members.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return in_batches(spread.select("key", "i", "j", "part", "parts", "node", "root", *also), run, "key long, node long, root long").distinct()
+    return in_batches(spread.select("key", "i", "j", "part", "parts", "node", "root", *also), run, ", ".join(f"{c} long" for c in names)).distinct()
 
 
-def _between(few: DataFrame, contents: DataFrame, pairs: Callable, block: int = BLOCK) -> DataFrame:
+def _between(few: DataFrame, contents: DataFrame, also: list[str], pairs: Callable, block: int = BLOCK) -> DataFrame:
     """Links between components of mixed buckets: members and their contents meet in blocks of about `block`, a large bucket in pairs of blocks."""
     parts = few.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").drop("low", "high")
     mine = few.join(parts, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     met = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = met.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root").join(contents, "node")
+    rows = met.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root", *also).join(contents, "node")
 
     def run(batches):
         for group in groups(batches, ["key", "i", "j"]):
             node, root, own = (np.asarray(column(group, c)) for c in ("node", "root", "own"))
-            ends = pairs(column(group, "content"), root, own) if len(node) > 1 else []
+            values = np.stack([np.asarray(column(group, c)) for c in also], axis=1).astype(np.int64)
+            ends = pairs(column(group, "content"), root, own, values) if len(node) > 1 else []
             found = [sorted((int(node[a]), int(node[b]))) for a, b in ends]
             yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in found], pa.int64()) for k in (0, 1)], ["u", "v"])
 
     spread = rows.repartition(partitions(few.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return in_batches(spread.select("key", "i", "j", "own", "node", "root", "content"), run, "u long, v long")
+    return in_batches(spread.select("key", "i", "j", "own", "node", "root", *also, "content"), run, "u long, v long")
 
 
 def links(members: DataFrame, also: list[str], near: Callable, contents: Callable[[DataFrame], DataFrame], verify: Callable, pairs: Callable, part: int = PART, block: int = BLOCK) -> DataFrame:
@@ -203,7 +220,7 @@ def links(members: DataFrame, also: list[str], near: Callable, contents: Callabl
 
     members: key, node and the long columns `also` (checkpointed). near(rows, rows) tells from these which pairs look near. contents
     gives node and content of the nodes in a column node; verify(contents, contents) tells which pairs are links;
-    pairs(contents, roots, sides) gives links between different roots (and sides, where there are two) that connect what all of them connect.
+    pairs(contents, roots, sides, rows) gives links between different roots (and sides, where there are two) that connect what all of them connect.
     """
     divided = parted(members, part)
     stars = settled(_stars(divided, also, near))
@@ -215,12 +232,20 @@ def links(members: DataFrame, also: list[str], near: Callable, contents: Callabl
     def ends(df: DataFrame) -> DataFrame:
         return df.select(F.explode(F.array("u", "v")).alias("node")).distinct()
 
-    held = settled(contents(ends(stars)))
-    left = held.select(F.col("node").alias("u"), F.col("content").alias("a"))
-    right = held.select(F.col("node").alias("v"), F.col("content").alias("b"))
-    found = settled(in_batches(stars.join(left, "u").join(right, "v").select("u", "v", "a", "b"), run, "u long, v long"))
-    few = settled(_still_apart(divided, components(found), also, near))
+    def verified(found: DataFrame) -> DataFrame:
+        held = settled(contents(ends(found)))
+        left = held.select(F.col("node").alias("u"), F.col("content").alias("a"))
+        right = held.select(F.col("node").alias("v"), F.col("content").alias("b"))
+        return settled(in_batches(found.join(left, "u").join(right, "v").select("u", "v", "a", "b"), run, "u long, v long"))
+
+    found = verified(stars)
+    apart = settled(_still_apart(divided, components(found), also, near))
+    rest = apart.filter("key IS NULL").select("u", "v").join(stars, ["u", "v"], "left_anti")
+    if not rest.isEmpty():
+        found = found.unionByName(verified(settled(rest)))
+    few = apart.filter("key IS NOT NULL").select("key", F.col("u").alias("node"), "root", *also)
     if few.isEmpty():
         return found
-    more = _between(few, settled(contents(few.select("node").distinct())), pairs, block)
-    return found.unionByName(settled(more))
+    roots = components(found)
+    few = settled(few.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    return found.unionByName(settled(_between(few, settled(contents(few.select("node").distinct())), also, pairs, block)))

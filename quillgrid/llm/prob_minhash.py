@@ -239,7 +239,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, bands: int = BANDS, per
     def verify(a: pa.Array, b: pa.Array) -> list[bool]:
         return [similarity(*from_bytes(x), *from_bytes(y)) >= least for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)]
 
-    def pairs(held: pa.Array, root: np.ndarray, side: np.ndarray) -> list[tuple[int, int]]:
+    def pairs(held: pa.Array, root: np.ndarray, side: np.ndarray, _: np.ndarray) -> list[tuple[int, int]]:
         return similar_pairs([from_bytes(x) for x in held.to_pylist()], root, side, least)
 
     found = links(members, ["high", "low"], near, contents, verify, pairs)

@@ -56,15 +56,16 @@ def link_all(spark, rows, close, part=4096, block=1024):
     near = lambda a, b: np.ones(np.broadcast_shapes(a.shape, b.shape)[:-1], dtype=bool)
     verify = lambda a, b: [close(int(x), int(y)) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)]
 
-    def pairs(held, root, side):
+    def pairs(held, root, side, _):
         n, two = [int(x) for x in held.to_pylist()], (side != side[0]).any()
         return [(i, j) for i in range(len(n)) for j in range(i) if root[i] != root[j] and (side[i] != side[j] or not two) and close(n[i], n[j])]
 
     return [(r.u, r.v) for r in linking.links(members, ["bits"], near, content, verify, pairs, part, block).collect()]
 
 
-@pytest.mark.parametrize("part,block", [(4096, 1024), (5, 3)])
-def test_links_connect_what_is_linked(spark, part, block):
+@pytest.mark.parametrize("part,block,sparse", [(4096, 1024, 4), (5, 3, 4), (4096, 3, 0), (5, 3, 0)])
+def test_links_connect_what_is_linked(spark, part, block, sparse, monkeypatch):
+    monkeypatch.setattr(linking, "SPARSE", sparse)
     random.seed(6)
     rows = [(random.randrange(12), node) for node in range(80) for _ in range(2)]
     close = lambda a, b: (min(a, b) * 7 + max(a, b) * 13 + a * b) % 5 == 0
