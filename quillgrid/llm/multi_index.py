@@ -2,8 +2,8 @@
 
 Vectors are cut in two halves, each quantised with its own centroids; a cell is a pair of centroids. A query
 visits cells by the sum of its two halves' nearness to them, best first, with a heap over the two ordered
-lists, until the cells hold `share` of all vectors (or `least` of them); the visited entries are ranked again by their
-exact inner products in double precision.
+lists, until the cells hold `share` of all vectors (or `least` of them); what goes on from there is the sum of the last of these
+cells, as all cells of that sum or more are visited. Their entries are ranked again by their exact inner products in double precision.
 
 The centroids are fitted on at most SAMPLE vectors, the least by a hash of vec_id. Every vector
 is indexed. Entries of a cell go to blocks of about BLOCK entries (a large cell to several), queries to batches of as
@@ -24,9 +24,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillgrid.llm.common import column
+from quillgrid.llm.common import column, settled
+from quillgrid.llm.fingerprints import mix
 
-CENTROIDS, SAMPLE, ROUNDS, BLOCK, SHARE, LEAST = 32, 20_000, 12, 4096, 0.6, 512
+CENTROIDS, SAMPLE, ROUNDS, BLOCK, SHARE, LEAST = 256, 20_000, 12, 4096, 0.3, 512
 
 
 def nearest(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
@@ -46,22 +47,25 @@ def k_means(x: np.ndarray, k: int, rounds: int = ROUNDS, seed: int = 1) -> np.nd
     return c
 
 
-def visit(a: np.ndarray, b: np.ndarray, sizes: np.ndarray, enough: int) -> list[int]:
+def visit(a: np.ndarray, b: np.ndarray, sizes: list[int], enough: int) -> list[int]:
     """Cells by falling a[i] + b[j] until their sizes add up to enough; sizes: by i * len(b) + j."""
     oa, ob = np.argsort(-a, kind="stable"), np.argsort(-b, kind="stable")
     sa, sb = a[oa].tolist(), b[ob].tolist()
-    oa, ob, sizes = oa.tolist(), ob.tolist(), sizes.tolist()
-    heap, seen, cells, have = [(-(sa[0] + sb[0]), 0, 0)], {(0, 0)}, [], 0
+    oa, ob, sizes = oa.tolist(), ob.tolist(), sizes if isinstance(sizes, list) else sizes.tolist()
+    # A row is opened with its first column once the row before is visited there; so every pair comes to the heap once.
+    heap, cells, have, rows, columns, step = [(-(sa[0] + sb[0]), 0, 0)], [], 0, len(oa), len(ob), heapq.heapreplace
     while heap and have < enough:
-        _, i, j = heapq.heappop(heap)
-        cell = oa[i] * len(ob) + ob[j]
+        _, i, j = heap[0]
+        cell = oa[i] * columns + ob[j]
         if sizes[cell]:
             cells.append(cell)
             have += sizes[cell]
-        for x, y in ((i + 1, j), (i, j + 1)):
-            if x < len(oa) and y < len(ob) and (x, y) not in seen:
-                seen.add((x, y))
-                heapq.heappush(heap, (-(sa[x] + sb[y]), x, y))
+        if j + 1 < columns:
+            step(heap, (-(sa[i] + sb[j + 1]), i, j + 1))
+        else:
+            heapq.heappop(heap)
+        if not j and i + 1 < rows:
+            heapq.heappush(heap, (-(sa[i + 1] + sb[0]), i + 1, 0))
     return cells
 
 
@@ -101,7 +105,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, share: float = SHA
         return spark.createDataFrame([], kinds)
     width = widths.width
     half = max(1, width // 2)
-    good = plain.filter(usable(F.col("embedding"), width)).groupBy("vec_id").agg(F.min("embedding").alias("embedding")).checkpoint()
+    good = settled(plain.filter(usable(F.col("embedding"), width)).groupBy("vec_id").agg(F.min("embedding").alias("embedding")))
     sample = good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toArrow()
     if not sample.num_rows:
         return spark.createDataFrame([], kinds)
@@ -116,7 +120,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, share: float = SHA
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nearest(v[:, :half], books[0]) * across + nearest(v[:, half:], books[1]), pa.int64())], ["vec_id", "embedding", "cell"])
 
     few = F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))
-    placed = good.withColumn("copy", few).filter(F.col("copy") <= k + 1).drop("copy").mapInArrow(cells, "vec_id long, embedding array<double>, cell long").checkpoint()
+    placed = settled(good.withColumn("copy", few).filter(F.col("copy") <= k + 1).drop("copy").mapInArrow(cells, "vec_id long, embedding array<double>, cell long"))
     sizes = np.zeros(len(books[0]) * across, np.int64)
     for r in placed.groupBy("cell").count().collect():
         sizes[r["cell"]] = r["count"]
@@ -134,36 +138,38 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, share: float = SHA
             part = batch.take(take)
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.repeat(to, batches_of)), pa.array(np.tile(np.arange(batches_of), n))], ["vec_id", "embedding", "cell", "block", "batch"])
 
+    held = sizes.tolist()
+
     def visits(batches):
         for batch in batches:
             q, ids = matrix(batch), np.asarray(column(batch, "vec_id"))
             if not len(q):
                 continue
             a, b = q[:, :half] @ books[0].T, q[:, half:] @ books[1].T
-            rows, to, seen = [], [], []
+            rows, to, least = [], [], []
             for i in range(len(q)):
-                cell = np.asarray(visit(a[i], b[i], sizes, enough), dtype=np.int64)
-                at = np.repeat(first[cell], count[cell]) + np.concatenate([np.arange(c) for c in count[cell].tolist()] or [np.zeros(0, np.int64)])
-                which = np.repeat(cell, count[cell])
-                for blk in np.unique(at).tolist():
-                    rows.append(i)
-                    to.append(blk)
-                    seen.append(which[at == blk].tolist())
+                cell = np.asarray(visit(a[i], b[i], held, enough), dtype=np.int64)
+                # A cell of several blocks lies in blocks of its own, one behind the other.
+                at = np.unique(np.concatenate([first[cell], *(np.arange(first[c], first[c] + count[c]) for c in cell[count[cell] > 1].tolist())]))
+                rows += [i] * len(at)
+                to += at.tolist()
+                least += [float(a[i, cell[-1] // across] + b[i, cell[-1] % across])] * len(at)
             part = batch.select([0, 1]).take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(seen, pa.list_(pa.int64())), pa.array(to, pa.int64()), pa.array(np.abs(ids)[rows] // 20 % batches_of if rows else [], pa.int64())], ["query_id", "query", "cells", "block", "batch"])
+            dealt = (mix(ids.astype(np.uint64), 3) % np.uint64(batches_of)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(least, pa.float64()), pa.array(to, pa.int64()), pa.array(dealt[rows] if rows else [], pa.int64())], ["query_id", "query", "least", "block", "batch"])
 
     def ranked(have: pa.Table, want: pa.Table) -> pa.Table:
         out = [[], [], []]
         if have.num_rows and want.num_rows:
             ids, v, cell = np.asarray(column(have, "vec_id")), matrix(have), np.asarray(column(have, "cell"))
-            q, query, seen = np.asarray(column(want, "query_id")), matrix(want, "query"), column(want, "cells")
-            open_ = np.zeros(len(sizes), dtype=bool)
+            q, query, least = np.asarray(column(want, "query_id")), matrix(want, "query"), np.asarray(column(want, "least"))
             for lo in range(0, len(q), 256):
-                near = query[lo : lo + 256] @ v.T
+                part = query[lo : lo + 256]
+                near = part @ v.T
+                rough = (part[:, :half] @ books[0].T)[:, cell // across] + (part[:, half:] @ books[1].T)[:, cell % across]
+                visited = rough >= least[lo : lo + 256, None] - 1e-9
                 for i in range(len(near)):
-                    open_[:] = False
-                    open_[np.asarray(seen[lo + i].values)] = True
-                    s = np.where(open_[cell] & (ids != q[lo + i]), near[i], -np.inf)
+                    s = np.where(visited[i] & (ids != q[lo + i]), near[i], -np.inf)
                     edge = np.partition(s, -k)[-k] if len(s) > k else -np.inf
                     pick = np.flatnonzero((s >= edge - 1e-9 * max(1.0, abs(edge))) & (s > -np.inf)) if edge > -np.inf else np.flatnonzero(s > -np.inf)
                     exact = (v[pick] * query[lo + i]).sum(axis=1)
@@ -174,7 +180,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, share: float = SHA
         return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["query_id", "vec_id", "score"])
 
     have = placed.mapInArrow(entries, "vec_id long, embedding array<double>, cell long, block long, batch long")
-    want = asked.mapInArrow(visits, "query_id long, query array<double>, cells array<long>, block long, batch long")
+    want = asked.mapInArrow(visits, "query_id long, query array<double>, least double, block long, batch long")
     found = have.groupBy("block", "batch").cogroup(want.groupBy("block", "batch")).applyInArrow(ranked, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
