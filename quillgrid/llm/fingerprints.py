@@ -8,15 +8,20 @@ peeled: a cell with one digest gives it, and it leaves its other cells. If cells
 is done again with sketches four times as large. The likeness of two texts is the characters of
 common pieces by those of all; two empty texts are alike (1).
 
-Null text counts as empty. The next document is the one with the next smaller doc_id (among equal ones by
-text), after the last the first; documents are dealt out by ranges of doc_id, with one copy of
-each range's highest for the range above it, so that one shuffle of the texts is enough.
+Null text counts as empty. The next document is the one with the next smaller doc_id (null is the smallest; among equal ones by
+a digest of the text, then by text), after the last the first. Documents are dealt out by ranges of this order, with a copy of
+each range's first for the range before it, so that one shuffle of the texts is enough; a range streams by, some hundred
+texts at a time, so neither its length nor rows that share a doc_id or have none are held in memory at once.
+
+near_edited and near_next come from larger sketches of the same digests where the smallest can't be peeled; the
+fingerprint that is returned is always the smallest.
 """
 
 from __future__ import annotations
 
 import base64
 import re
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -24,11 +29,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgrid.llm.common import column, key_and_text
+from quillgrid.llm.common import column, in_batches, key_and_text, partitions
 
 CELLS, HASHES, GROW = 24, 3, 4
 PIECE = re.compile(r"[^\n.,;:!?]{0,255}(?:[\n.,;:!?]|$|(?<=[^\n.,;:!?]))")
 DOCS_PER_RANGE = 1024
+#: Texts, and their characters, that a task has in hand at once.
+CHUNK, CHUNK_CHARS = 512, 4_000_000
 
 
 def pieces(text: str) -> list[str]:
@@ -175,37 +182,54 @@ def compare_with_next(docs: DataFrame, docs_per_range: int = DOCS_PER_RANGE) ->
     """For every document: fingerprints of its text and of its edited text, and the likenesses of both, and of its text and the next document's."""
     rows = key_and_text(docs)
     spark = docs.sparkSession
-    ids = rows.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"))
-    per = max(docs_per_range, rows.select("doc_id").count() // 100_000)
-    # One row a range, at most 100,000 or so at any size: ends of ranges with `per` rows each.
-    spread = ids.repartitionByRange(max(1, -(-ids.count() // per)), "id")
-    tops = np.asarray(sorted(r.top for r in spread.groupBy(F.spark_partition_id().alias("part")).agg(F.max("id").alias("top")).collect()), dtype=np.int64)
-    if not len(tops):
+    # Ascending as doc_id falls; bits are turned, as the least number has no negative.
+    place = F.bitwise_not(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("place")
+    ids = rows.select(place, F.xxhash64("text").alias("digest"))
+    n = ids.count()
+    per = max(docs_per_range, n // 100_000)
+    # Two rows a range, at most 100,000 or so of them at any size: its ends.
+    ends = F.struct("place", "digest")
+    spread = ids.repartitionByRange(max(1, -(-n // per)), "place", "digest").groupBy(F.spark_partition_id().alias("part")).agg(F.min(ends).alias("low"), F.max(ends).alias("high"))
+    found = sorted((tuple(r.high), tuple(r.low)) for r in spread.collect())
+    if not found:
         return spark.createDataFrame([], KINDS)
+    highs, before = [h for h, _ in found], {low: (k - 1) % len(found) for k, (_, low) in enumerate(found)}
 
     def deal(batches):
         for batch in batches:
-            key = np.asarray([-(1 << 63) if x is None else x for x in batch.column(0).to_pylist()], dtype=np.int64)
-            at = np.searchsorted(tops, key)
-            again = np.flatnonzero(tops[at] == key)
-            take = np.concatenate([np.arange(len(key)), again])
-            part = batch.take(pa.array(take))
-            to = np.concatenate([at, (at[again] + 1) % len(tops)])
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(to, pa.int64()), pa.array(np.arange(len(take)) < len(key))], ["doc_id", "text", "part", "own"])
-
-    def work(group: pa.Table) -> pa.Table:
-        ids, own, text = column(group, "doc_id").to_pylist(), column(group, "own").to_pylist(), column(group, "text").to_pylist()
-        order = sorted(range(len(ids)), key=lambda k: (ids[k] is None, -(ids[k] or 0), text[k]))
-        mine = [k for k in order if own[k]]
-        follow = next(k for k in order if not own[k])
-        base = [text[k] for k in mine]
-        following = [*base[1:], text[follow]]
-        changed = [edited(a, b) for a, b in zip(base, following, strict=True)]
-        d, prints = fingerprints([*base, text[follow]])
+            keys = list(zip(column(batch, "place").to_pylist(), column(batch, "digest").to_pylist(), strict=True))
+            to = [bisect_left(highs, k) for k in keys]
+            again = {k: i for i, k in enumerate(keys) if k in before}  # one of equal rows is enough
+            part = batch.take(pa.array([*range(len(keys)), *again.values()], pa.int64()))
+            to += [before[k] for k in again]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(to, pa.int64()), pa.array([k >= len(keys) for k in range(len(to))])], ["doc_id", "text", "place", "digest", "part", "copy"])
+
+    def work(ids: list, base: list[str], follow: str) -> pa.RecordBatch:
+        changed = [edited(a, b) for a, b in zip(base, [*base[1:], follow], strict=True)]
+        d, prints = fingerprints([*base, follow])
         e, edited_prints = fingerprints(changed)
-        n = np.arange(len(mine))
+        n = np.arange(len(base))
         near, near_next = likeness(d, n, e, n), likeness(d, n, d, n + 1)
-        return pa.table([pa.array([ids[k] for k in mine], pa.int64()), pa.array(changed), pa.array(prints[:-1]), pa.array(edited_prints), pa.array(near), pa.array(near_next), pa.array(base)], names=[x.split(" ")[0] for x in KINDS.split(", ")])
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(changed), pa.array(prints[:-1]), pa.array(edited_prints), pa.array(near), pa.array(near_next), pa.array(base)], names=[x.split(" ")[0] for x in KINDS.split(", ")])
 
-    dealt = rows.mapInArrow(deal, "doc_id long, text string, part long, own boolean")
-    return dealt.groupBy("part").applyInArrow(work, KINDS)
+    def run(batches):
+        ids, held, size, at = [], [], 0, None
+        for batch in batches:
+            for doc_id, text, part, copy in zip(*(column(batch, c).to_pylist() for c in ("doc_id", "text", "part", "copy")), strict=True):
+                if part != at:
+                    at, ids, held, size = part, [], [], 0
+                if copy:
+                    if held:
+                        yield work(ids, held, text)
+                    ids, held, size = [], [], 0  # further copies of the next range's first say the same
+                    continue
+                if len(held) >= CHUNK or size >= CHUNK_CHARS:
+                    yield work(ids, held, text)
+                    ids, held, size = [], [], 0
+                ids.append(doc_id)
+                held.append(text)
+                size += len(text)
+
+    dealt = rows.select("doc_id", "text", place, F.xxhash64("text").alias("digest")).mapInArrow(deal, "doc_id long, text string, place long, digest long, part long, copy boolean")
+    spread = dealt.repartition(partitions(spark), "part").sortWithinPartitions("part", "copy", "place", "digest", "text")
+    return in_batches(spread.select("doc_id", "text", "part", "copy"), run, KINDS)
