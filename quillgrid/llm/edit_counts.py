@@ -3,7 +3,8 @@
 Each document keeps a tree over segments of pre-tokens; a leaf holds a segment's text, and each node the sums
 of characters and ids below it. An edit finds its leaves from above, encodes only them
 again (with the next segment where the edit took the blank between both) and renews the sums on the
-way up. A segment ends after white space, so no id crosses two of them.
+way up. A segment ends after white space, so no id crosses two of them. What an edit leaves is cut into segments again; where these
+are more than before, the sums above are renewed from the leaves' without encoding any. Text without a blank is one segment.
 
 Null text counts as empty: one empty leaf. A null list of edits is none; places beyond the end
 mean the end. Rows with one doc_id are edited each.
@@ -38,19 +39,21 @@ class CountTree:
     """Sums of characters and ids over segments; encoded counts the characters given to the encoder."""
 
     def __init__(self, text: str, path: str, size: int = SEGMENT_CHARS):
-        self.path = path
-        self.leaves = segments(text, size)
-        self.width = 1 << max(0, (len(self.leaves) - 1).bit_length())
-        self.chars, self.ids = [0] * (2 * self.width), [0] * (2 * self.width)
-        self.encoded = 0
-        for k, leaf in enumerate(self.leaves):
-            self._measure(k, leaf)
+        self.path, self.size, self.encoded = path, size, 0
+        leaves = segments(text, size)
+        self._build(leaves, [self._count(leaf) for leaf in leaves])
+
+    def _build(self, leaves: list[str], ids: list[int]) -> None:
+        self.leaves = leaves
+        self.width = 1 << max(0, (len(leaves) - 1).bit_length())
+        spare = [0] * (self.width - len(leaves))
+        self.chars, self.ids = [0] * self.width + [*map(len, leaves), *spare], [0] * self.width + [*ids, *spare]
         for node in range(self.width - 1, 0, -1):
             self._sum(node)
 
-    def _measure(self, k: int, text: str) -> None:
+    def _count(self, text: str) -> int:
         self.encoded += len(text)
-        self.chars[self.width + k], self.ids[self.width + k] = len(text), count(text, self.path)
+        return count(text, self.path) if text else 0
 
     def _sum(self, node: int) -> None:
         self.chars[node] = self.chars[2 * node] + self.chars[2 * node + 1]
@@ -84,9 +87,17 @@ class CountTree:
         while last + 1 < len(self.leaves) and not put[-1:].isspace():  # boundary context
             last += 1
             put += self.leaves[last]
+        pieces = segments(put, self.size)
+        counts = [self._count(x) for x in pieces]
+        if len(pieces) > last + 1 - first:
+            ids = self.ids[self.width : self.width + len(self.leaves)]
+            made = [*zip(self.leaves[:first], ids[:first], strict=True), *zip(pieces, counts, strict=True), *zip(self.leaves[last + 1 :], ids[last + 1 :], strict=True)]
+            made = [x for x in made if x[0]]
+            self._build([x for x, _ in made], [n for _, n in made])
+            return
         for k in range(first, last + 1):
-            self.leaves[k] = put if k == first else ""
-            self._measure(k, self.leaves[k])
+            self.leaves[k] = pieces[k - first] if k - first < len(pieces) else ""
+            self.chars[self.width + k], self.ids[self.width + k] = len(self.leaves[k]), counts[k - first] if k - first < len(pieces) else 0
         nodes = range((self.width + first) // 2, (self.width + last) // 2 + 1)
         while nodes and nodes[0] >= 1:
             for node in nodes:
