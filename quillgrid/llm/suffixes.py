@@ -423,8 +423,8 @@ def cut(raw: bytes, pieces: list[dict]) -> tuple[bytes, int]:
     return b"".join(kept), n
 
 
-def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """The columns of docs with text as what is left of it, and n_bytes, n_removed, n_spans and kept (the bytes), which replace columns of these names.
+def dedup(docs: DataFrame, length: int = LENGTH, counts: bool = True) -> DataFrame:
+    """The columns of docs with text as what is left of it, and, with counts, n_bytes, n_removed, n_spans and kept (the bytes), which replace columns of these names.
 
     Where a removal ends inside a character, its bytes in text give way to U+FFFD; kept has them. Text without a removal is the same, null included.
     """
@@ -434,7 +434,7 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     pieces = pieces.groupBy(F.col("doc").alias(own_doc), F.col("tie").alias(own_tie)).agg(F.collect_list(F.struct("begin", "finish")).alias(own_pieces))
     here = (doc == F.col(own_doc)) & (tie == F.col(own_tie))
     joined = docs.join(pieces, here, "left").drop(own_doc, own_tie)
-    fields = [f for f in docs.schema if f.name not in ("n_bytes", "n_removed", "n_spans", "kept")]
+    fields = [f for f in docs.schema if not counts or f.name not in ("n_bytes", "n_removed", "n_spans", "kept")]
     names = [f.name for f in fields]
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
 
@@ -451,6 +451,7 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             if "n_chars" in names:
                 at = names.index("n_chars")
                 own[at] = pa.array([None if t is None else len(t) for t in out[0]]).cast(own[at].type)
-            yield pa.RecordBatch.from_arrays([*own, *(pa.array(x, pa.int64()) for x in out[1:4]), pa.array(out[4], pa.binary())], [*names, "n_bytes", "n_removed", "n_spans", "kept"])
+            more = [*(pa.array(x, pa.int64()) for x in out[1:4]), pa.array(out[4], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*own, *more], [*names, "n_bytes", "n_removed", "n_spans", "kept"]) if counts else pa.RecordBatch.from_arrays(own, names)
 
-    return in_batches(joined, run, f"{kinds}, n_bytes long, n_removed long, n_spans long, kept binary")
+    return in_batches(joined, run, f"{kinds}, n_bytes long, n_removed long, n_spans long, kept binary" if counts else kinds)

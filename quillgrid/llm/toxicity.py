@@ -229,7 +229,8 @@ def spans(p: np.ndarray, split: list[str], least: float = 0.5) -> list[dict]:
 
 
 def held_out(doc_id: Column) -> Column:
-    return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
+    """Whether labels of the document are for measuring only; false for a null doc_id, which no label has."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
 def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:

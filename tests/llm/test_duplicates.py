@@ -153,6 +153,30 @@ def brute_lines(docs):
     return out, len(pairs)
 
 
+def brute_gone(docs):
+    """(doc_id, place) of lines that go, by edit similarity of all pairs that the counts of characters leave possible. docs: in order."""
+    first, places = {}, collections.defaultdict(list)
+    for d, t in docs:
+        for p, line in enumerate((t or "").split("\n")):
+            if n := lines.normalise(line):
+                first.setdefault(n, (d, p))
+                places[n].append((d, p))
+    distinct = list(first)
+    alphabet = {c: k for k, c in enumerate(sorted({c for x in distinct for c in x}))}
+    counts = np.zeros((len(distinct), len(alphabet)), np.int32)
+    for k, x in enumerate(distinct):
+        for c, n in collections.Counter(x).items():
+            counts[k, alphabet[c]] = n
+    size, order, pairs = counts.sum(axis=1), {x: k for k, x in enumerate(distinct)}, []
+    for i in range(len(distinct)):
+        gap = counts[:i] - counts[i]  # an edit distance is no less than the characters that either has over
+        over = np.maximum(np.maximum(gap, 0).sum(axis=1), np.maximum(-gap, 0).sum(axis=1))
+        may = np.flatnonzero(over <= 0.2 * np.maximum(size[:i], size[i]) + 1e-9)
+        pairs += [(i, j) for j in may.tolist() if lines.edit_similarity(distinct[i], distinct[j]) >= 0.8]
+    root = union(len(distinct), pairs)  # the least of a group is its first
+    return {place for x, k in order.items() for place in places[x] if place != first[distinct[root[k]]]}
+
+
 def spoken(rng, n):
     """Words of random letters, as words of one pattern are alike by edit distance however they differ."""
     return ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(3, 9))) for _ in range(n)]

@@ -7,9 +7,9 @@ import zlib
 import numpy as np
 import pandas as pd
 import pytest
-from test_duplicates import brute_suffixes, exact_similarity, union, words5
+from test_duplicates import brute_gone, brute_suffixes, exact_similarity, union, words5
 
-from quillgrid.llm import edit_counts, fingerprints, lines, queries
+from quillgrid.llm import edit_counts, fingerprints, queries
 from quillgrid.llm.wordbpe import default_path, library
 
 SF = "/root/testdata/sf0.001"
@@ -40,29 +40,7 @@ def packed(ids):
 
 
 def test_line_dedup(spark, docs):
-    first, places = {}, collections.defaultdict(list)
-    for d in sorted(docs):
-        for p, line in enumerate(docs[d].split("\n")):
-            if n := lines.normalise(line):
-                first.setdefault(n, (d, p))
-                places[n].append((d, p))
-    distinct = list(first)
-    alphabet = {c: k for k, c in enumerate(sorted({c for x in distinct for c in x}))}
-    counts = np.zeros((len(distinct), len(alphabet)), np.int32)
-    for k, x in enumerate(distinct):
-        for c, n in collections.Counter(x).items():
-            counts[k, alphabet[c]] = n
-    size = counts.sum(axis=1)
-    pairs = []
-    for i in range(len(distinct)):
-        gap = counts[:i] - counts[i]  # an edit distance is no less than the characters that either has over
-        over = np.maximum(np.maximum(gap, 0).sum(axis=1), np.maximum(-gap, 0).sum(axis=1))
-        may = np.flatnonzero(over <= 0.2 * np.maximum(size[:i], size[i]) + 1e-9)
-        pairs += [(i, j) for j in may.tolist() if lines.edit_similarity(distinct[i], distinct[j]) >= 0.8]
-    root, best = union(len(distinct), pairs), {}
-    for k, x in enumerate(distinct):
-        best[root[k]] = min(best.get(root[k], first[x]), first[x])
-    want = {place for k, x in enumerate(distinct) for place in places[x] if place != best[root[k]]}
+    want = brute_gone(sorted(docs.items()))
     got = by_doc(queries.op1_line_dedup(spark, SF))
     gone = {(d, p) for d, r in got.items() for p in r.removed}
     assert set(got) == set(docs) and gone <= want and len(gone) >= 0.99 * len(want) > 10
