@@ -1,6 +1,6 @@
 """Links of a similarity join from buckets of candidates, without all pairs of a bucket.
 
-First the members of a bucket gather around leaders: of those that are left, the one that looks near to most
+First the members of a bucket gather around leaders: of those that are left and look near to many, the least by a hash
 leads; all that look near to it are compared with it and leave. Then buckets whose members still belong to
 several components are looked at again: members that look near to one of another component are compared with it; where
 these pairs are more than SPARSE a member, the members and their contents meet in tasks that hold a pair of blocks, so that the pairs never
@@ -17,12 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgrid.llm.common import column, in_batches, partitions, settled
+from quillgrid.llm.common import column, discard, in_batches, partitions, settled, stored
 from quillgrid.llm.components import components
+from quillgrid.llm.fingerprints import mix
 
 #: Members of a bucket that meet at once; larger buckets are cut into parts by a hash of the node.
 PART = 4096
-#: Pairs a member of a bucket that are told one by one; buckets with more meet in blocks.
+#: Pairs a member of a bucket that are told one by one, unless the caller says otherwise; buckets with more meet in blocks.
 SPARSE = 4
 #: Members whose contents a task holds and compares at once.
 BLOCK = 1024
@@ -117,14 +118,15 @@ def alike_in_runs(cuts: np.ndarray, values: np.ndarray, near: Callable, at_least
             yield at, close
 
 
-def leaders(close: np.ndarray) -> tuple[list[int], list[int]]:
-    """Pairs of places: of those that are left, the one that looks near to most leads, and all near to it leave."""
+def leaders(close: np.ndarray, order: np.ndarray) -> tuple[list[int], list[int]]:
+    """Pairs of places: of those that are left and look near to half as many as any does, the least by order leads, and all near to it leave. So one member leads in most of the buckets that a group shares, and its pairs are the same."""
     left, u, v = np.ones(len(close), dtype=bool), [], []
     while True:
         degree = (close & left[None, :]).sum(axis=1) * left
-        c = int(degree.argmax())
-        if not degree[c]:
+        most = int(degree.max())
+        if not most:
             return u, v
+        c = int(np.where(2 * degree >= most, order, -1).view(np.uint64).argmin())
         hit = np.flatnonzero(close[c] & left)
         u += [c] * len(hit)
         v += hit.tolist()
@@ -133,32 +135,39 @@ def leaders(close: np.ndarray) -> tuple[list[int], list[int]]:
 
 
 def _stars(members: DataFrame, also: list[str], near: Callable) -> DataFrame:
-    """u and v: members of a bucket (a part of it) that look near to its leaders."""
+    """u and v of members of a bucket (a part of it) that look near to its leaders, with a null key; and the members of buckets where this doesn't settle all: those of three or more that look near to another one, and all of a bucket in parts."""
+    names = ["key", "part", "parts", "u", "v", *also]
 
     def run(batches):
         for held in groups(batches, ["key", "part"], 4 * PART):
-            node = np.asarray(column(held, "node"))
+            key, part, parts, node = (np.asarray(column(held, c)) for c in ("key", "part", "parts", "node"))
             values = np.stack([np.asarray(column(held, c)) for c in also], axis=1).astype(np.int64)
-            u, v = [], []
-            for at, close in alike_in_runs(runs(np.asarray(column(held, "key")), np.asarray(column(held, "part"))), values, near):
+            u, v, keep, order = [], [], parts > 1, (mix(node.view(np.uint64), 17) >> np.uint64(1)).view(np.int64)
+            for at, close in alike_in_runs(runs(key, part), values, near):
                 some = np.flatnonzero(close.any(axis=(1, 2)))
                 if at.shape[1] == 2:
                     u += at[some, 0].tolist()
                     v += at[some, 1].tolist()
                     continue
                 for k in some.tolist():
-                    x, y = leaders(close[k])
+                    x, y = leaders(close[k], order[at[k]])
                     u += at[k, x].tolist()
                     v += at[k, y].tolist()
+                open_ = close.any(axis=2)
+                keep[at[open_ & (open_.sum(axis=1) > 2)[:, None]]] = True
             a, b = node[u], node[v]
             pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1).astype(np.int64), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
+            gone = pa.nulls(len(pairs), pa.int64())
+            yield pa.RecordBatch.from_arrays([gone, gone, gone, pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), *[gone] * len(also)], names)
+            if keep.any():
+                told = [pa.array(x[keep].astype(np.int64)) for x in (key, part, parts, node)]
+                yield pa.RecordBatch.from_arrays([*told, pa.nulls(int(keep.sum()), pa.int64()), *(pa.array(values[keep, k]) for k in range(len(also)))], names)
 
     spread = members.repartition(partitions(members.sparkSession), "key", "part").sortWithinPartitions("key", "part")
-    return in_batches(spread.select("key", "part", "node", *also), run, "u long, v long").distinct()
+    return in_batches(spread.select("key", "part", "parts", "node", *also), run, ", ".join(f"{c} long" for c in names))
 
 
-def _still_apart(members: DataFrame, roots: DataFrame, also: list[str], near: Callable) -> DataFrame:
+def _still_apart(members: DataFrame, roots: DataFrame, also: list[str], near: Callable, sparse: int) -> DataFrame:
     """What looks near in a bucket of three or more but isn't connected: u and v of pairs, or, where these are many, key, u (the member) and its root, with the columns `also`. Parts of a larger bucket meet in pairs, with the columns `also` only."""
     names = ["key", "u", "v", "root", *also]
 
@@ -176,7 +185,7 @@ def _still_apart(members: DataFrame, roots: DataFrame, also: list[str], near: Ca
                 at = rows[at]
                 two = (side[at] != side[at][:, :1]).any(axis=1)[:, None, None]
                 close &= (root[at][:, :, None] != root[at][:, None, :]) & ((side[at][:, :, None] != side[at][:, None, :]) | ~two)
-                few = close.sum(axis=(1, 2)) <= 2 * SPARSE * at.shape[1]
+                few = close.sum(axis=(1, 2)) <= 2 * sparse * at.shape[1]
                 keep[at[~few][close[~few].any(axis=2)]] = True
                 which, x, y = np.nonzero(close & few[:, None, None])
                 u.append(node[at[which, x]])
@@ -191,7 +200,7 @@ def _still_apart(members: DataFrame, roots: DataFrame, also: list[str], near: Ca
                 yield pa.RecordBatch.from_arrays([pa.array(np.asarray(column(held, "key"))[keep]), pa.array(node[keep]), gone(m), pa.array(root[keep]), *(pa.array(values[keep, k]) for k in range(len(also)))], names)
 
     labelled = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    met = labelled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")})
+    met = labelled.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")})
     spread = met.repartition(partitions(members.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
     return in_batches(spread.select("key", "i", "j", "part", "parts", "node", "root", *also), run, ", ".join(f"{c} long" for c in names)).distinct()
 
@@ -215,7 +224,7 @@ def _between(few: DataFrame, contents: DataFrame, also: list[str], pairs: Callab
     return in_batches(spread.select("key", "i", "j", "own", "node", "root", *also, "content"), run, "u long, v long")
 
 
-def links(members: DataFrame, also: list[str], near: Callable, contents: Callable[[DataFrame], DataFrame], verify: Callable, pairs: Callable, part: int = PART, block: int = BLOCK) -> DataFrame:
+def links(members: DataFrame, also: list[str], near: Callable, contents: Callable[[DataFrame], DataFrame], verify: Callable, pairs: Callable, part: int = PART, block: int = BLOCK, sparse: int = SPARSE) -> DataFrame:
     """Verified pairs u and v that connect all that is linked.
 
     members: key, node and the long columns `also` (checkpointed). near(rows, rows) tells from these which pairs look near. contents
@@ -223,7 +232,9 @@ def links(members: DataFrame, also: list[str], near: Callable, contents: Callabl
     pairs(contents, roots, sides, rows) gives links between different roots (and sides, where there are two) that connect what all of them connect.
     """
     divided = parted(members, part)
-    stars = settled(_stars(divided, also, near))
+    told = stored(_stars(divided, also, near))
+    stars = settled(told.filter("key IS NULL").select("u", "v").distinct())
+    divided = told.filter("key IS NOT NULL").select("key", "part", "parts", F.col("u").alias("node"), *also)
 
     def run(batches):
         for batch in batches:
@@ -239,7 +250,8 @@ def links(members: DataFrame, also: list[str], near: Callable, contents: Callabl
         return settled(in_batches(found.join(left, "u").join(right, "v").select("u", "v", "a", "b"), run, "u long, v long"))
 
     found = verified(stars)
-    apart = settled(_still_apart(divided, components(found), also, near))
+    apart = settled(_still_apart(divided, components(found), also, near, sparse))
+    discard(told)
     rest = apart.filter("key IS NULL").select("u", "v").join(stars, ["u", "v"], "left_anti")
     if not rest.isEmpty():
         found = found.unionByName(verified(settled(rest)))

@@ -49,7 +49,7 @@ def test_components_by_stars(spark, one_task):
     assert all(got[a] == want[a] and got[b] == want[b] for a, b in pairs if a != b)
 
 
-def link_all(spark, rows, close, part=4096, block=1024):
+def link_all(spark, rows, close, part=4096, block=1024, sparse=4):
     """Links of rows (key, node), whose contents are the nodes as text and all of which look near."""
     members = linking.crowded(spark.createDataFrame(rows, "key long, node long").distinct().withColumn("bits", F.lit(0).cast("long"))).checkpoint()
     content = lambda wanted: wanted.withColumn("content", F.col("node").cast("string"))
@@ -60,16 +60,15 @@ def link_all(spark, rows, close, part=4096, block=1024):
         n, two = [int(x) for x in held.to_pylist()], (side != side[0]).any()
         return [(i, j) for i in range(len(n)) for j in range(i) if root[i] != root[j] and (side[i] != side[j] or not two) and close(n[i], n[j])]
 
-    return [(r.u, r.v) for r in linking.links(members, ["bits"], near, content, verify, pairs, part, block).collect()]
+    return [(r.u, r.v) for r in linking.links(members, ["bits"], near, content, verify, pairs, part, block, sparse).collect()]
 
 
 @pytest.mark.parametrize("part,block,sparse", [(4096, 1024, 4), (5, 3, 4), (4096, 3, 0), (5, 3, 0)])
-def test_links_connect_what_is_linked(spark, part, block, sparse, monkeypatch):
-    monkeypatch.setattr(linking, "SPARSE", sparse)
+def test_links_connect_what_is_linked(spark, part, block, sparse):
     random.seed(6)
     rows = [(random.randrange(12), node) for node in range(80) for _ in range(2)]
     close = lambda a, b: (min(a, b) * 7 + max(a, b) * 13 + a * b) % 5 == 0
-    found = link_all(spark, rows, close, part, block)
+    found = link_all(spark, rows, close, part, block, sparse)
     buckets = collections.defaultdict(set)
     for k, n in rows:
         buckets[k].add(n)
