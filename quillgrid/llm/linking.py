@@ -110,7 +110,7 @@ def alike_in_runs(cuts: np.ndarray, values: np.ndarray, near: Callable, at_least
         step = max(1, (1 << 20) // size**2)
         for lo in range(0, len(begins), step):
             at = begins[lo : lo + step, None] + np.arange(size)
-            if size <= 2048:
+            if size <= 512:
                 close = near(values[at][:, :, None], values[at][:, None, :])
             else:  # a row at a time
                 close = np.stack([near(values[at[0]], values[k]) for k in at[0].tolist()])[None]
