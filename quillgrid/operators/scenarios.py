@@ -30,11 +30,11 @@ def run_plan(models: DataFrame, tasks: DataFrame, model: str | None = None, task
     """Every model with every task: the plan is this product by its meaning, and the models are few. model, task: that one alone (columns model and id)."""
     models = models if model is None else models.filter(F.col("model") == model)
     tasks = tasks if task is None else tasks.filter(F.col("id") == task)
-    return tasks.crossJoin(F.broadcast(models))
+    return tasks.crossJoin(models)
 
 
 def preview(models: DataFrame, tasks: DataFrame, most: int = 5) -> DataFrame:
     """A row for each model: the first `most` tasks by id, how many more there are, and how many runs all models make."""
     first = tasks.select("id").orderBy("id").limit(most).agg(F.array_sort(F.collect_list("id")).alias("first_tasks"))
     n = tasks.agg(F.count("*").alias("n_tasks"))
-    return models.crossJoin(F.broadcast(first)).crossJoin(F.broadcast(n)).crossJoin(F.broadcast(models.agg(F.count("*").alias("n_models")))).select("model", "first_tasks", F.greatest(F.col("n_tasks") - most, F.lit(0)).alias("more"), (F.col("n_tasks") * F.col("n_models")).alias("total_runs"))
+    return models.crossJoin(first).crossJoin(n).crossJoin(models.agg(F.count("*").alias("n_models"))).select("model", "first_tasks", F.greatest(F.col("n_tasks") - most, F.lit(0)).alias("more"), (F.col("n_tasks") * F.col("n_models")).alias("total_runs"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Categories by rule.
+# Categories by rule, and the notes that the rules give.
 CLASS = ["god_class", "srp_violation", "ocp_violation", "lsp_violation", "isp_violation", "dip_violation"]
 FUNCTION = ["god_function", "long_params", "complex_conditional"]
 NAMED = ["lazy_class", "feature_envy", "primitive_obsession", "speculative_generality", "refused_bequest", "missing_abstraction", "api_design"]

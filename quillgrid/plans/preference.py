@@ -224,8 +224,8 @@ SELECT s_suppkey, list_filter(names, lambda x: contains(said, x))[1] AS entity F
 def longest(spark, sf_dir):
     n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
     names = n.agg(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda x: x["n_name"]).alias("names"))
-    s = table(spark, sf_dir, "supplier").join(F.broadcast(n.join(r, n.n_regionkey == r.r_regionkey)), F.col("s_nationkey") == F.col("n_nationkey"))
-    return s.crossJoin(F.broadcast(names)).select("s_suppkey", verify.longest_contained(F.col("names"), F.concat(F.lit("supplier of "), "n_name", F.lit(" near "), "r_name")).alias("entity"))
+    s = table(spark, sf_dir, "supplier").join(n.join(r, n.n_regionkey == r.r_regionkey), F.col("s_nationkey") == F.col("n_nationkey"))
+    return s.crossJoin(names).select("s_suppkey", verify.longest_contained(F.col("names"), F.concat(F.lit("supplier of "), "n_name", F.lit(" near "), "r_name")).alias("entity"))
 
 
 # Text functions on inputs of each kind, with results worked out by hand.

@@ -165,8 +165,13 @@ def test_streaming(spark, tmp_path):
     stream = ingest.read_events(spark, str(tmp_path / "in"), "key int, seq int")
     q = stream.writeStream.foreachBatch(ingest.upsert_into(str(tmp_path / "state"), ["key"], "seq")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(60)
-    got = spark.read.parquet(str(tmp_path / "state" / "state-0"))
-    assert sorted((r.key, r.seq) for r in got.collect()) == [(0, 6), (1, 7), (2, 8)]
+    state = str(tmp_path / "state")
+    assert sorted((r.key, r.seq) for r in ingest.read_state(spark, state).collect()) == [(0, 6), (1, 7), (2, 8)]
+    merge = ingest.upsert_into(state, ["key"], "seq")
+    for number, more in ((1, [(1, 3)]), (2, [(2, 99), (7, 1)]), (2, [(2, 99), (7, 1)]), (3, [(2, 100)]), (4, [(2, 101)])):
+        merge(spark.createDataFrame(more, "key int, seq int"), number)
+    assert sorted((r.key, r.seq) for r in ingest.read_state(spark, state).collect()) == [(0, 6), (1, 7), (2, 101), (7, 1)]
+    assert sorted(ingest.state_folders(spark, state)[4]) == sorted({r.b for r in spark.range(1).selectExpr("CAST(pmod(xxhash64(CAST(2 AS INT)), 64) AS INT) AS b").collect()})
 
 
 def test_prompts_of_findings(spark):
