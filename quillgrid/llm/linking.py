@@ -91,14 +91,16 @@ def crowded(buckets: DataFrame) -> DataFrame:
 
 
 def parted(members: DataFrame, part: int) -> DataFrame:
-    """Adds part: 0, or a hash of the node in keys with over `part` members, so that no task has to hold a hot key. Only such keys' counts are broadcast, one for `part` rows at least."""
+    """Adds part: 0, or a hash of the node in keys with over `part` members, so that no task has to hold a hot key. Members may tell their bucket's size as n; else only large keys' counts are broadcast, one for `part` rows at least."""
+    own = F.coalesce(F.pmod(F.xxhash64("node", F.lit(7)), F.col("parts")).cast("int"), F.lit(0))
+    if "n" in members.columns:
+        return members.withColumn("parts", F.ceil(F.col("n") / part).cast("int")).withColumn("part", own).drop("n")
     hot = members.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > part)
     hot = settled(hot.select("key", F.ceil(F.col("n") / part).cast("int").alias("parts")))
     n = hot.count()
     if not n:
         return members.withColumn("part", F.lit(0)).withColumn("parts", F.lit(1))
     some = F.broadcast(hot) if n <= 100_000 else hot
-    own = F.coalesce(F.pmod(F.xxhash64("node", F.lit(7)), F.col("parts")).cast("int"), F.lit(0))
     return members.join(some, "key", "left").withColumn("part", own).withColumn("parts", F.coalesce("parts", F.lit(1)))
 
 
@@ -227,7 +229,7 @@ def _between(few: DataFrame, contents: DataFrame, also: list[str], pairs: Callab
 def links(members: DataFrame, also: list[str], near: Callable, contents: Callable[[DataFrame], DataFrame], verify: Callable, pairs: Callable, part: int = PART, block: int = BLOCK, sparse: int = SPARSE) -> DataFrame:
     """Verified pairs u and v that connect all that is linked.
 
-    members: key, node and the long columns `also` (checkpointed). near(rows, rows) tells from these which pairs look near. contents
+    members: key, node, the long columns `also` and, if known, n, the size of the bucket (written). near(rows, rows) tells from these which pairs look near. contents
     gives node and content of the nodes in a column node; verify(contents, contents) tells which pairs are links;
     pairs(contents, roots, sides, rows) gives links between different roots (and sides, where there are two) that connect what all of them connect.
     """
