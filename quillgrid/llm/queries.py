@@ -1,4 +1,4 @@
-"""Queries of the ten operators over whole tables, and SQL where it can say the same."""
+"""Queries of the thirteen operators over whole tables, and SQL where it can say the same."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgrid.llm import bpe_tree, edit_counts, fingerprints, licenses, lines, multi_index, packing, prob_minhash, suffixes, toxicity
+from quillgrid.llm import bpe_tree, edit_counts, filter_audit, fingerprints, hard_negatives, licenses, lines, multi_index, packing, prob_minhash, resharding, suffixes, toxicity
 from quillgrid.llm.common import table
 
 
@@ -81,10 +81,32 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+OLD_SHARDS, SHARDS = 12, 16
+
+
+def op11_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents from twelve shards, dealt by text, to sixteen of equal bytes."""
+    made = resharding.reshard(table(spark, sf_dir, "documents"), resharding.by_text(OLD_SHARDS), OLD_SHARDS, SHARDS)
+    return made.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard", "moved")
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five filters does to every source's documents, in every order."""
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), F.col("source"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every vector whose vec_id is divisible by 100; a seventh of the labels is moved on by one first."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    rows = table(spark, sf_dir, "embeddings").filter(fine).select("vec_id", label.alias("label"), F.transform("embedding", lambda x: F.floor(256 * x.cast("double"))).alias("vector"))
+    return hard_negatives.mine(rows, F.col("vec_id") % 100 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (op1_line_dedup, op2_multi_index, op3_bpe, op4_toxicity, op5_token_counts, op6_minhash, op7_suffixes, op8_licenses, op9_packing, op10_fingerprints)
+    made = (op1_line_dedup, op2_multi_index, op3_bpe, op4_toxicity, op5_token_counts, op6_minhash, op7_suffixes, op8_licenses, op9_packing, op10_fingerprints, op11_resharding, op12_filter_audit, op13_hard_negatives)
     return {f.__name__: f for f in made}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_licenses": licenses.scan_sql()}
+    return {"op8_licenses": licenses.scan_sql(), "op12_filter_audit": filter_audit.audit_sql(), "op13_hard_negatives": hard_negatives.mine_sql()}
