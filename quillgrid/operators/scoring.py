@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillgrid.functions.text import dashed_id, is_json, response_body
+from quillgrid.functions.text import dashed_id, json_object, let, response_body
 
 
 def failed_gates(summary: Column) -> Column:
@@ -50,18 +50,31 @@ def parse_reply(text: Column) -> Column:
 
     has_drift: false if missing, null if given as null or of another type (equal to neither truth); confidence: 0.5
     if missing, clamped to 0 to 1. Not one whole JSON object, or no number as confidence: not parsed.
+    Every step is bound to a name once, and all fields come from one parsed value.
     """
-    body = response_body(text)
-    value = F.when(is_json(body), F.try_parse_json(body))
-    kind = F.schema_of_variant(value)
-    get = lambda p, t: F.try_variant_get(value, p, t)
-    given = get("$.confidence", "variant")
-    number = F.coalesce(get("$.confidence", "double"), get("$.confidence", "string").try_cast("double"))
-    parsed = F.coalesce(kind.startswith("OBJECT") & (given.isNull() | number.isNotNull()), F.lit(False))
-    has = get("$.has_drift", "variant")
-    says = F.when(has.isNull(), F.lit(False)).when(F.schema_of_variant(has) == "BOOLEAN", get("$.has_drift", "boolean"))
-    confidence = F.when(given.isNull(), F.lit(0.5)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), number)))
-    return F.struct(parsed.alias("parsed"), F.when(parsed, says).alias("says_drift"), F.when(parsed, confidence).otherwise(0.0).alias("confidence"), F.when(parsed, get("$.drift_type", "string")).alias("drift_type"), F.when(parsed, F.coalesce(get("$.explanation", "string"), F.lit(""))).otherwise("(parse error)").alias("explanation"))
+    value = json_object(response_body(text))
+    get = lambda v, p, t: F.try_variant_get(v, p, t)
+
+    def fields(v: Column) -> Column:
+        given, has = get(v, "$.confidence", "variant"), get(v, "$.has_drift", "variant")
+        number = F.coalesce(get(v, "$.confidence", "double"), get(v, "$.confidence", "string").try_cast("double"))
+        says = F.when(has.isNull(), F.lit(False)).when(F.schema_of_variant(has) == "BOOLEAN", get(v, "$.has_drift", "boolean"))
+        return F.struct(
+            v.isNotNull().alias("object"), given.isNull().alias("unsure"), number.alias("number"), says.alias("says"),
+            get(v, "$.drift_type", "string").alias("drift_type"), get(v, "$.explanation", "string").alias("explanation"),
+        )
+
+    def reply(f: Column) -> Column:
+        confidence = F.when(f["unsure"], F.lit(0.5)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), f["number"])))
+        return let(
+            f["object"] & (f["unsure"] | f["number"].isNotNull()),
+            lambda parsed: F.struct(
+                parsed.alias("parsed"), F.when(parsed, f["says"]).alias("says_drift"), F.when(parsed, confidence).otherwise(0.0).alias("confidence"),
+                F.when(parsed, f["drift_type"]).alias("drift_type"), F.when(parsed, F.coalesce(f["explanation"], F.lit(""))).otherwise("(parse error)").alias("explanation"),
+            ),
+        )
+
+    return let(let(value, fields), reply)
 
 
 def predictions(responses: DataFrame, scenarios: DataFrame) -> DataFrame:
