@@ -151,7 +151,9 @@ class SearchReader(DataSourceReader):
             found += [SearchPage(q, p) for p in range(self.first, min(last, last if self.last is None else self.last) + 1)]
         return found
 
-    def read(self, partition: SearchPage) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: SearchPage | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # what Spark gives for no pages at all
+            return
         items = self.settings.page(partition.query, self.qualifiers, partition.page).get("items") or []
         field = lambda name: [i.get(name) if isinstance(i, dict) else None for i in items]
         n = len(items)
