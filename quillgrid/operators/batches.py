@@ -12,6 +12,7 @@ FINDING = "struct<category: string, severity: string, file: string, line: int, d
 
 def requests(prompts: DataFrame) -> DataFrame:
     """custom_id and user text of prompts (repo, batch, prompt)."""
+    # The prompt's head and tail.
     user = F.concat(F.lit("AST-EXTRACTED FACTS:\n"), F.col("prompt"), F.lit("\n\nReturn findings as JSON."))
     return prompts.select(batch_custom_id(F.col("repo"), F.col("batch")).alias("custom_id"), "repo", user.alias("user"))
 

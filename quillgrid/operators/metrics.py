@@ -38,6 +38,11 @@ def leaderboard(rows: DataFrame) -> DataFrame:
         F.sum("confidence").alias("sure"),
         F.count("confidence").alias("told"),
     )
+    return board_of_bins(bins)
+
+
+def board_of_bins(bins: DataFrame) -> DataFrame:
+    """The leaderboard from sums by model and bin (null: no confidence): n, right, over, under, sure (of confidences) and told (how many)."""
     has = F.col("bin").isNotNull()
     share = F.col("right") / F.col("n")
 
@@ -160,32 +165,40 @@ def capital(c: Column) -> Column:
 
 
 COUNTS = "map<string, struct<passed: bigint, failed: bigint, total: bigint>>"
+HITS = "map<string, struct<correct: bigint, total: bigint>>"
 
 
-def batch_entry(batch: DataFrame) -> DataFrame:
-    """Rows of a batch leaderboard as leaderboard rows: accuracy in percent, rates that a batch has not as 0, counts of categories with the failed ones."""
+def batch_entry(batch: DataFrame, tasks_total: int = 0) -> DataFrame:
+    """Rows of a batch leaderboard as leaderboard rows: accuracy in percent, rates and errors that a batch has not as 0, counts of categories with the failed ones, by_repo as the batch has it (by_repository), and the number of all tasks."""
     counts = F.transform_values("by_category", lambda _, v: F.struct(v["correct"].alias("passed"), (v["total"] - v["correct"]).alias("failed"), v["total"].alias("total")))
     run = F.coalesce("scenarios_evaluated", F.lit(0))
     zero = F.lit(0.0)
+    by_repo = F.col("by_repository").cast(HITS) if "by_repository" in batch.columns else F.lit(None).cast(HITS)
     return batch.select(
         "model", F.replace("model", F.lit("/"), F.lit("_")).alias("slug"), F.coalesce("display_name", "model").alias("display_name"), capital(F.coalesce("provider", F.lit("unknown"))).alias("provider"),
         zero.alias("pass_rate"), zero.alias("drift_detection_rate"), zero.alias("error_rate"), F.round(F.coalesce("overall_accuracy", zero) * 100, 1).alias("accuracy"), run.alias("tasks_run"), run.alias("tasks_completed"),
         F.coalesce("calibration_ece", zero).alias("calibration_ece"), F.coalesce("overconfident_errors", F.lit(0)).alias("overconfident_errors"), F.coalesce("underconfident_correct", F.lit(0)).alias("underconfident_correct"), "avg_confidence",
         F.coalesce(counts.cast(COUNTS), F.create_map().cast(COUNTS)).alias("by_category"), run_status(run).alias("status"), F.lit("batch").alias("source"),
+        F.lit(tasks_total).cast("long").alias("tasks_total"), F.lit(0).cast("long").alias("errors"), F.lit(0).cast("long").alias("false_positives_excluded"), F.coalesce(by_repo, F.create_map().cast(HITS)).alias("by_repo"),
     )
 
 
-def merge_leaderboards(local: DataFrame, batch: DataFrame) -> DataFrame:
+def merge_leaderboards(local: DataFrame, batch: DataFrame, tasks_total: int = 0) -> DataFrame:
     """Full outer by model, ranked. A model of both keeps its local row with the batch's calibration error and overconfident errors, where given, and its categories as by_category_batch; a model of the batch alone gets a row of its own.
 
-    local: columns of batch_entry. batch: model, display_name, provider, overall_accuracy, scenarios_evaluated, calibration_ece,
-    overconfident_errors, underconfident_correct, avg_confidence, by_category (map to correct and total).
+    local: columns of batch_entry, of which errors, tasks_total, false_positives_excluded and by_repo may be absent (null then). batch: model, display_name, provider, overall_accuracy, scenarios_evaluated, calibration_ece,
+    overconfident_errors, underconfident_correct, avg_confidence, by_category (map to correct and total), and by_repository likewise or absent.
     """
-    a, b = local.alias("a"), batch_entry(batch).alias("b")
+    entries = batch_entry(batch, tasks_total)
+    for c in [f for f in entries.schema if f.name not in local.columns]:
+        local = local.withColumn(c.name, F.lit(None).cast(c.dataType))
+    a, b = local.alias("a"), entries.alias("b")
     given = batch.select(F.col("model").alias("given_model"), F.col("calibration_ece").alias("given_ece"), F.col("overconfident_errors").alias("given_over"), F.col("by_category").alias("by_category_batch"))
     joined = a.join(b, F.col("a.model") == F.col("b.model"), "full").join(given, F.col("given_model") == F.col("a.model"), "left")
     richer = {"calibration_ece": "given_ece", "overconfident_errors": "given_over"}
-    columns = [F.coalesce(*([richer[c]] if c in richer else []), f"a.{c}", f"b.{c}").alias(c) for c in batch_entry(batch).columns]
+    whole = {"tasks_total", "errors", "false_positives_excluded", "by_repo"}  # a local row's own, given or not
+    both = lambda c: F.when(F.col("a.model").isNotNull(), F.col(f"a.{c}")).otherwise(F.col(f"b.{c}")) if c in whole else F.coalesce(*([richer[c]] if c in richer else []), f"a.{c}", f"b.{c}")
+    columns = [both(c).alias(c) for c in entries.columns]
     return by_accuracy(joined.select(*columns, "by_category_batch"))
 
 

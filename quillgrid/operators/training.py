@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from quillgrid.functions.text import json_text
 from quillgrid.operators.metrics import ratio
+from quillgrid.operators.permutation import shuffled
 from quillgrid.operators.ranges import numbered
+from quillgrid.session import checkpointed
 
 # The prompt of preference pairs and its notes.
 DPO_HEAD = "Analyze this codebase for quality issues.\n\nAST-EXTRACTED FACTS:\n"
@@ -57,6 +59,7 @@ def sft_groups(verified: DataFrame) -> DataFrame:
 
 def sft_messages(groups: DataFrame, system: str) -> DataFrame:
     """System, user and assistant messages."""
+    # The prompt's head and tail.
     user = F.concat(F.lit("AST-EXTRACTED FACTS:\n"), F.col("prompt"), F.lit("\n\nReturn findings as JSON."))
     said = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("content"))
     return groups.select("batch", F.array(said("system", F.lit(system)), said("user", user), said("assistant", F.col("reply"))).alias("messages"))
@@ -74,10 +77,10 @@ def pick_pairs(dropped: DataFrame, chosen: DataFrame, by: str, seed: str = "") -
     return wanted.join(places, [by, "k"]).select(by, "dropped_id", "chosen_id")
 
 
-def dpo_pairs(rows: DataFrame, most: int = 10_000, retry_weight: float = 0.6) -> DataFrame:
+def dpo_pairs(rows: DataFrame, most: int = 10_000, retry_weight: float = 0.6, seed: int = 42) -> DataFrame:
     """Preference pairs: dropped against verified rows of its category (weight 1), then against retried ones, `most` at most.
 
-    The order is by a digest of the dropped row, so it is mixed and always the same.
+    A seeded permutation mixes them, always the same way for the same rows.
     """
     split = split_rows(rows)
     dropped = split.filter("part = 'dropped'")
@@ -90,7 +93,8 @@ def dpo_pairs(rows: DataFrame, most: int = 10_000, retry_weight: float = 0.6) ->
     lose = split.select(F.col("id").alias("dropped_id"), F.concat(F.lit(DPO_HEAD), facts_prompt(), F.lit(DPO_TAIL)).alias("prompt"), finding_json().alias("rejected"), F.coalesce("verification_notes", F.lit("")).alias("rejected_notes"))
     win = split.select(F.col("id").alias("chosen_id"), finding_json().alias("chosen"))
     out = capped.join(lose, "dropped_id").join(win, "chosen_id")
-    return out.select("category", "dropped_id", "chosen_id", "prompt", "chosen", "rejected", F.lit(CHOSEN_NOTES).alias("chosen_notes"), "rejected_notes", F.when(F.col("weight") != 1.0, F.col("weight")).alias("weight")).orderBy(F.md5(F.concat_ws(":", "weight", "dropped_id").cast("binary")))
+    told = out.select("category", "dropped_id", "chosen_id", "prompt", "chosen", "rejected", F.lit(CHOSEN_NOTES).alias("chosen_notes"), "rejected_notes", F.when(F.col("weight") != 1.0, F.col("weight")).alias("weight"))
+    return shuffled(checkpointed(told), ["dropped_id", "weight"], seed)
 
 
 def category_stats(split: DataFrame, by: str = "category") -> DataFrame:

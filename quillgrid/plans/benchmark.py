@@ -112,7 +112,8 @@ _BATCHED = _LOCAL.replace("concat('Org ', upper(model))", "concat('org/', model)
 @query("q09_merge_leaderboards", f"""WITH a AS (SELECT {_LOCAL} FROM {_half_sql(0, 0, 6)}), h AS (SELECT * FROM {_half_sql(1, 4, 9)}), b AS (SELECT {_BATCHED}, n_categories FROM h),
 m AS (SELECT coalesce(a.model, b.model) AS model, coalesce(a.slug, b.slug) AS slug, coalesce(a.display_name, b.display_name) AS display_name, coalesce(a.provider, b.provider) AS provider, coalesce(a.pass_rate, b.pass_rate) AS pass_rate, coalesce(a.accuracy, b.accuracy) AS accuracy,
   coalesce(a.tasks_completed, b.tasks_completed) AS tasks_completed, coalesce(b.calibration_ece, a.calibration_ece) AS calibration_ece, coalesce(b.overconfident_errors, a.overconfident_errors) AS overconfident_errors, coalesce(a.underconfident_correct, b.underconfident_correct) AS underconfident_correct,
-  coalesce(a.avg_confidence, b.avg_confidence) AS avg_confidence, coalesce(a.status, b.status) AS status, CASE WHEN a.model IS NULL THEN 'batch' ELSE 'local' END AS source, CASE WHEN a.model IS NULL THEN NULL ELSE CAST(b.n_categories AS INTEGER) END AS batch_categories, CASE WHEN a.model IS NULL THEN CAST(b.n_categories AS INTEGER) ELSE 0 END AS own_categories FROM a FULL JOIN b ON a.model = b.model)
+  coalesce(a.avg_confidence, b.avg_confidence) AS avg_confidence, coalesce(a.status, b.status) AS status, CASE WHEN a.model IS NULL THEN 'batch' ELSE 'local' END AS source, CASE WHEN a.model IS NULL THEN NULL ELSE CAST(b.n_categories AS INTEGER) END AS batch_categories, CASE WHEN a.model IS NULL THEN CAST(b.n_categories AS INTEGER) ELSE 0 END AS own_categories,
+  CASE WHEN a.model IS NULL THEN 97 ELSE 90 END::BIGINT AS tasks_total, CASE WHEN a.model IS NULL THEN 0 ELSE 1 END::BIGINT AS errors, CASE WHEN a.model IS NULL THEN 0 ELSE 2 END::BIGINT AS false_positives_excluded, CASE WHEN a.model IS NULL THEN CAST(b.n_categories AS INTEGER) ELSE -1 END AS repositories FROM a FULL JOIN b ON a.model = b.model)
 SELECT *, CAST(row_number() OVER (ORDER BY accuracy DESC, tasks_completed DESC, model) AS INTEGER) AS rank FROM m""")
 def merge(spark, sf_dir):
     (mine, _), (other, by) = _half(spark, sf_dir, 0, (0, 6)), _half(spark, sf_dir, 1, (4, 9))
@@ -127,9 +128,11 @@ def merge(spark, sf_dir):
     batch = other.join(counts, "model").select(
         name.alias("model"), F.lit(None).cast("string").alias("display_name"), F.when(F.col("model") != "m9", "aCME").alias("provider"), "overall_accuracy", F.col("total").alias("scenarios_evaluated"), F.col("ece_mean").alias("calibration_ece"), "overconfident_errors", "underconfident_correct", "avg_confidence", "by_category",
     )
-    made = metrics.merge_leaderboards(local, batch)
-    columns = ["model", "slug", "display_name", "provider", "pass_rate", "accuracy", "tasks_completed", "calibration_ece", "overconfident_errors", "underconfident_correct", "avg_confidence", "status", "source", "rank"]
-    return made.select(*columns, F.when(F.col("by_category_batch").isNotNull(), F.size("by_category_batch")).alias("batch_categories"), F.size("by_category").alias("own_categories"))
+    hits = by.groupBy("model").agg(F.map_from_entries(F.collect_list(F.struct("category", F.struct("correct", "total")))).alias("by_repository")).withColumn("model", name)
+    local = local.withColumns({"tasks_total": F.lit(90).cast("long"), "errors": F.lit(1).cast("long"), "false_positives_excluded": F.lit(2).cast("long")})
+    made = metrics.merge_leaderboards(local, batch.join(hits, "model"), tasks_total=97)
+    columns = ["model", "slug", "display_name", "provider", "pass_rate", "accuracy", "tasks_completed", "calibration_ece", "overconfident_errors", "underconfident_correct", "avg_confidence", "status", "source", "rank", "tasks_total", "errors", "false_positives_excluded"]
+    return made.select(*columns, F.coalesce(F.size("by_repo"), F.lit(-1)).alias("repositories"), F.when(F.col("by_category_batch").isNotNull(), F.size("by_category_batch")).alias("batch_categories"), F.size("by_category").alias("own_categories"))
 
 
 def tasks(spark, sf_dir):

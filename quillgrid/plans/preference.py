@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillgrid.functions import text as t
 from quillgrid.operators import discovery, evaluation, training, verify
+from quillgrid.operators import pairs as pairs_by
 from quillgrid.plans.benchmark import quoted
 from quillgrid.plans.registry import query, table
 from quillgrid.sources import sinks
@@ -132,14 +133,8 @@ _EDGES = "SELECT DISTINCT l_partkey AS part, l_suppkey AS supp FROM lineitem"
 
 @query("q33_shared_pairs", f"WITH e AS ({_EDGES}) SELECT a.supp AS a, b.supp AS b, count(*) AS shared FROM e a JOIN e b ON a.part = b.part AND a.supp < b.supp GROUP BY ALL")
 def shared(spark, sf_dir):
-    return shared_pairs(table(spark, sf_dir, "lineitem"))
-
-
-def shared_pairs(items):
-    """Pairs of suppliers a < b with how many parts they share, over all rows of items."""
-    e = items.select(F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supp")).distinct()
-    other = e.select("part", F.col("supp").alias("b"))
-    return e.withColumnRenamed("supp", "a").join(other, "part").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
+    """Pairs of suppliers with how many parts they share."""
+    return pairs_by.shared_pairs(table(spark, sf_dir, "lineitem"), "l_partkey", "l_suppkey")
 
 
 @query("q46_shared_params", """WITH r AS (SELECT *, row_number() OVER () AS k FROM lineitem), l AS (SELECT DISTINCT l_orderkey AS o, k, unnest([concat('t', CAST(round(l_tax * 100) AS INTEGER)), lower(l_returnflag), lower(l_linestatus)]) AS p FROM r), m AS (SELECT a.o, a.k, b.k AS j, count(*) AS n FROM l a JOIN l b ON a.o = b.o AND a.k < b.k AND a.p = b.p GROUP BY ALL)

@@ -36,7 +36,7 @@ def first_wins(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 
 def last_wins(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Insert-or-replace: the last row of each key."""
+    """Insert-or-replace: the last row of each key, nulls equal to nulls. Tasks keep one row of a key each before they meet, so that a key (or a null) that many rows have is as many rows as tasks."""
     n = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order)))
     return rows.withColumn("__n", n).filter("__n = 1").drop("__n")
 
@@ -76,6 +76,7 @@ def detection_document(candidates: DataFrame, title: str = "Detection report") -
     table = lambda rows, said, name: rows.agg(F.array_join(F.array_sort(F.collect_list(said)), "\n").alias(name))
     categories = table(by("category"), line("category", F.col("detected").cast("string"), F.col("total").cast("string"), "DDR"), "categories")
     tasks = table(by("task_id"), line("task_id", F.concat_ws("/", "detected", "total"), "DDR"), "tasks")
+    # The report's headings and lines.
     sums = candidates.agg(F.countDistinct("task_id").alias("n_tasks"), F.count("*").alias("n"), shown(rate()).alias("rate"))
     text = F.concat(
         F.lit(f"# {title}\n\n## Global Metrics\n\n- **Total Tasks Evaluated**: "), F.col("n_tasks").cast("string"), F.lit("\n- **Total Candidates/Variations**: "), F.col("n").cast("string"),
