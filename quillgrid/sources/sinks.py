@@ -8,6 +8,8 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillgrid.functions.formats import fixed, percent
+
 
 def write_document(row: DataFrame, path: str) -> None:
     """One JSON document; null fields stay."""
@@ -70,7 +72,7 @@ def markdown_table(rows: DataFrame, columns: list[str], order: list[str], title:
 def detection_document(candidates: DataFrame, title: str = "Detection report") -> DataFrame:
     """One row, report: global metrics, a table by category and one by task. candidates: task_id, category, detected; of valid tasks, whose golden patches passed, so that the false-positive rate is 0."""
     rate = lambda: F.coalesce(F.try_divide(100.0 * F.count_if("detected"), F.count("*").cast("double")), F.lit(0.0))
-    shown = lambda c: F.format_string("%.1f%%", c)
+    shown = lambda c: F.concat(fixed(c, 1), F.lit("%"))
     by = lambda key: candidates.groupBy(key).agg(F.count_if("detected").alias("detected"), F.count("*").alias("total"), shown(rate()).alias("DDR"))
     line = lambda *c: F.concat(F.lit("| "), F.concat_ws(" | ", *c), F.lit(" |"))
     table = lambda rows, said, name: rows.agg(F.array_join(F.array_sort(F.collect_list(said)), "\n").alias(name))
@@ -92,6 +94,13 @@ def console_rows(rows: DataFrame, widths: dict[str, int]) -> DataFrame:
     return rows.select(F.concat_ws(" ", *((F.lpad if c in number else F.rpad)(F.coalesce(F.col(c).cast("string"), F.lit("")), w, " ") for c, w in widths.items())).alias("line"))
 
 
+def leaderboard_lines(board: DataFrame) -> DataFrame:
+    """rank and line: what is printed of each model. board: rank, display_name, overall_accuracy, overconfident_errors and calibration_ece."""
+    # Fixed value: the line's form.
+    parts = [F.lit("  #"), F.col("rank").cast("string"), F.lit(" "), F.col("display_name"), F.lit(": "), percent(F.col("overall_accuracy"), 1), F.lit(" (overconfident: "), F.col("overconfident_errors").cast("string"), F.lit(", ECE: "), fixed(F.col("calibration_ece"), 3), F.lit(")")]
+    return board.select("rank", F.concat(*parts).alias("line"))
+
+
 def dataset_card(stats: DataFrame, most: int = 10) -> DataFrame:
     """One row, report: sums of category statistics and the table of the largest categories."""
     best = stats.orderBy(F.desc("total"), "category").limit(most).withColumn("place", F.row_number().over(Window.orderBy(F.desc("total"), "category")))

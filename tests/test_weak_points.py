@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from quillgrid.functions import formats
 from quillgrid.operators import incremental, metrics, pairs, permutation, training
 from quillgrid.session import ensure_checkpoints
 from quillgrid.sources import readers, schemas, sinks
@@ -112,3 +113,13 @@ def test_rows_of_the_batch_alone(spark):
     assert (got["b"].tasks_total, got["b"].errors, got["b"].false_positives_excluded, got["b"].by_repo, got["b"].source) == (97, 0, 0, {}, "batch")
     alone = metrics.merge_leaderboards(local.filter("model = 'z'"), batch, 97)
     assert {r.model: r.by_repo for r in alone.collect()} == {"a": {"r": (2, 5)}, "b": {}}
+
+
+def test_numbers_as_python_prints_them(spark):
+    rng = random.Random(1)
+    some = [0.25, 0.15, 0.35, 2.5, 1.005, 0.05, 0.5, 1.5, -0.25, -0.04, 0.0, 1e-9, 99.95, 1e11, 0.125, 0.375, float("inf"), float("-inf"), float("nan")] + [rng.uniform(-100, 100) for _ in range(300)] + [rng.randint(0, 4000) / 8 for _ in range(200)] + [rng.randint(0, 4000) / 1000 for _ in range(300)]
+    rows = spark.createDataFrame([(k, x) for k, x in enumerate([*some, None])], "k int, x double")
+    made = rows.select("k", "x", *(formats.fixed(F.col("x"), d).alias(f"f{d}") for d in range(4)), formats.percent(F.col("x"), 1).alias("p")).orderBy("k").collect()
+    for r, x in zip(made, some, strict=False):
+        assert ([r[f"f{d}"] for d in range(4)], r.p) == ([f"{x:.{d}f}" for d in range(4)], f"{x:.1%}"), x
+    assert made[-1].f1 is None and made[-1].p is None
