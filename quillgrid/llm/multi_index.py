@@ -6,8 +6,8 @@ lists, until the cells hold `share` of all vectors (or `least` of them); what go
 cells, as all cells of that sum or more are visited. Their entries are ranked again by their exact inner products in double precision.
 
 The centroids are fitted on at most SAMPLE vectors, the least by a hash of vec_id. Every vector
-is indexed. Entries of a cell go to blocks of about BLOCK entries (a large cell to several), queries to batches of as
-many; a task has one block and one batch. Of equal vectors only the least k + 1 ids can be among the
+is indexed. Entries of a cell go to blocks of about BLOCK entries (a large cell to several), the queries that visit a block to batches of as
+many; a task has one block and one batch, and entries are copied for batches that visit their block alone. Of equal vectors only the least k + 1 ids can be among the
 nearest k, so only these are entries. Only centroids and cell sizes come to the driver: both
 are bounded by CENTROIDS.
 
@@ -126,37 +126,54 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, share: float = SHA
         sizes[r["cell"]] = r["count"]
     enough = max(LEAST, k + 1, int(np.ceil(share * sizes.sum())))
     first, count = blocks_of(sizes, block)
-    asked = good.filter(is_query)
-    batches_of = max(1, -(-asked.count() // block))
+    asked = settled(good.filter(is_query))
+    held = sizes.tolist()
+
+    def visited(q: np.ndarray) -> list[tuple[np.ndarray, float]]:
+        """For each query the blocks that hold cells it visits, and the sum of its last cell."""
+        a, b = q[:, :half] @ books[0].T, q[:, half:] @ books[1].T
+        found = []
+        for i in range(len(q)):
+            cell = np.asarray(visit(a[i], b[i], held, enough), dtype=np.int64)
+            # A cell of several blocks lies in blocks of its own, one behind the other.
+            at = np.unique(np.concatenate([first[cell], *(np.arange(first[c], first[c] + count[c]) for c in cell[count[cell] > 1].tolist())]))
+            found.append((at, float(a[i, cell[-1] // across] + b[i, cell[-1] % across])))
+        return found
+
+    def visitors(batches):
+        for batch in batches:
+            q = matrix(batch)
+            if len(q):
+                at, n = np.unique(np.concatenate([x for x, _ in visited(q)]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(n, pa.int64())], ["block", "n"])
+
+    # How many batches of queries each block meets: a block that few visit is copied for few, one that none visits isn't read again.
+    batches_of = np.zeros(int((first + count).max()), np.int64)
+    for r in asked.mapInArrow(visitors, "block long, n long").groupBy("block").agg(F.sum("n").alias("n")).collect():  # a number for each block
+        batches_of[r["block"]] = -(-r["n"] // block)
 
     def entries(batches):
         for batch in batches:
             ids, cell = np.asarray(column(batch, "vec_id")), np.asarray(column(batch, "cell"))
             to = first[cell] + np.abs(ids) % count[cell]
-            n = len(ids)
-            take = pa.array(np.repeat(np.arange(n), batches_of))
-            part = batch.take(take)
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.repeat(to, batches_of)), pa.array(np.tile(np.arange(batches_of), n))], ["vec_id", "embedding", "cell", "block", "batch"])
-
-    held = sizes.tolist()
+            copies = batches_of[to]
+            take = np.repeat(np.arange(len(ids)), copies)
+            turn = np.arange(len(take)) - np.repeat(np.cumsum(copies) - copies, copies)
+            part = batch.take(pa.array(take, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(to[take], pa.int64()), pa.array(turn, pa.int64())], ["vec_id", "embedding", "cell", "block", "batch"])
 
     def visits(batches):
         for batch in batches:
             q, ids = matrix(batch), np.asarray(column(batch, "vec_id"))
             if not len(q):
                 continue
-            a, b = q[:, :half] @ books[0].T, q[:, half:] @ books[1].T
-            rows, to, least = [], [], []
-            for i in range(len(q)):
-                cell = np.asarray(visit(a[i], b[i], held, enough), dtype=np.int64)
-                # A cell of several blocks lies in blocks of its own, one behind the other.
-                at = np.unique(np.concatenate([first[cell], *(np.arange(first[c], first[c] + count[c]) for c in cell[count[cell] > 1].tolist())]))
-                rows += [i] * len(at)
-                to += at.tolist()
-                least += [float(a[i, cell[-1] // across] + b[i, cell[-1] % across])] * len(at)
+            found = visited(q)
+            rows = np.repeat(np.arange(len(q)), [len(at) for at, _ in found])
+            to = np.concatenate([at for at, _ in found])
+            least = np.array([x for _, x in found])[rows]
             part = batch.select([0, 1]).take(pa.array(rows, pa.int64()))
-            dealt = (mix(ids.astype(np.uint64), 3) % np.uint64(batches_of)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(least, pa.float64()), pa.array(to, pa.int64()), pa.array(dealt[rows] if rows else [], pa.int64())], ["query_id", "query", "least", "block", "batch"])
+            dealt = (mix(ids.astype(np.uint64), 3)[rows] % batches_of[to].astype(np.uint64)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(least, pa.float64()), pa.array(to, pa.int64()), pa.array(dealt, pa.int64())], ["query_id", "query", "least", "block", "batch"])
 
     def ranked(have: pa.Table, want: pa.Table) -> pa.Table:
         out = [[], [], []]

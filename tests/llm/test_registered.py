@@ -49,11 +49,13 @@ def test_line_dedup(spark, docs):
         assert (r.n_lines, r.n_removed, r.kept_sha256) == (len(split), len(r.removed), sha("\n".join(x for p, x in enumerate(split) if p not in r.removed)))
 
 
-def test_multi_index(spark):
-    made = pd.read_parquet(f"{SF}/embeddings.parquet")
+@pytest.mark.parametrize("sf", [SF, "/root/testdata/sf0.1"])
+def test_multi_index(spark, sf):
+    """The larger table has more vectors than are visited anyway."""
+    made = pd.read_parquet(f"{sf}/embeddings.parquet")
     x, ids = np.stack(made.embedding.to_numpy()).astype(float), made.vec_id.to_numpy()
     got = collections.defaultdict(list)
-    for r in queries.op2_multi_index(spark, SF).collect():
+    for r in queries.op2_multi_index(spark, sf).collect():
         got[r.query_id].append((r["rank"], r.vec_id, r.score))
     hits = n = 0
     for q in [k for k in range(len(ids)) if ids[k] % 20 == 0]:
