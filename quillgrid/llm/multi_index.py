@@ -126,31 +126,28 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, share: float = SHA
         sizes[r["cell"]] = r["count"]
     enough = max(LEAST, k + 1, int(np.ceil(share * sizes.sum())))
     first, count = blocks_of(sizes, block)
-    asked = settled(good.filter(is_query))
     held = sizes.tolist()
 
-    def visited(q: np.ndarray) -> list[tuple[np.ndarray, float]]:
-        """For each query the blocks that hold cells it visits, and the sum of its last cell."""
-        a, b = q[:, :half] @ books[0].T, q[:, half:] @ books[1].T
-        found = []
-        for i in range(len(q)):
-            cell = np.asarray(visit(a[i], b[i], held, enough), dtype=np.int64)
-            # A cell of several blocks lies in blocks of its own, one behind the other.
-            at = np.unique(np.concatenate([first[cell], *(np.arange(first[c], first[c] + count[c]) for c in cell[count[cell] > 1].tolist())]))
-            found.append((at, float(a[i, cell[-1] // across] + b[i, cell[-1] % across])))
-        return found
-
-    def visitors(batches):
+    def route(batches):
+        """Beside each query the blocks that hold cells it visits, and the sum of its last cell."""
         for batch in batches:
             q = matrix(batch)
-            if len(q):
-                at, n = np.unique(np.concatenate([x for x, _ in visited(q)]), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(n, pa.int64())], ["block", "n"])
-
+            if not len(q):
+                continue
+            a, b = q[:, :half] @ books[0].T, q[:, half:] @ books[1].T
+            blocks, least = [], []
+            for i in range(len(q)):
+                cell = np.asarray(visit(a[i], b[i], held, enough), dtype=np.int64)
+                # A cell of several blocks lies in blocks of its own, one behind the other.
+                blocks.append(np.unique(np.concatenate([first[cell], *(np.arange(first[c], first[c] + count[c]) for c in cell[count[cell] > 1].tolist())])))
+                least.append(float(a[i, cell[-1] // across] + b[i, cell[-1] % across]))
+            yield pa.RecordBatch.from_arrays([*batch.select([0, 1]).columns, pa.array(least, pa.float64()), pa.array(blocks, pa.list_(pa.int64()))], ["query_id", "query", "least", "blocks"])
+
+    routed = settled(good.filter(is_query).mapInArrow(route, "query_id long, query array<double>, least double, blocks array<long>"))
     # How many batches of queries each block meets: a block that few visit is copied for few, one that none visits isn't read again.
     batches_of = np.zeros(int((first + count).max()), np.int64)
-    for r in asked.mapInArrow(visitors, "block long, n long").groupBy("block").agg(F.sum("n").alias("n")).collect():  # a number for each block
-        batches_of[r["block"]] = -(-r["n"] // block)
+    for r in routed.select(F.explode("blocks").alias("block")).groupBy("block").count().collect():  # a number for each block
+        batches_of[r["block"]] = -(-r["count"] // block)
 
     def entries(batches):
         for batch in batches:
@@ -164,16 +161,12 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, share: float = SHA
 
     def visits(batches):
         for batch in batches:
-            q, ids = matrix(batch), np.asarray(column(batch, "vec_id"))
-            if not len(q):
-                continue
-            found = visited(q)
-            rows = np.repeat(np.arange(len(q)), [len(at) for at, _ in found])
-            to = np.concatenate([at for at, _ in found])
-            least = np.array([x for _, x in found])[rows]
-            part = batch.select([0, 1]).take(pa.array(rows, pa.int64()))
-            dealt = (mix(ids.astype(np.uint64), 3)[rows] % batches_of[to].astype(np.uint64)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(least, pa.float64()), pa.array(to, pa.int64()), pa.array(dealt, pa.int64())], ["query_id", "query", "least", "block", "batch"])
+            blocks = column(batch, "blocks")
+            rows, to = np.repeat(np.arange(len(blocks)), np.diff(np.asarray(blocks.offsets))), np.asarray(blocks.flatten())
+            ids = np.asarray(column(batch, "query_id")).astype(np.uint64)
+            dealt = (mix(ids, 3)[rows] % batches_of[to].astype(np.uint64)).astype(np.int64)
+            part = batch.select([0, 1, 2]).take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(to, pa.int64()), pa.array(dealt, pa.int64())], ["query_id", "query", "least", "block", "batch"])
 
     def ranked(have: pa.Table, want: pa.Table) -> pa.Table:
         out = [[], [], []]
@@ -197,7 +190,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, share: float = SHA
         return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["query_id", "vec_id", "score"])
 
     have = placed.mapInArrow(entries, "vec_id long, embedding array<double>, cell long, block long, batch long")
-    want = asked.mapInArrow(visits, "query_id long, query array<double>, least double, block long, batch long")
+    want = routed.mapInArrow(visits, "query_id long, query array<double>, least double, block long, batch long")
     found = have.groupBy("block", "batch").cogroup(want.groupBy("block", "batch")).applyInArrow(ranked, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
