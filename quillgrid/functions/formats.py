@@ -1,4 +1,4 @@
-"""Numbers as the reports print them: rounded by their exact binary value, ties to even, as Python and C do (Spark's own formats round what Java prints, half up). From 2^52 units of the last place on they are Java's."""
+"""Numbers and times as the reports print them. Numbers are rounded by their exact binary value, ties to even, as Python and C do (Spark's own formats round what Java prints, half up). From 2^52 units of the last place on they are Java's."""
 
 from __future__ import annotations
 
@@ -41,3 +41,16 @@ def fixed(c: Column, digits: int) -> Column:
 def percent(c: Column, digits: int) -> Column:
     """A share as a percentage with its sign."""
     return F.concat(fixed(c.cast("double") * 100.0, digits), F.lit("%"))
+
+
+def iso_utc(ts: Column) -> Column:
+    """A time in UTC with its offset; microseconds only where there are some."""
+    seconds = (F.unix_micros(ts.cast("timestamp")).cast("decimal(18,0)") / F.lit(1_000_000).cast("decimal(7,0)")).cast("decimal(18,6)")
+    wall = (F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds)).cast("string")
+    part = lambda t: F.when(F.length(t) > 19, F.concat(F.lit("."), F.rpad(F.substr(t, F.lit(21)), 6, "0"))).otherwise("")
+    return let(wall, lambda t: F.concat(F.replace(F.left(t, F.lit(19)), F.lit(" "), F.lit("T")), part(t), F.lit("+00:00")))
+
+
+def utc_day(ts: Column) -> Column:
+    """The date of a time in UTC."""
+    return F.left(iso_utc(ts), F.lit(10))

@@ -82,8 +82,8 @@ def ranked(rows: DataFrame, order: list[Column], name: str = "rank") -> DataFram
     return rows.withColumn(name, F.row_number().over(Window.orderBy(*order)))
 
 
-def rates(results: DataFrame, by: list[str]) -> DataFrame:
-    """Pass, detection and accuracy rates over completed runs, error rate over all. results: error, passed, detected, correct."""
+def rates(results: DataFrame, by: list[str], *more: Column) -> DataFrame:
+    """Pass, detection and accuracy rates over completed runs, error rate over all; more: further aggregates of the same pass. results: error, passed, detected, correct."""
     done = F.col("error").isNull()
     base = results.groupBy(*by).agg(
         F.count("*").alias("total"),
@@ -91,6 +91,7 @@ def rates(results: DataFrame, by: list[str]) -> DataFrame:
         F.count_if(done & F.col("passed")).alias("passed"),
         F.count_if(done & ~F.col("passed")).alias("failed"),
         F.count_if(done & F.col("correct")).alias("correct"),
+        *more,
     )
     completed = F.col("total") - F.col("errors")
     return base.select(
@@ -109,6 +110,11 @@ def exclude_false_positives(results: DataFrame, false_positive: Column) -> DataF
     return results.withColumn("fp_excluded", hit).withColumn("passed", F.col("passed") | hit)
 
 
+def counters(results: DataFrame, by: list[str]) -> DataFrame:
+    """The rates of results whose false positives are excluded, and how many those are, in one pass."""
+    return rates(results, by, F.count_if("fp_excluded").alias("false_positives_excluded"))
+
+
 def breakdown(results: DataFrame, dimensions: list[str]) -> DataFrame:
     """passed, failed and total by each dimension alone, in one pass of grouping sets; rows with an error count in total only."""
     done = F.col("error").isNull()

@@ -22,6 +22,11 @@ def with_patches(scenarios: DataFrame, patches: DataFrame, drop_empty: bool = Fa
     return found.filter(F.length("patch") > 0) if drop_empty else found
 
 
+def evaluation_rows(scenarios: DataFrame, patches: DataFrame) -> DataFrame:
+    """Scenarios with a patch that isn't empty, as they are exported: a drift type that isn't given is an empty text."""
+    return with_patches(scenarios, patches, drop_empty=True).na.fill("", ["drift_type"])
+
+
 def golden_and_drift(scenarios: DataFrame) -> DataFrame:
     return scenarios.agg(F.count_if(~F.col("has_drift")).alias("golden"), F.count_if("has_drift").alias("drift"), F.count("*").alias("total"))
 
