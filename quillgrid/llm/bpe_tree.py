@@ -95,7 +95,7 @@ def unpacked(ids: np.ndarray, data: bytes, at: int) -> Encoding:
     return Encoding(ids, ends - both[n:], ends, opens)
 
 
-def _agreement(side: Encoding, window: Encoding, low: int, high: int, last: bool) -> tuple[int, int] | None:
+def agreement(side: Encoding, window: Encoding, low: int, high: int, last: bool) -> tuple[int, int] | None:
     """Indexes of the middle of three tokens that both encodings have, of those within [low, high).
 
     Places of the same token, so that side up to the first index and window from the second fit.
@@ -120,8 +120,8 @@ def join(left: Encoding, right: Encoding, text: str, begin: int, at: int, end: i
         a, b = max(begin, at - width), min(end, at + width)
         window = encode_piece(text[a:b], a, path)
         edge = width // 4
-        l = (0, 0) if a == begin else _agreement(left, window, a + edge, at - edge, last=False)
-        r = (len(right.ids) - 1, len(window.ids) - 1) if b == end else _agreement(right, window, at + edge, b - edge, last=True)
+        l = (0, 0) if a == begin else agreement(left, window, a + edge, at - edge, last=False)
+        r = (len(right.ids) - 1, len(window.ids) - 1) if b == end else agreement(right, window, at + edge, b - edge, last=True)
         if l and r and l[1] <= r[1] + 1:
             head = left.cut(0, l[0])
             tail = right.cut(r[0] + 1, len(right.ids))

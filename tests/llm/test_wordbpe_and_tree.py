@@ -101,3 +101,27 @@ def test_packing_table(spark):
         padding += 0 if total & total - 1 == 0 else 256 - total
     assert padding < 0.1 * rows.length.sum()
     assert packing.pack(docs.limit(0)).count() == 0
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(PARTS, max_size=60).map("".join), edits(), st.sampled_from([(1, 1), (8, 20), (30, 60)]))
+def test_edits_of_segments_that_keep_their_ids(text, todo, sizes):
+    tree = edit_counts.CountTree(text, PATH, *sizes)
+    assert tree.tokens() == len(whole(text))
+    for e in todo:
+        tree.edit(e["at"], e["remove"], e["insert"])
+    now = edit_counts.apply(text, todo)
+    assert tree.text() == now and tree.tokens() == len(whole(now))
+
+
+def test_an_edit_of_text_without_a_blank_encodes_a_window():
+    rng = np.random.default_rng(5)
+    text = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz.,1é"), 60_000))
+    tree = edit_counts.CountTree(text, PATH)
+    built = tree.encoded
+    todo = [{"at": 20_000, "remove": 1, "insert": "q"}, {"at": 40_000, "remove": 700, "insert": ""}, {"at": 10, "remove": 0, "insert": "two words"}, {"at": 30_000, "remove": 0, "insert": "b" * 50}]
+    for e in todo:
+        tree.edit(e["at"], e["remove"], e["insert"])
+    now = edit_counts.apply(text, todo)
+    assert tree.text() == now and tree.tokens() == len(whole(now))
+    assert tree.encoded - built < 0.05 * built
