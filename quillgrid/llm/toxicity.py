@@ -3,7 +3,8 @@
 Training, on a bounded sample of labelled documents: a token of a toxic document is labelled toxic if
 its word or one of its beginnings is in toxic documents far oftener than in clean ones (likelihood
 ratio); the field with states clean and toxic, features of words and weights between states is fitted to
-these labels by its gradient. Forward-backward gives each token's probability; a document's
+these labels by its gradient, over all sentences with a labelled token and some SENTENCES others, drawn with a fixed seed; weights
+up to LEAST_WEIGHT are left out of the model. Forward-backward gives each token's probability; a document's
 score is logistic in its largest probability and in the sum of squares.
 
 Scoring: every token of every whole text, in chains that end with a sentence or after CHAIN tokens. Labels,
@@ -26,10 +27,13 @@ from pyspark.sql import functions as F
 from quillgrid.llm.common import give_back, keep_only, key_and_text, texts, whole_text
 from quillgrid.llm.fingerprints import mix
 from quillgrid.llm.wordbpe import runs
+from quillgrid.operators.training import budget_prefix
 
-#: The bound of the sample: documents of each label. Their whole texts are read, so the fitting task's memory goes with their length.
-TOXIC_DOCS, CLEAN_DOCS = 1000, 2000
+#: The bound of the sample: documents of each label, and characters of each label's whole texts; the first document beyond is the last one taken.
+TOXIC_DOCS, CLEAN_DOCS, SAMPLE_CHARS = 1000, 2000, 64_000_000
+#: Sentences without a labelled token that the fit takes, its steps, the longest chain, and the least likelihood ratio of a labelling feature.
 SENTENCES, STEPS, CHAIN, LEAST_RATIO = 40_000, 60, 128, 20.0
+LEAST_WEIGHT = 0.02
 EDGE = re.compile(r"^\W+|\W+$")
 BEGINNINGS = (4, 5, 6)
 
@@ -162,7 +166,7 @@ def fit(toxic: list[str], clean: list[str], seed: int = 7) -> Model:
             steps.append(0.5 * g / np.sqrt(sums[k]))
         w, bias, trans, start = w + steps[0], bias + steps[1], trans + steps[2], start + steps[3]
     names = list(index)
-    kept = {names[k]: float(w[k]) for k in np.flatnonzero(np.abs(w) > 0.02) if k}
+    kept = {names[k]: float(w[k]) for k in np.flatnonzero(np.abs(w) > LEAST_WEIGHT) if k}
     model = Model(kept, float(bias), trans, float(start))
     # Document scores: logistic regression on what the marginals of the sample's documents give.
     memory, every = Scores(model), [*toxic, *clean]
@@ -233,13 +237,17 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """toxic, h and whole text of at most TOXIC_DOCS toxic and CLEAN_DOCS clean documents of the training folds, by the order of a hash of doc_id."""
+def sample(docs: DataFrame, labels: DataFrame, most_chars: int = SAMPLE_CHARS) -> DataFrame:
+    """toxic, h and whole text of at most TOXIC_DOCS toxic and CLEAN_DOCS clean documents of the training folds, by the order of a hash of doc_id, and of each kind only until most_chars are passed.
+
+    The bound on characters holds for rows that share a doc_id, too, however many there are.
+    """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     picked = [known.filter(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for k, n in ((1, TOXIC_DOCS), (0, CLEAN_DOCS))]
     # The picked ids are a few thousand at any size, so they may be broadcast.
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text()).join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id")
-    return rows.select("toxic", F.xxhash64("doc_id").alias("h"), "text")
+    ordered = rows.select("toxic", F.xxhash64("doc_id").alias("h"), "text", F.xxhash64("text").alias("t"))
+    return budget_prefix(ordered, ["toxic"], ["h", "t"], F.char_length("text").cast("long"), most_chars).select("toxic", "h", "text")
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
