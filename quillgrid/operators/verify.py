@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quillgrid.functions.text import let
 from quillgrid.operators.containment import contained, ends_with
-from quillgrid.session import checkpointed
+from quillgrid.session import written
 
 # Categories by rule, and the notes that the rules give.
 CLASS = ["god_class", "srp_violation", "ocp_violation", "lsp_violation", "isp_violation", "dip_violation"]
@@ -127,7 +127,7 @@ def across(rows: DataFrame, facts: DataFrame) -> DataFrame:
     files = facts.select("repo", "ord", "path").join(here, "repo", "left_semi")
     brought = facts.join(here, "repo", "left_semi").select("repo", "ord", "path", F.explode(F.array_distinct("imports")).alias("text"))
     entities = wanted.filter("entity IS NOT NULL").select("repo", F.col("entity").alias("name"))
-    in_imports = checkpointed(contained(entities.unionByName(files.select("repo", dotted(F.col("path")).alias("name"))), brought, "repo"))
+    in_imports = written(contained(entities.unionByName(files.select("repo", dotted(F.col("path")).alias("name"))), brought, "repo"))
     # Importers: how many files by entity and path, and the first two paths.
     importing = in_imports.join(entities.distinct(), ["repo", "name"], "left_semi").join(brought, ["repo", "text"]).select("repo", F.col("name").alias("entity"), "ord", "path").distinct()
     by_path = importing.groupBy("repo", "entity", "path").agg(F.count("*").alias("own_files"))
@@ -137,7 +137,7 @@ def across(rows: DataFrame, facts: DataFrame) -> DataFrame:
         asked.join(totals, ["repo", "entity"]).join(by_path, ["repo", "entity", "path"], "left")
         .select("repo", "seq", (F.col("all_files") - F.coalesce("own_files", F.lit(0))).alias("importers"), first_elsewhere(F.col("firsts"), F.col("path"))["path"].alias("importer"))
     )
-    rounds = mutual_imports(import_edges(files, brought, in_imports), files)
+    rounds = mutual_imports(written(import_edges(files, brought, in_imports)), files)  # edges meet their reverse: written, as they are read twice
     placed = wanted.select("repo", "seq", F.col("f_ord").alias("ord")).join(rounds, ["repo", "ord"], "left").drop("ord")
     return placed.join(importers, ["repo", "seq"], "left").join(similar_functions(wanted, facts), ["repo", "seq"], "left")
 
@@ -145,8 +145,15 @@ def across(rows: DataFrame, facts: DataFrame) -> DataFrame:
 def looked_up(findings: DataFrame, facts: DataFrame) -> DataFrame:
     """Findings with what their own file says, in a few values each: f_ord and f_path, the entity that the description names, its class or struct (kind) and function (func), and counts."""
     f = F.col("f")
-    rows = resolve(findings.withColumn("file", F.coalesce("file", F.lit(""))), facts)
-    kinds = F.concat(f["classes"], F.coalesce(f["structs"], F.array().cast(facts.schema["structs"].dataType)))
+    # Only what the rules read of a file meets its findings.
+    less = lambda c, *names: F.transform(c, lambda x: F.struct(*(x[n].alias(n) for n in names)))
+    kinds = F.concat("classes", F.coalesce("structs", F.array().cast(facts.schema["structs"].dataType)))
+    slim = facts.select(
+        "repo", "ord", "path", "language", "line_count", "has_tests", "magic_numbers", "goroutines", "channels", "mutexes", less(kinds, "name", "methodCount", "lineCount").alias("kinds"),
+        less(F.col("functions"), "name", "paramCount", "lineCount", "params", "isAsync").alias("functions"),
+    )
+    rows = resolve(findings.withColumn("file", F.coalesce("file", F.lit(""))), slim)
+    kinds = f["kinds"]
     parallel = (f["goroutines"] > 0) | (f["channels"] > 0) | (f["mutexes"] > 0) | F.exists(f["functions"], lambda x: x["isAsync"])
 
     def about(kinds: Column) -> Column:
@@ -168,7 +175,7 @@ def looked_up(findings: DataFrame, facts: DataFrame) -> DataFrame:
 
 def verify(findings: DataFrame, facts: DataFrame) -> DataFrame:
     """Findings (repo, seq, category, file, description, confidence) with verified and notes. facts are read several times: give them written, or checkpointed."""
-    rows = checkpointed(looked_up(findings, facts))  # the rules and the joins of `across` start from these few values
+    rows = written(looked_up(findings, facts))  # the rules and the joins of `across` start from these few values
     rows = rows.join(across(rows, facts).drop("category"), ["repo", "seq"], "left")
     e, func, kind, category = F.col("entity"), F.col("func"), F.col("kind"), F.col("category")
     sure = F.coalesce("confidence", F.lit(0.0))

@@ -91,3 +91,18 @@ def test_candidates_grow_with_files(spark):
         assert "CartesianProduct" not in q.toString()
         made.append(n)
     assert made == [200, 400]
+
+
+def test_strings_are_shuffled_once_and_large_scopes_in_blocks(spark):
+    """Names and texts are dealt as they are, not gram by gram; both sides may be dealt by their scope already; blocks give what one task gives."""
+    here = spark.range(1).select(F.lit("r").alias("s"))
+    texts = spark.range(300).select(F.lit("r").alias("s"), F.concat(F.lit("pkg.module"), F.lpad(F.col("id").cast("string"), 5, "0")).alias("text")).join(here.hint("merge"), "s", "left_semi")
+    names = spark.range(300).select(F.lit("r").alias("s"), F.lpad(F.col("id").cast("string"), 5, "0").alias("name")).join(here.hint("merge"), "s", "left_semi")
+    whole = {tuple(r) for r in containment.contained(names, texts, "s").collect()}
+    assert len(whole) >= 300
+    found = containment.contained(names, texts, "s", block=40)
+    rows = found.collect()
+    assert {tuple(r) for r in rows} == whole and len(rows) == len(whole)
+    assert "explode(flatten" not in containment.contained(names, texts, "s")._jdf.queryExecution().optimizedPlan().toString()
+    ends = [tuple(r) for r in containment.ends_with(names, texts, "s", block=40).collect()]
+    assert len(ends) == len(set(ends)) == 300 and all(t.endswith(n) for _, n, t in ends)
