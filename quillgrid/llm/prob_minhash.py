@@ -34,6 +34,8 @@ from quillgrid.llm.linking import crowded, links
 
 #: APART: bits of a signature (one a slot) in which similar texts may differ.
 WORDS, BANDS, ROWS, LEAST, APART = 5, 25, 5, 0.8, 36
+#: Elements of sets that one set is compared with at once; ids that all tasks get, so that no other texts are shuffled.
+AT_ONCE, IDS = 1 << 20, 1 << 20
 
 
 def word_digests(lists: Iterable[Iterable[str]], n: int) -> np.ndarray:
@@ -107,6 +109,40 @@ def similarity(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) ->
     return float((times / total).sum())
 
 
+def similar_to(one: tuple[np.ndarray, np.ndarray], others: list[tuple[np.ndarray, np.ndarray]], least: float) -> np.ndarray:
+    """Which of the others have at least that similarity with one.
+
+    Of two elements' arrivals the ratio of their weights tells which set's decides: an element's total is the weights here of those of its ratio and above by its own, and the weights there of those below by its other
+    one. So with common elements ordered by ratio, running sums give all totals. No more than the share of either's weights that is common can be similar.
+    """
+    element, weight = one
+    owner = np.repeat(np.arange(len(others)), [len(e) for e, _ in others])
+    found = np.concatenate([e for e, _ in others])
+    at = np.minimum(np.searchsorted(element, found), len(element) - 1)
+    both = element[at] == found
+    x, y, who = weight[at[both]].astype(float), np.concatenate([w for _, w in others])[both].astype(float), owner[both]
+    n, all_x, all_y = len(others), float(weight.sum()), np.asarray([w.sum() for _, w in others], float)
+    in_x, in_y = np.bincount(who, x, n), np.bincount(who, y, n)
+    maybe = (in_x >= least * all_x - 1e-6) & (in_y >= least * all_y - 1e-6)
+    use = maybe[who]
+    x, y, who = x[use], y[use], who[use]
+    if not len(who):
+        return maybe
+    ratio = x / y
+    order = np.lexsort((ratio, who))
+    x, y, who, ratio = x[order], y[order], who[order], ratio[order]
+    new = np.ones(len(who), dtype=bool)
+    new[1:] = (who[1:] != who[:-1]) | (ratio[1:] != ratio[:-1])
+    first = np.flatnonzero(new)[np.cumsum(new) - 1]  # of those with the same owner and ratio
+    begin = np.searchsorted(who, who)
+    before_x, before_y = (np.append(0, np.cumsum(v))[first] - np.append(0, np.cumsum(v))[begin] for v in (x, y))
+    total = (all_x - before_x) / x + (before_y + (all_y - in_y)[who]) / y
+    likeness = np.bincount(who, 1 / total, n)
+    for k in np.flatnonzero(maybe & (np.abs(likeness - least) < 1e-9)).tolist():
+        likeness[k] = similarity(element, weight, *others[k])
+    return likeness >= least
+
+
 def as_bytes(element: np.ndarray, weight: np.ndarray) -> bytes:
     """Elements and weights; the latter only if one isn't 1."""
     tail = b"" if (weight == 1).all() else weight.astype("<u4").tobytes()
@@ -176,8 +212,8 @@ def _shingle_sets(rows: DataFrame, words: int) -> DataFrame:
 def similar_pairs(sets: list[tuple[np.ndarray, np.ndarray]], root: np.ndarray, side: np.ndarray, least: float) -> list[tuple[int, int]]:
     """Pairs at least that similar, enough to connect what they connect, of sets with different roots (and on different sides, if there are two).
 
-    Common elements of all pairs come from products of incidence matrices, a few thousand elements at a time; sets with
-    weights other than 1 are compared one by one.
+    Common elements of all pairs come from products of incidence matrices, a few thousand elements at a time; a set with
+    weights other than 1 is compared with all others that it isn't connected with at once.
     """
     n = len(sets)
     element = np.concatenate([e for e, _ in sets])
@@ -199,23 +235,25 @@ def similar_pairs(sets: list[tuple[np.ndarray, np.ndarray]], root: np.ndarray, s
     union = size[:, None] + size[None, :] - common
     apart = np.triu((root[:, None] != root[None, :]) & ((side[:, None] != side[None, :]) | (side.min() == side.max())), 1)
     odd = np.asarray([(w != 1).any() for _, w in sets])
-    hit = apart & (common >= least * union - 1e-6) & ~odd[:, None] & ~odd[None, :]
-    close = list(zip(*np.nonzero(hit), strict=True))
-    close += [(i, j) for i, j in zip(*np.nonzero(apart & (odd[:, None] | odd[None, :]) & (common > 0)), strict=True) if similarity(*sets[i], *sets[j]) >= least]
-    group = {r: r for r in root.tolist()}
-
-    def top(r: int) -> int:
-        while group[r] != r:
-            group[r] = group[group[r]]
-            r = group[r]
-        return r
-
-    out = []
-    for i, j in close:
-        a, b = top(int(root[i])), top(int(root[j]))
-        if a != b:
-            group[a] = b
+    plain = ~odd[:, None] & ~odd[None, :]
+    label, out = root.copy(), []
+
+    def unite(i: int, j: int) -> None:
+        if label[i] != label[j]:
+            label[label == label[j]] = label[i]
             out.append((int(i), int(j)))
+
+    for i, j in zip(*np.nonzero(apart & plain & (common >= least * union - 1e-6)), strict=True):
+        unite(i, j)
+    # Then the weighted ones: a set with all those at a time that it may be linked with and isn't connected with yet.
+    shared = apart & ~plain & (common > 0)
+    for i in np.flatnonzero(shared.any(axis=1)).tolist():
+        some = np.flatnonzero(shared[i] & (label != label[i]))
+        lot = np.cumsum(size[some]) // AT_ONCE
+        for g in np.unique(lot):
+            few = some[lot == g]
+            for j in few[similar_to(sets[i], [sets[j] for j in few.tolist()], least)].tolist():
+                unite(i, j)
     return out
 
 
@@ -231,7 +269,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, bands: int = BANDS, per
     members = settled(crowded(_buckets(nodes)))
 
     def contents(wanted: DataFrame) -> DataFrame:
-        sets = _shingle_sets(rows.join(wanted, rows.doc_id == wanted.node, "left_semi"), words)
+        wanted = settled(wanted)
+        ids = F.broadcast(wanted) if wanted.count() <= IDS else wanted
+        sets = _shingle_sets(rows.join(ids, rows.doc_id == wanted.node, "left_semi"), words)
         if again is not None:  # a doc_id may have several texts, and rows of one text
             sets = sets.dropDuplicates(["node", "same"])
         return sets.select("node", "content")

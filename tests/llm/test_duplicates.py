@@ -290,6 +290,39 @@ def test_blocks_find_what_single_pairs_find():
     assert all(i % 2 != j % 2 for i, j in few)
 
 
+def test_weighted_sets_of_a_block_are_compared_many_at_once(monkeypatch):
+    rng = np.random.default_rng(3)
+    base, common = rng.choice(2**62, 160, replace=False).astype(np.uint64), rng.choice([1, 1, 1, 2, 5], 160)
+    sets = []
+    for _ in range(120):
+        keep, own = rng.random(160) < rng.choice([0.8, 0.95]), rng.choice(2**62, rng.integers(1, 24), replace=False).astype(np.uint64)
+        element, weight = np.append(base[keep], own), np.append(np.where(rng.random(160) < 0.05, 3, common)[keep], np.ones(len(own), int))
+        order = np.argsort(element)
+        sets.append((element[order], weight[order]))
+    exact = prob_minhash.similarity
+    close = [(i, j) for i in range(120) for j in range(i) if exact(*sets[i], *sets[j]) >= 0.6]
+    calls = []
+    monkeypatch.setattr(prob_minhash, "similarity", lambda *x: calls.append(1) or exact(*x))
+    for side in (np.zeros(120, int), np.arange(120) % 2):
+        found = prob_minhash.similar_pairs(sets, np.arange(120), side, 0.6)
+        assert set(found) <= {(j, i) for i, j in close}
+        assert union(120, found) == union(120, [(i, j) for i, j in close if side[i] != side[j] or not side.any()])
+    assert 500 < len(close) < 7000 and len(calls) < 120
+
+
+@pytest.mark.parametrize("ids", [0, 1 << 20])
+def test_only_texts_of_candidates_are_shuffled(spark, monkeypatch, ids):
+    rng = random.Random(8)
+    docs = [(k, " ".join(rng.choices("abcdefghij", k=40))) for k in range(60)]
+    docs += [(100 + k, docs[k][1] + " z") for k in range(8)]
+    seen, make = [], prob_minhash._shingle_sets
+    monkeypatch.setattr(prob_minhash, "IDS", ids)
+    monkeypatch.setattr(prob_minhash, "_shingle_sets", lambda rows, words: seen.append(rows._jdf.queryExecution().optimizedPlan().toString()) or make(rows, words))
+    got = {r.doc_id: r.class_id for r in prob_minhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert all(got[100 + k] == k for k in range(8)) and len(set(got.values())) == 60
+    assert seen and all(("broadcast" in x) == bool(ids) for x in seen)
+
+
 def brute_suffixes(docs, length):
     seen, out = set(), {}
     for d, t in docs:
