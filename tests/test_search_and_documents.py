@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from quillgrid.sources import documents, search
+from quillgrid.sources import documents, readers, search
 
 ITEMS = [{"full_name": f"own/r{k}", "stargazers_count": k, "language": ["go", "python"][k % 2], "archived": k % 5 == 0, "fork": False, "pushed_at": f"2026-01-{k % 28 + 1:02d}", "size": k * 3, "license": {"spdx_id": "MIT"} if k % 2 else None, "topics": ["x"]} for k in range(95)]
 
@@ -212,3 +212,18 @@ def test_results_as_documents(spark, tmp_path):
     assert json.loads(text) == {"task_id": "t/1", "error": None, "passed": True} and "\n  " in text
     with pytest.raises(Exception, match="mode append"):
         rows.select(F.lit("a").alias("key"), F.lit("b").alias("body")).write.format("documents").mode("overwrite").save(str(tmp_path))
+
+
+def test_task_files_are_listed_by_folder(spark, tmp_path):
+    task = '{"id": "%s", "category": "logic_drift", "golden_patch": "p"}'
+    for name in ["root.json", *(f"set {k % 3}/t{k}.json" for k in range(60)), "set 1/note.txt", "_own/t60.json", "set 2/deeper/t61.json"]:
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(task % name)
+    context, status = spark.sparkContext, spark.sparkContext.statusTracker()
+    context.setJobGroup("listing", "listing")
+    found = readers.read_tasks(spark, str(tmp_path))
+    context.setJobGroup("reading", "reading")
+    listed = [status.getStageInfo(s).numTasks for j in status.getJobIdsForGroup("listing") for s in status.getJobInfo(j).stageIds]
+    assert sum(listed) < 10
+    assert {r.id for r in found.collect()} == {*(f"set {k % 3}/t{k}.json" for k in range(60)), "_own/t60.json"}
+    assert {r.id for r in readers.read_tasks(spark, f"file://{tmp_path}/").collect()} == {r.id for r in found.collect()}
