@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quillgrid.functions.text import let
 from quillgrid.operators.containment import contained, ends_with
-from quillgrid.session import written
+from quillgrid.session import dealt, written
 
 # Categories by rule, and the notes that the rules give.
 CLASS = ["god_class", "srp_violation", "ocp_violation", "lsp_violation", "isp_violation", "dip_violation"]
@@ -33,10 +33,10 @@ def resolve(findings: DataFrame, facts: DataFrame) -> DataFrame:
     named = findings.select("repo", F.col("file").alias("name"))
     longer = ends_with(named, paths.select("repo", F.col("f_path").alias("text")), "repo").select("repo", F.col("name").alias("file"), F.col("text").alias("f_path"))
     shorter = ends_with(paths.select("repo", F.col("f_path").alias("name")), named.withColumnRenamed("name", "text"), "repo").select("repo", F.col("text").alias("file"), F.col("name").alias("f_path"))
-    hits = longer.unionByName(shorter).join(paths.groupBy("repo", "f_path").agg(F.min("f_ord").alias("f_ord")), ["repo", "f_path"])
+    hits = longer.unionByName(shorter).join(dealt(paths.groupBy("repo", "f_path").agg(F.min("f_ord").alias("f_ord"))), ["repo", "f_path"])
     best = hits.groupBy("repo", "file").agg(F.min(F.struct((F.col("f_path") != F.col("file")).alias("other"), "f_ord")).alias("best")).select("repo", "file", F.col("best.f_ord").alias("f_ord"))
     own = facts.select("repo", F.col("ord").alias("f_ord"), F.struct(*[c for c in facts.columns if c != "repo"]).alias("f"))
-    return findings.join(best, ["repo", "file"], "left").join(own, ["repo", "f_ord"], "left").drop("f_ord")
+    return findings.join(dealt(best), ["repo", "file"], "left").join(dealt(own), ["repo", "f_ord"], "left").drop("f_ord")
 
 
 def longest_contained(names: Column, text: Column) -> Column:
@@ -80,18 +80,18 @@ def import_edges(files: DataFrame, brought: DataFrame, in_imports: DataFrame) ->
     paths = files.select("repo", F.col("ord").alias("b"), F.col("path"))
     inside = contained(brought.select("repo", F.col("text").alias("name")), files.select("repo", F.col("path").alias("text")), "repo").select("repo", F.col("name").alias("text"), F.col("text").alias("path"))
     importers = brought.select("repo", F.col("ord").alias("a"), "text")
-    to_paths = inside.join(importers, ["repo", "text"]).join(paths, ["repo", "path"]).select("repo", "a", "b", F.lit(True).alias("inside"))
+    to_paths = inside.join(dealt(importers), ["repo", "text"]).join(dealt(paths), ["repo", "path"]).select("repo", "a", "b", F.lit(True).alias("inside"))
     dots = paths.select("repo", "b", dotted(F.col("path")).alias("name"))
-    from_dots = in_imports.join(dots, ["repo", "name"]).join(importers, ["repo", "text"]).select("repo", "a", "b", F.lit(False).alias("inside"))
+    from_dots = in_imports.join(dealt(dots), ["repo", "name"]).join(dealt(importers), ["repo", "text"]).select("repo", "a", "b", F.lit(False).alias("inside"))
     return to_paths.unionByName(from_dots).filter("a <> b").groupBy("repo", "a", "b").agg(F.max("inside").alias("inside"))
 
 
 def mutual_imports(edges: DataFrame, files: DataFrame) -> DataFrame:
     """repo, ord, cycle and mutual: the path of the first file that has an edge from this one and to it; mutual: by imports inside paths alone."""
     back = edges.select("repo", F.col("b").alias("a"), F.col("a").alias("b"), F.col("inside").alias("inside_back"))
-    both = edges.join(back, ["repo", "a", "b"]).groupBy("repo", F.col("a").alias("ord")).agg(F.min("b").alias("cycle_ord"), F.min(F.when(F.col("inside") & F.col("inside_back"), F.col("b"))).alias("mutual_ord"))
+    both = edges.join(dealt(back), ["repo", "a", "b"]).groupBy("repo", F.col("a").alias("ord")).agg(F.min("b").alias("cycle_ord"), F.min(F.when(F.col("inside") & F.col("inside_back"), F.col("b"))).alias("mutual_ord"))
     path = lambda c, name: files.select("repo", F.col("ord").alias(c), F.col("path").alias(name))
-    return both.join(path("cycle_ord", "cycle"), ["repo", "cycle_ord"], "left").join(path("mutual_ord", "mutual"), ["repo", "mutual_ord"], "left").select("repo", "ord", "cycle", "mutual")
+    return both.join(dealt(path("cycle_ord", "cycle")), ["repo", "cycle_ord"], "left").join(dealt(path("mutual_ord", "mutual")), ["repo", "mutual_ord"], "left").select("repo", "ord", "cycle", "mutual")
 
 
 def by_name(name: Column) -> Column:
@@ -116,7 +116,7 @@ def similar_functions(wanted: DataFrame, facts: DataFrame) -> DataFrame:
     around = F.flatten(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda p: F.transform(F.sequence(F.lit(-5), F.lit(5)), lambda x: by_size(func["paramCount"] + p, func["lineCount"] + x))))
     alone = F.array(by_name(func["name"]))
     asks = wanted.filter(func.isNotNull()).select("repo", "seq", F.col("f_path").alias("own"), F.explode(F.when(func["lineCount"] > 5, F.concat(alone, around)).otherwise(alone)).alias("cell"))
-    found = asks.join(firsts, ["repo", "cell"]).select("repo", "seq", first_elsewhere(F.col("firsts"), F.col("own")).alias("t"))
+    found = asks.join(dealt(firsts), ["repo", "cell"]).select("repo", "seq", first_elsewhere(F.col("firsts"), F.col("own")).alias("t"))
     return found.filter("t IS NOT NULL").groupBy("repo", "seq").agg(F.min(F.struct("t.ord", "t.pos", "t.name", "t.path")).alias("t")).select("repo", "seq", F.struct("t.name", "t.path").alias("twin"))
 
 
@@ -124,22 +124,22 @@ def across(rows: DataFrame, facts: DataFrame) -> DataFrame:
     """What other files of the repository say: importers of the entity, cycles, mutual imports, similar functions. rows: see `looked_up`."""
     wanted = rows.filter(F.col("category").isin(ACROSS) & F.col("f_ord").isNotNull()).select("repo", "seq", "category", "entity", "f_ord", "f_path", "func")
     here = wanted.select("repo").distinct()
-    files = facts.select("repo", "ord", "path").join(here, "repo", "left_semi")
-    brought = facts.join(here, "repo", "left_semi").select("repo", "ord", "path", F.explode(F.array_distinct("imports")).alias("text"))
+    files = facts.select("repo", "ord", "path").join(dealt(here), "repo", "left_semi")
+    brought = facts.join(dealt(here), "repo", "left_semi").select("repo", "ord", "path", F.explode(F.array_distinct("imports")).alias("text"))
     entities = wanted.filter("entity IS NOT NULL").select("repo", F.col("entity").alias("name"))
     in_imports = written(contained(entities.unionByName(files.select("repo", dotted(F.col("path")).alias("name"))), brought, "repo"))
     # Importers: how many files by entity and path, and the first two paths.
-    importing = in_imports.join(entities.distinct(), ["repo", "name"], "left_semi").join(brought, ["repo", "text"]).select("repo", F.col("name").alias("entity"), "ord", "path").distinct()
+    importing = in_imports.join(dealt(entities.distinct()), ["repo", "name"], "left_semi").join(dealt(brought), ["repo", "text"]).select("repo", F.col("name").alias("entity"), "ord", "path").distinct()
     by_path = importing.groupBy("repo", "entity", "path").agg(F.count("*").alias("own_files"))
-    totals = by_path.groupBy("repo", "entity").agg(F.sum("own_files").alias("all_files")).join(two_least(importing, ["repo", "entity"]), ["repo", "entity"])
+    totals = by_path.groupBy("repo", "entity").agg(F.sum("own_files").alias("all_files")).join(dealt(two_least(importing, ["repo", "entity"])), ["repo", "entity"])
     asked = wanted.filter("entity IS NOT NULL").select("repo", "seq", "entity", F.col("f_path").alias("path"))
     importers = (
-        asked.join(totals, ["repo", "entity"]).join(by_path, ["repo", "entity", "path"], "left")
+        asked.join(dealt(totals), ["repo", "entity"]).join(dealt(by_path), ["repo", "entity", "path"], "left")
         .select("repo", "seq", (F.col("all_files") - F.coalesce("own_files", F.lit(0))).alias("importers"), first_elsewhere(F.col("firsts"), F.col("path"))["path"].alias("importer"))
     )
     rounds = mutual_imports(written(import_edges(files, brought, in_imports)), files)  # edges meet their reverse: written, as they are read twice
-    placed = wanted.select("repo", "seq", F.col("f_ord").alias("ord")).join(rounds, ["repo", "ord"], "left").drop("ord")
-    return placed.join(importers, ["repo", "seq"], "left").join(similar_functions(wanted, facts), ["repo", "seq"], "left")
+    placed = wanted.select("repo", "seq", F.col("f_ord").alias("ord")).join(dealt(rounds), ["repo", "ord"], "left").drop("ord")
+    return placed.join(dealt(importers), ["repo", "seq"], "left").join(dealt(similar_functions(wanted, facts)), ["repo", "seq"], "left")
 
 
 def looked_up(findings: DataFrame, facts: DataFrame) -> DataFrame:
@@ -176,7 +176,7 @@ def looked_up(findings: DataFrame, facts: DataFrame) -> DataFrame:
 def verify(findings: DataFrame, facts: DataFrame) -> DataFrame:
     """Findings (repo, seq, category, file, description, confidence) with verified and notes. facts are read several times: give them written, or checkpointed."""
     rows = written(looked_up(findings, facts))  # the rules and the joins of `across` start from these few values
-    rows = rows.join(across(rows, facts).drop("category"), ["repo", "seq"], "left")
+    rows = rows.join(dealt(across(rows, facts).drop("category")), ["repo", "seq"], "left")
     e, func, kind, category = F.col("entity"), F.col("func"), F.col("kind"), F.col("category")
     sure = F.coalesce("confidence", F.lit(0.0))
     text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
@@ -232,4 +232,4 @@ def with_prompts(findings: DataFrame, facts: DataFrame, parts: DataFrame) -> Dat
     """Findings with the prompt part (repo, ord, part) of the file that they resolve to, and a hash of its facts."""
     found = resolve(findings.withColumn("file", F.coalesce("file", F.lit(""))), facts).withColumn("ord", F.col("f.ord"))
     hashed = found.withColumn("facts_hash", F.when(F.col("f").isNotNull(), F.left(F.sha2(F.to_json("f").cast("binary"), 256), F.lit(16))))
-    return hashed.join(parts.select("repo", "ord", F.col("part").alias("facts_prompt")), ["repo", "ord"], "left").select(*findings.columns, "facts_prompt", "facts_hash")
+    return hashed.join(dealt(parts.select("repo", "ord", F.col("part").alias("facts_prompt"))), ["repo", "ord"], "left").select(*findings.columns, "facts_prompt", "facts_hash")
