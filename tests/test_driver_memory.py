@@ -5,6 +5,8 @@ import random
 from pyspark.sql import functions as F
 from test_verify_joins import repository
 
+from quillgrid.llm import lines
+from quillgrid.llm.common import prepare
 from quillgrid.operators import verify
 from quillgrid.plans import content
 from quillgrid.session import checkpointed
@@ -30,3 +32,11 @@ def test_verification_sends_no_side_of_a_join_to_all_tasks(spark):
 
 def test_files_of_contents_send_no_part_to_all_tasks(spark):
     assert "Broadcast" not in ran(content.files(spark, "/root/testdata/sf0.001"))
+
+
+def test_line_dedup_sends_no_lines_to_all_tasks(spark):
+    prepare(spark)
+    told = " ".join("".join(random.Random(k).choices("abcdefghijklmnop", k=7)) for k in range(12))
+    docs = spark.createDataFrame([(1, told), (2, told + "x\nother words here"), (3, None)], "doc_id long, text string")
+    gone = lines.removals(docs)
+    assert "Broadcast" not in ran(gone) and [(r.doc_id, r.places) for r in gone.collect()] == [(2, [0])]
